@@ -1,0 +1,75 @@
+"""ordered_scan: the chunked path equals the plain window and a brute force,
+also when one key holds most of the rows."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rollcall.operators.scan import ordered_scan, row_index
+
+
+def _rows(seed=7, n=3000):
+    rnd = random.Random(seed)
+    rows = []
+    for i in range(n):
+        # key 0 is hot: about two thirds of all rows
+        k = 0 if rnd.random() < 0.66 else rnd.randint(1, 20)
+        v = rnd.choice([None, rnd.randint(-5, 9)]) if rnd.random() < 0.1 else rnd.randint(-5, 9)
+        rows.append((k, i, v))
+    rnd.shuffle(rows)
+    return rows
+
+
+def _brute(rows, kind):
+    by = {}
+    for k, o, v in rows:
+        by.setdefault(k, []).append((o, v))
+    out = {}
+    for k, lst in by.items():
+        lst.sort()
+        for j, (o, v) in enumerate(lst):
+            if kind == "running_sum":
+                vals = [x for _, x in lst[: j + 1] if x is not None]
+                out[(k, o)] = sum(vals) if vals else None
+            elif kind == "previous":
+                out[(k, o)] = lst[j - 1][1] if j else None
+            else:
+                vals = [x for _, x in lst[j + 1:] if x is not None]
+                out[(k, o)] = min(vals) if vals else None
+    return out
+
+
+@pytest.mark.parametrize("kind", ["running_sum", "previous", "min_following"])
+@pytest.mark.parametrize("split", [False, True])
+def test_scan_matches_brute_force(spark, kind, split):
+    rows = _rows()
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    res = ordered_scan(df, ["k"], ["o"], "v", "out", kind, split=split, num_chunks=16)
+    got = {(r.k, r.o): r.out for r in res.collect()}
+    assert got == _brute(rows, kind)
+
+
+def test_auto_split_takes_chunked_path_for_hot_key(spark):
+    rows = _rows(seed=3, n=500)
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    res = ordered_scan(df, ["k"], ["o"], "v", "out", "running_sum", max_group_rows=100)
+    plan = res._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" in plan  # the checkpointed chunks
+    got = {(r.k, r.o): r.out for r in res.collect()}
+    assert got == _brute(rows, "running_sum")
+
+
+def test_row_index_is_zero_based_position(spark):
+    df = spark.createDataFrame([(1, 30), (1, 10), (2, 5), (1, 20)], "c int, n long")
+    for split in (False, True):
+        got = sorted(tuple(r) for r in row_index(df, ["c"], ["n"], split=split, num_chunks=3)
+                     .select("c", "n", "idx").collect())
+        assert got == [(1, 10, 0), (1, 20, 1), (1, 30, 2), (2, 5, 0)]
+
+
+def test_scan_keys_over_two_columns(spark):
+    rows = [(c, n, o, 1) for c in range(3) for n in range(2) for o in range(50)]
+    df = spark.createDataFrame(rows, "c int, n int, o int, v int")
+    res = ordered_scan(df, ["c", "n"], ["o"], "v", "s", "running_sum", split=True, num_chunks=7)
+    assert res.where(F.col("s") != F.col("o") + 1).count() == 0
