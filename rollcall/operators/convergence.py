@@ -105,9 +105,13 @@ def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -
                            .select("cluster", "seq", F.col("to2").alias("to")))
         jumps.append(jump)
 
-    # L at the start node of each cluster: its first target event.
+    # L at the start node of each cluster: its first target event (after
+    # the previous latch when resuming).
+    if "after_seq" not in starts.columns:
+        starts = starts.withColumn("after_seq", F.lit(None).cast("long"))
     known = (events.join(starts, on="cluster", how="inner")
-             .where(F.col("idx") == F.col("start_idx"))
+             .where((F.col("idx") == F.col("start_idx"))
+                    & (F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq"))))
              .groupBy("cluster", "idx").agg(F.min("seq").alias("seq")))
     known = cut_lineage(known)
     for r in reversed(range(rounds)):
@@ -124,8 +128,9 @@ def ordered_latch(fleet: DataFrame, parsed_probes: DataFrame, target: bool = Tru
     the probe that latched it in the target state (up for ``True``, down for
     ``False``). Nodes after the first one that never gets there are absent.
 
-    ``starts`` (cluster, start_idx) resumes a wait at node start_idx (used by
-    the stream, whose state is the pointer); default: every cluster from 0.
+    ``starts`` (cluster, start_idx[, after_seq]) resumes a wait at node
+    start_idx, counting only events after ``after_seq`` (used by the stream,
+    whose state is this pointer); default: every cluster from node 0.
     Output: cluster, idx, node, seq.
     """
     events = target_events(fleet, parsed_probes, target)

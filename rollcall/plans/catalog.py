@@ -12,7 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.operators import convergence, coverage, inventory, parse, state
+from rollcall.session import scratch_path
 from rollcall.sources import views
+from rollcall.sources.streams import table_stream
+from rollcall.streaming import coverage as coverage_stream
+from rollcall.streaming import latch as latch_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +103,30 @@ def latch_off(spark, d):
     return convergence.ordered_latch(views.fleet(spark, d), _pp(spark, d), target=False)
 
 
+def report_coverage_stream(spark, d):
+    """Q10s: the events table as a stream (availableNow), to the end."""
+    fleet = views.fleet(spark, d)
+    base = scratch_path(spark, "coverage-stream")
+    q = coverage_stream.start_coverage_stream(
+        fleet, views.checkins_from(table_stream(spark, d, "events")),
+        base + "/state", base + "/checkpoint")
+    q.awaitTermination()
+    return coverage_stream.coverage_from_state(spark, fleet, base + "/state")
+
+
+def _latch_stream(target: bool) -> Query:
+    def run(spark, d):
+        fleet = views.fleet(spark, d)
+        base = scratch_path(spark, "latch-stream")
+        q = latch_stream.start_latch_stream(
+            fleet, views.probes_from(table_stream(spark, d, "events")), target,
+            base + "/state", base + "/checkpoint")
+        q.awaitTermination()
+        return latch_stream.latches_from_state(spark, base + "/state")
+    run.__name__ = f"latch_{'on' if target else 'off'}_stream"
+    return run
+
+
 def queries() -> dict[str, Query]:
     return {
         "fleet_scan": fleet_scan,
@@ -120,4 +148,7 @@ def queries() -> dict[str, Query]:
         "all_up_at": all_up_at,
         "latch_on": latch_on,
         "latch_off": latch_off,
+        "report_coverage_stream": report_coverage_stream,
+        "latch_on_stream": _latch_stream(True),
+        "latch_off_stream": _latch_stream(False),
     }

@@ -244,4 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "all_up_at": _with(_ALL_UP_BODY, extra=_ALL_UP),
         "latch_on": _latch(True),
         "latch_off": _latch(False),
+        # the streams must end where the batch jobs do
+        "report_coverage_stream": _with(_COVERAGE),
+        "latch_on_stream": _latch(True),
+        "latch_off_stream": _latch(False),
     }

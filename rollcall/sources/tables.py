@@ -16,3 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
+
+
+def read_parquet_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet folder at ``path``, or an empty frame of ``schema`` when
+    nothing has been written there yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+            return spark.createDataFrame([], schema)
+        raise
