@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.operators import convergence, coverage, inventory, parse, state
 from rollcall.session import scratch_path
-from rollcall.sources import views
+from rollcall.sources import sinks, views
 from rollcall.sources.streams import table_stream
 from rollcall.streaming import coverage as coverage_stream
 from rollcall.streaming import latch as latch_stream
@@ -103,6 +103,21 @@ def latch_off(spark, d):
     return convergence.ordered_latch(views.fleet(spark, d), _pp(spark, d), target=False)
 
 
+def export_state(spark, d):
+    """Q9: the state report written as JSON per cluster and read back."""
+    report = fleet_state(spark, d)
+    path = scratch_path(spark, "export-state")
+    sinks.export_table(report, path, fmt="json")
+    return sinks.read_export(spark, path, report.schema, fmt="json")
+
+
+def export_hosts(spark, d):
+    """Q9: the hosts listing written per cluster and read back as lines."""
+    path = scratch_path(spark, "export-hosts")
+    sinks.write_listing(node_context(spark, d), path)
+    return sinks.read_listing(spark, path).withColumnRenamed("value", "line")
+
+
 def report_coverage_stream(spark, d):
     """Q10s: the events table as a stream (availableNow), to the end."""
     fleet = views.fleet(spark, d)
@@ -148,6 +163,8 @@ def queries() -> dict[str, Query]:
         "all_up_at": all_up_at,
         "latch_on": latch_on,
         "latch_off": latch_off,
+        "export_state": export_state,
+        "export_hosts": export_hosts,
         "report_coverage_stream": report_coverage_stream,
         "latch_on_stream": _latch_stream(True),
         "latch_off_stream": _latch_stream(False),

@@ -244,6 +244,9 @@ def oracle_sql() -> dict[str, str]:
         "all_up_at": _with(_ALL_UP_BODY, extra=_ALL_UP),
         "latch_on": _latch(True),
         "latch_off": _latch(False),
+        "export_state": _with(_FLEET_STATE),
+        "export_hosts": _with(
+            "SELECT cluster, coalesce(ip, '') || ' node' || CAST(idx AS VARCHAR) AS line FROM fleet"),
         # the streams must end where the batch jobs do
         "report_coverage_stream": _with(_COVERAGE),
         "latch_on_stream": _latch(True),
