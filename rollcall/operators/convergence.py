@@ -17,15 +17,18 @@ computed without walking a cluster's log in one task:
 * ``succ(e)`` for an event e of node i is the first event of node i+1 after
   it (an ``ordered_scan`` "min over following rows" over the events of nodes
   i and i+1, keyed by (cluster, i)). L_(i+1) = succ(L_i).
-* pointer doubling: J_0 = succ, J_(r+1)(e) = J_r(J_r(e)), each a join of the
-  event table with itself on the event's seq (a unique key, so no skew),
-  checkpointed. ceil(log2(largest cluster)) rounds.
+* J_0 keeps only events a chain can pass through (start events and
+  successors); every later lookup is on such an event, so this is exact.
+* pointer doubling: J_(r+1)(e) = J_r(J_r(e)), each a join of the event table
+  with itself on the event's seq (a unique key, so no skew), checkpointed.
+  ceil(log2(largest cluster)) rounds.
 * from L_start, positions are filled from the highest jump down:
-  L_(m + 2^r) = J_r(L_m), which reaches every node the chain reaches.
+  L_(m + 2^r) = J_r(L_m), one left join per level over at most one row per
+  node, which reaches every node the chain reaches.
 
 Work is O(E log n) in joins over unique keys; no task holds more than one
 shuffle partition of events, however the events are spread over clusters
-and nodes.
+and nodes. The target events are written once (they are read three times).
 """
 
 from __future__ import annotations
@@ -35,19 +38,26 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.operators.scan import ordered_scan
+from rollcall.operators.scan import ordered_scan, split_decision
 from rollcall.operators.state import cluster_sizes
 from rollcall.session import cut_lineage
 
 
 # -- Q11 ------------------------------------------------------------------------
 
+def _probes_of_fleet(fleet: DataFrame, parsed_probes: DataFrame) -> DataFrame:
+    return (parsed_probes.join(fleet.select("node", "cluster"), on="node", how="inner")
+            .select("cluster", "node", "ts", "seq", F.col("up").cast("int").alias("u")))
+
+
 def state_changes(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFrame:
     """Probes of inventory nodes where the node's state changed:
     (cluster, node, ts, seq, delta) with delta +1 (came up) or -1 (went
     down). A node starts down."""
-    probes = (parsed_probes.join(fleet.select("node", "cluster"), on="node", how="inner")
-              .select("cluster", "node", "ts", "seq", F.col("up").cast("int").alias("u")))
+    return _changes(_probes_of_fleet(fleet, parsed_probes), **scan_kw)
+
+
+def _changes(probes: DataFrame, **scan_kw) -> DataFrame:
     prev = ordered_scan(probes, ["node"], ["ts", "seq"], "u", "prev_u", "previous", **scan_kw)
     delta = F.col("u") - F.coalesce(F.col("prev_u"), F.lit(0))
     return (prev.select("cluster", "node", "ts", "seq", delta.alias("delta"))
@@ -58,9 +68,29 @@ def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFram
     """Per cluster: n, and the ts and seq of the first probe after which all
     n nodes are up (null when that never happens).
     Output: cluster, n, all_up_at, all_up_seq."""
-    changes = state_changes(fleet, parsed_probes, **scan_kw)
+    probes = _probes_of_fleet(fleet, parsed_probes)
+    node_kw, cluster_kw = dict(scan_kw), dict(scan_kw)
+    if scan_kw.get("split") is None:
+        # One pass decides both scans: probes per node bound the per-node
+        # scan, probes per cluster bound the changes per cluster.
+        st = (probes.groupBy("cluster", "node").count()
+              .groupBy("cluster").agg(F.sum("count").alias("c"), F.max("count").alias("m"))
+              .agg(F.max("m").alias("node_max"), F.max("c").alias("cluster_max"),
+                   F.sum("c").alias("total"))
+              .first())
+        total = int(st["total"] or 0)
+        mgr = scan_kw.get("max_group_rows")
+        node_kw["split"], node_kw["num_chunks"] = split_decision(
+            probes, int(st["node_max"] or 0), total, mgr)
+        cluster_kw["split"], cluster_kw["num_chunks"] = split_decision(
+            probes, int(st["cluster_max"] or 0), total, mgr)
+    changes = _changes(probes, **node_kw)
+    if cluster_kw.get("split"):
+        # the chunked scan samples its input, then shuffles it: write the
+        # changes once instead of recomputing the per-node scan twice
+        changes = cut_lineage(changes)
     counted = ordered_scan(changes, ["cluster"], ["ts", "seq"], "delta", "n_up",
-                           "running_sum", **scan_kw)
+                           "running_sum", **cluster_kw)
     sizes = cluster_sizes(fleet)
     first = (counted.join(sizes, on="cluster", how="inner")
              .where(F.col("n_up") == F.col("n"))
@@ -93,11 +123,32 @@ def successor_events(events: DataFrame, **scan_kw) -> DataFrame:
     return nxt.where(F.col("q")).select("cluster", F.col("k").alias("idx"), "seq", "to")
 
 
+def start_events(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """L at the start node of each cluster: its first target event (after
+    ``after_seq`` when resuming). (cluster, idx, seq)."""
+    if "after_seq" not in starts.columns:
+        starts = starts.withColumn("after_seq", F.lit(None).cast("long"))
+    return (events.join(starts, on="cluster", how="inner")
+            .where((F.col("idx") == F.col("start_idx"))
+                   & (F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq"))))
+            .groupBy("cluster", "idx").agg(F.min("seq").alias("seq")))
+
+
 def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -> DataFrame:
-    # jumps[r]: (cluster, seq, to) with to = succ^(2^r)(seq); rows without a
-    # target dropped (a missing jump ends the chain the same way).
-    jump = cut_lineage(successor_events(events, **scan_kw)
-                       .where(F.col("to").isNotNull()).select("cluster", "seq", "to"))
+    known = start_events(events, starts)
+
+    # J_0 = succ, kept only for events a chain can pass through: the start
+    # events and the successors of events. Every lookup below is on such an
+    # event, so the pruning is exact; it drops the events that follow an
+    # earlier event of the same node with no event of the node before between.
+    succ = cut_lineage(successor_events(events, **scan_kw).where(F.col("to").isNotNull())
+                       .select("cluster", "seq", "to"))
+    reachable = (succ.select("cluster", F.col("to").alias("seq"))
+                 .unionByName(known.select("cluster", "seq")).distinct())
+    jump = cut_lineage(succ.join(reachable, on=["cluster", "seq"], how="left_semi"))
+
+    # jumps[r]: (cluster, seq, to) with to = succ^(2^r)(seq); a missing row
+    # means the chain from seq ends before 2^r steps.
     jumps = [jump]
     for _ in range(1, rounds):
         nxt = jump.select("cluster", F.col("seq").alias("to"), F.col("to").alias("to2"))
@@ -105,20 +156,16 @@ def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -
                            .select("cluster", "seq", F.col("to2").alias("to")))
         jumps.append(jump)
 
-    # L at the start node of each cluster: its first target event (after
-    # the previous latch when resuming).
-    if "after_seq" not in starts.columns:
-        starts = starts.withColumn("after_seq", F.lit(None).cast("long"))
-    known = (events.join(starts, on="cluster", how="inner")
-             .where((F.col("idx") == F.col("start_idx"))
-                    & (F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq"))))
-             .groupBy("cluster", "idx").agg(F.min("seq").alias("seq")))
-    known = cut_lineage(known)
+    # positions from the highest jump down: L(m + 2^r) = J_r(L(m)). One left
+    # join per level keeps each known row and adds the one 2^r further on, so
+    # every level reads the previous one once (a linear plan, no checkpoint).
     for r in reversed(range(rounds)):
-        ext = (known.join(jumps[r], on=["cluster", "seq"], how="inner")
-               .select("cluster", (F.col("idx") + (1 << r)).alias("idx"),
-                       F.col("to").alias("seq")))
-        known = cut_lineage(known.unionByName(ext))
+        step = F.struct((F.col("idx") + (1 << r)).alias("idx"), F.col("to").alias("seq"))
+        both = F.array(F.struct("idx", "seq"), F.when(F.col("to").isNotNull(), step))
+        known = (known.join(jumps[r], on=["cluster", "seq"], how="left")
+                 .select("cluster", F.explode(both).alias("p"))
+                 .where(F.col("p").isNotNull())
+                 .select("cluster", "p.idx", "p.seq"))
     return known
 
 
@@ -133,7 +180,8 @@ def ordered_latch(fleet: DataFrame, parsed_probes: DataFrame, target: bool = Tru
     whose state is this pointer); default: every cluster from node 0.
     Output: cluster, idx, node, seq.
     """
-    events = target_events(fleet, parsed_probes, target)
+    # read three times (size check, successor scan, start events): written once
+    events = cut_lineage(target_events(fleet, parsed_probes, target))
     if starts is None:
         starts = fleet.select("cluster").distinct().withColumn("start_idx", F.lit(0).cast("long"))
     largest = fleet.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0

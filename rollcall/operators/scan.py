@@ -62,6 +62,17 @@ def _group_stats(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return int(row["mx"] or 0), int(row["tot"] or 0)
 
 
+def split_decision(df: DataFrame, largest: int, total: int,
+                   max_group_rows: int | None = None) -> tuple[bool, int]:
+    """(split?, chunks) for a scan whose largest group has ``largest`` rows
+    out of ``total``; the same rule ``ordered_scan`` applies itself."""
+    limit = max_group_rows if max_group_rows is not None else _conf_int(
+        df, "rollcall.scan.maxGroupRows", DEFAULT_MAX_GROUP_ROWS)
+    base = _conf_int(df, "spark.sql.shuffle.partitions", 200)
+    chunk_rows = _conf_int(df, "rollcall.scan.chunkRows", DEFAULT_CHUNK_ROWS)
+    return largest > limit, max(base, math.ceil(total / max(chunk_rows, 1)))
+
+
 def _window_value(kind: str, value: str, w) -> Column:
     if kind == "running_sum":
         return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -90,15 +101,10 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         raise ValueError(f"kind must be one of {_KINDS}")
     keys, order = list(keys), list(order)
     if split is None or (split and num_chunks is None):
-        limit = max_group_rows if max_group_rows is not None else _conf_int(
-            df, "rollcall.scan.maxGroupRows", DEFAULT_MAX_GROUP_ROWS)
         largest, total = _group_stats(df, keys)
-        if split is None:
-            split = largest > limit
-        if split and num_chunks is None:
-            base = _conf_int(df, "spark.sql.shuffle.partitions", 200)
-            chunk_rows = _conf_int(df, "rollcall.scan.chunkRows", DEFAULT_CHUNK_ROWS)
-            num_chunks = max(base, math.ceil(total / max(chunk_rows, 1)))
+        need, chunks = split_decision(df, largest, total, max_group_rows)
+        split = need if split is None else split
+        num_chunks = num_chunks or chunks
     if not split:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, _window_value(kind, value, w))

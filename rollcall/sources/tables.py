@@ -23,6 +23,13 @@ def read_parquet_or_empty(spark: SparkSession, path: str, schema: str) -> DataFr
     nothing has been written there yet."""
     from pyspark.errors import AnalysisException
 
+    try:  # ask the file system first (any Hadoop scheme), to skip a failed read
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        if not hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath):
+            return spark.createDataFrame([], schema)
+    except Exception:  # no JVM access (e.g. Spark Connect): just try the read
+        pass
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:
