@@ -65,6 +65,10 @@ def power_source(spark, d):
     return state.power_source(views.fleet(spark, d))
 
 
+def node_power(spark, d):
+    return state.node_power(views.fleet(spark, d))
+
+
 def _select(mode: str) -> Query:
     def run(spark, d):
         fleet = views.fleet(spark, d)
@@ -153,6 +157,7 @@ def queries() -> dict[str, Query]:
         "fleet_state": fleet_state,
         "cluster_state": cluster_state,
         "power_source": power_source,
+        "node_power": node_power,
         "select_all": _select("all"),
         "select_running": _select("running"),
         "select_head": _select("head"),

@@ -153,14 +153,17 @@ _CLUSTER_STATE = """
 SELECT cluster, count(*) AS n, CAST(count_if(up) AS BIGINT) AS n_up, bool_and(up) AS all_up
 FROM st GROUP BY cluster"""
 
-_POWER = """
-SELECT cluster,
-       CASE WHEN coalesce(is_physical, false) THEN 'wol'
+_SOURCE = """CASE WHEN coalesce(is_physical, false) THEN 'wol'
             WHEN coalesce(length(nc) > 0, false) THEN 'remote'
-            WHEN coalesce(length(path) > 0, false) THEN 'local' END AS source,
-       count(*) AS n
+            WHEN coalesce(length(path) > 0, false) THEN 'local' END"""
+
+_POWER = f"""
+SELECT cluster, {_SOURCE} AS source, count(*) AS n
 FROM fleet GROUP BY 1, 2"""
 
+_NODE_POWER = f"""
+SELECT cluster, idx, node, mac, {_SOURCE} AS source, nc, vmware, path FROM fleet"""
+
 _SELECT_ALL = "SELECT cluster, idx, node, ip FROM st"
 _SELECT_RUNNING = "SELECT cluster, idx, node, ip FROM st WHERE up"
 _SELECT_HEAD = """
@@ -234,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "fleet_state": _with(_FLEET_STATE),
         "cluster_state": _with(_CLUSTER_STATE),
         "power_source": _with(_POWER),
+        "node_power": _with(_NODE_POWER),
         "select_all": _with(_SELECT_ALL),
         "select_running": _with(_SELECT_RUNNING),
         "select_head": _with(_SELECT_HEAD),
