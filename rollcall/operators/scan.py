@@ -35,8 +35,10 @@ from rollcall.session import cut_lineage
 
 #: group size up to which the plain window is used (rows per key)
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
-#: target rows per chunk on the split path
-DEFAULT_CHUNK_ROWS = 2_000_000
+#: target rows per chunk on the split path (narrow rows: keys, order, value)
+DEFAULT_CHUNK_ROWS = 8_000_000
+#: most chunks one scan makes (larger chunks beyond that; still exact)
+DEFAULT_MAX_CHUNKS = 100_000
 
 _CHUNK = "_rc_chunk"
 _LOCAL = "_rc_local"
@@ -70,7 +72,8 @@ def split_decision(df: DataFrame, largest: int, total: int,
         df, "rollcall.scan.maxGroupRows", DEFAULT_MAX_GROUP_ROWS)
     base = _conf_int(df, "spark.sql.shuffle.partitions", 200)
     chunk_rows = _conf_int(df, "rollcall.scan.chunkRows", DEFAULT_CHUNK_ROWS)
-    return largest > limit, max(base, math.ceil(total / max(chunk_rows, 1)))
+    cap = _conf_int(df, "rollcall.scan.maxChunks", DEFAULT_MAX_CHUNKS)
+    return largest > limit, max(base, min(cap, math.ceil(total / max(chunk_rows, 1))))
 
 
 def _window_value(kind: str, value: str, w) -> Column:

@@ -27,6 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.operators.convergence import ordered_latch
 from rollcall.operators.parse import parse_probes
+from rollcall.session import cut_lineage
 from rollcall.sources.tables import read_parquet_or_empty
 
 LATCHES, POINTERS = "latches", "pointers"
@@ -51,6 +52,8 @@ def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
                        **scan_kw) -> StreamingQuery:
     """Start Q12s on a stream of raw probes (seq, ts, node, output)."""
     parsed = parse_probes(probes_stream)
+    # the inventory is read by every micro-batch: written once, here
+    fleet = cut_lineage(fleet.select("cluster", "idx", "node"))
     fleet_clusters = fleet.select("cluster").distinct()
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
