@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.expressions import mac_key
-from rollcall.operators.inventory import canonical_fleet
+from rollcall.operators.inventory import first_row_per_mac
 
 
 def first_checkin_per_mac(parsed_checkins: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def first_checkin_per_mac(parsed_checkins: DataFrame) -> DataFrame:
 def node_first_checkin(fleet: DataFrame, per_mac_first: DataFrame) -> DataFrame:
     """Every inventory row with ``first_seq`` (null: never reported; always
     null for a duplicate MAC row)."""
-    matched = (canonical_fleet(fleet).select("cluster", "idx", "mac_key")
+    matched = (first_row_per_mac(fleet)
                .join(per_mac_first, on="mac_key", how="inner")
                .select("cluster", "idx", "first_seq"))
     return fleet.join(matched, on=["cluster", "idx"], how="left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import expressions as X
 from rollcall.operators.coverage import report_coverage
-from rollcall.operators.inventory import canonical_fleet
+from rollcall.operators.inventory import first_row_per_mac
 
 
 # -- Q4 / Q4b -----------------------------------------------------------------
@@ -31,8 +31,7 @@ def apply_checkins(fleet: DataFrame, parsed_checkins: DataFrame,
     Output: cluster, idx, node, mac, ip, reported, n_checkins.
     """
     cutoffs = report_coverage(fleet, parsed_checkins).select("cluster", "cutoff_seq")
-    keyed = (canonical_fleet(fleet).select("mac_key", "cluster", "idx")
-             .join(cutoffs, on="cluster", how="left"))
+    keyed = first_row_per_mac(fleet).join(cutoffs, on="cluster", how="left")
     consumed = (parsed_checkins.where(F.col("mac").isNotNull())
                 .select("seq", "ip", X.mac_key("mac").alias("mac_key"))
                 .join(keyed, on="mac_key", how="inner")
@@ -51,7 +50,7 @@ def unknown_checkins(fleet: DataFrame, parsed_checkins: DataFrame) -> DataFrame:
     """Check-ins set aside: no MAC, a MAC no inventory row has, or a known
     MAC without an address. One row per check-in, first reason wins.
     Output: seq, ts, ip, mac, reason."""
-    known = (canonical_fleet(fleet).select("mac_key").withColumn("_known", F.lit(True)))
+    known = first_row_per_mac(fleet).select("mac_key").withColumn("_known", F.lit(True))
     tagged = (parsed_checkins.withColumn("mac_key", X.mac_key("mac"))
               .join(known, on="mac_key", how="left"))
     reason = (F.when(F.col("mac").isNull(), F.lit("no_mac"))

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollcall.functions.expressions import mac_key
 from rollcall.operators.coverage import coverage_from_first
-from rollcall.operators.inventory import canonical_fleet
+from rollcall.operators.inventory import first_row_per_mac
 from rollcall.operators.parse import parse_checkins
 from rollcall.session import cut_lineage
 from rollcall.sources.tables import read_parquet_or_empty
@@ -35,7 +35,7 @@ def node_first_updates(fleet: DataFrame, checkins_stream: DataFrame) -> DataFram
 
     The inventory keys are written once when the stream is defined, so a
     micro-batch reads them instead of recomputing the inventory view."""
-    keys = cut_lineage(canonical_fleet(fleet).select("mac_key", "cluster", "idx"))
+    keys = cut_lineage(first_row_per_mac(fleet))
     parsed = (parse_checkins(checkins_stream).where(F.col("mac").isNotNull())
               .select("seq", mac_key("mac").alias("mac_key")))
     return (parsed.join(keys, on="mac_key", how="inner")
