@@ -4,6 +4,8 @@ hand-made and random logs, with both scan paths."""
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from rollcall.operators.convergence import all_up_at, ordered_latch
 
@@ -121,3 +123,18 @@ def test_latch_hot_cluster(spark):
     got = sorted(tuple(r) for r in ordered_latch(fleet, probes, True, split=True, num_chunks=12)
                  .collect())
     assert got == walk_latch(rows, events, True)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(sizes=st.lists(st.integers(1, 6), min_size=1, max_size=3),
+       log=st.lists(st.tuples(st.integers(0, 20), st.booleans()), max_size=60))
+def test_latch_and_all_up_property(spark, sizes, log):
+    sizes = dict(enumerate(sizes))
+    fleet, rows = _fleet(spark, sizes)
+    events = [(s, node, up) for s, (node, up) in enumerate(log)]
+    probes = _probes(spark, events) if events else spark.createDataFrame([], PROBE_SCHEMA)
+    for target in (True, False):
+        got = sorted(tuple(r) for r in ordered_latch(fleet, probes, target).collect())
+        assert got == walk_latch(rows, events, target)
+    res = {r.cluster: r.all_up_seq for r in all_up_at(fleet, probes).collect()}
+    assert res == walk_all_up(rows, events)
