@@ -28,7 +28,8 @@ def apply_checkins(fleet: DataFrame, parsed_checkins: DataFrame,
     wait would not end). For a matched row: the address of its latest
     check-in with an address replaces ``ip`` when ``update``; ``reported``
     and ``n_checkins`` count what was consumed.
-    Output: cluster, idx, node, mac, ip, reported, n_checkins.
+    Output: the inventory's columns (``ip`` patched), reported, n_checkins;
+    it can be passed on as the inventory (e.g. to ``node_context``).
     """
     cutoffs = report_coverage(fleet, parsed_checkins).select("cluster", "cutoff_seq")
     keyed = first_row_per_mac(fleet).join(cutoffs, on="cluster", how="left")
@@ -42,8 +43,8 @@ def apply_checkins(fleet: DataFrame, parsed_checkins: DataFrame,
     out = fleet.join(per_node, on=["cluster", "idx"], how="left")
     ip = F.coalesce("new_ip", "ip") if update else F.col("ip")
     n = F.coalesce("n_checkins", F.lit(0)).cast("long")
-    return out.select("cluster", "idx", "node", "mac", ip.alias("ip"),
-                      (n > 0).alias("reported"), n.alias("n_checkins"))
+    cols = [ip.alias("ip") if c == "ip" else F.col(c) for c in fleet.columns]
+    return out.select(*cols, (n > 0).alias("reported"), n.alias("n_checkins"))
 
 
 def unknown_checkins(fleet: DataFrame, parsed_checkins: DataFrame) -> DataFrame:

@@ -120,7 +120,8 @@ SELECT cluster, node, idx, mac, ip, is_master, is_physical, nc, vmware, path,
 FROM fleet"""
 
 _APPLY = """
-SELECT f.cluster, f.idx, f.node, f.mac, {ip} AS ip,
+SELECT f.cluster, f.node, f.idx, f.mac, {ip} AS ip, f.is_master, f.is_physical, f.nc,
+       f.vmware, f.path,
        coalesce(pn.n_checkins, 0) > 0 AS reported,
        CAST(coalesce(pn.n_checkins, 0) AS BIGINT) AS n_checkins
 FROM fleet f LEFT JOIN (

@@ -112,3 +112,11 @@ def test_heads_roles_and_selection(spark, fleet):
 def test_power_source_counts(fleet):
     got = {(r.cluster, r.source): r.n for r in state.power_source(fleet).collect()}
     assert got == {(1, "wol"): 1, (1, "remote"): 1, (1, "local"): 1, (2, None): 2}
+
+
+def test_apply_checkins_chains_into_node_context(fleet, parsed):
+    patched = state.apply_checkins(fleet, parsed)
+    assert patched.columns[:len(FLEET_SCHEMA.split(","))] == [
+        c.split()[0] for c in FLEET_SCHEMA.split(", ")]
+    ctx = {(r.cluster, r.idx): r.dns_entry for r in state.node_context(patched).collect()}
+    assert ctx[(1, 0)] == "172.16.0.3-node0"
