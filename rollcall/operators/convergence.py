@@ -128,9 +128,10 @@ def start_events(events: DataFrame, starts: DataFrame) -> DataFrame:
     ``after_seq`` when resuming). (cluster, idx, seq)."""
     if "after_seq" not in starts.columns:
         starts = starts.withColumn("after_seq", F.lit(None).cast("long"))
-    return (events.join(starts, on="cluster", how="inner")
-            .where((F.col("idx") == F.col("start_idx"))
-                   & (F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq"))))
+    # keyed on (cluster, idx): only the start node's events meet the join
+    at = starts.select("cluster", F.col("start_idx").cast("long").alias("idx"), "after_seq")
+    return (events.join(at, on=["cluster", "idx"], how="inner")
+            .where(F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq")))
             .groupBy("cluster", "idx").agg(F.min("seq").alias("seq")))
 
 
@@ -148,7 +149,8 @@ def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -
     jump = cut_lineage(succ.join(reachable, on=["cluster", "seq"], how="left_semi"))
 
     # jumps[r]: (cluster, seq, to) with to = succ^(2^r)(seq); a missing row
-    # means the chain from seq ends before 2^r steps.
+    # means the chain from seq ends before 2^r steps. Chains merge, so many
+    # rows can share a ``to``: AQE's skew join splits such a key on the left.
     jumps = [jump]
     for _ in range(1, rounds):
         nxt = jump.select("cluster", F.col("seq").alias("to"), F.col("to").alias("to2"))
