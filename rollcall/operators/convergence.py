@@ -92,8 +92,9 @@ def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFram
     counted = ordered_scan(changes, ["cluster"], ["ts", "seq"], "delta", "n_up",
                            "running_sum", **cluster_kw)
     sizes = cluster_sizes(fleet)
-    first = (counted.join(sizes, on="cluster", how="inner")
-             .where(F.col("n_up") == F.col("n"))
+    # equi-join on (cluster, n_up = n): only the all-up moments meet the join
+    full = sizes.select("cluster", F.col("n").alias("n_up"))
+    first = (counted.join(full, on=["cluster", "n_up"], how="inner")
              .groupBy("cluster").agg(F.min(F.struct("ts", "seq")).alias("_f")))
     return (sizes.join(first, on="cluster", how="left")
             .select("cluster", "n", F.col("_f.ts").alias("all_up_at"),
