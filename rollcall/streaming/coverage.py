@@ -10,8 +10,9 @@ any time is ``min(first_seq)`` per node over the folder, then the batch
 coverage aggregate (``rollcall.operators.coverage``).
 
 Each run starts empty (the reference resets its flags): a run is a new
-checkpoint and state folder. Check-ins are never dropped as late; the
-optional watermark is off unless asked for.
+checkpoint and state folder. The state is at most one row per inventory node
+(unknown MACs make none), so it is bounded without a watermark, and no
+check-in is ever dropped as late.
 """
 
 from __future__ import annotations
