@@ -23,8 +23,10 @@ computed without walking a cluster's log in one task:
   with itself on the event's seq (a unique key, so no skew), checkpointed.
   ceil(log2(largest cluster)) rounds.
 * from L_start, positions are filled from the highest jump down:
-  L_(m + 2^r) = J_r(L_m), one left join per level over at most one row per
-  node, which reaches every node the chain reaches.
+  L_(m + 2^r) = J_r(L_m), one inner join per level of the chain so far (at
+  most one row per node, broadcast when the inventory count proves it
+  small) with J_r plus identity rows, which reaches every node the chain
+  reaches.
 
 Work is O(E log n) in joins over unique keys; no task holds more than one
 shuffle partition of events, however the events are spread over clusters
@@ -103,6 +105,17 @@ def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFram
 
 # -- Q12 ------------------------------------------------------------------------
 
+#: bytes per row of the latch chain (cluster, idx, seq) in a broadcast table
+KNOWN_ROW_BYTES = 48
+
+
+def _broadcast_limit(df: DataFrame) -> int:
+    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        return int(str(raw).lower().rstrip("b"))
+    except ValueError:
+        return 10 * 1024 * 1024
+
 def target_events(fleet: DataFrame, parsed_probes: DataFrame, target: bool) -> DataFrame:
     """Probes of inventory nodes in the target state: (cluster, idx, seq)."""
     return (parsed_probes.where(F.col("up") == F.lit(target))
@@ -136,7 +149,8 @@ def start_events(events: DataFrame, starts: DataFrame) -> DataFrame:
             .groupBy("cluster", "idx").agg(F.min("seq").alias("seq")))
 
 
-def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -> DataFrame:
+def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int,
+                 broadcast_known: bool = False, **scan_kw) -> DataFrame:
     known = start_events(events, starts)
 
     # J_0 = succ, kept only for events a chain can pass through: the start
@@ -145,8 +159,8 @@ def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -
     # earlier event of the same node with no event of the node before between.
     succ = cut_lineage(successor_events(events, **scan_kw).where(F.col("to").isNotNull())
                        .select("cluster", "seq", "to"))
-    reachable = (succ.select("cluster", F.col("to").alias("seq"))
-                 .unionByName(known.select("cluster", "seq")).distinct())
+    reachable = cut_lineage(succ.select("cluster", F.col("to").alias("seq"))
+                            .unionByName(known.select("cluster", "seq")).distinct())
     jump = cut_lineage(succ.join(reachable, on=["cluster", "seq"], how="left_semi"))
 
     # jumps[r]: (cluster, seq, to) with to = succ^(2^r)(seq); a missing row
@@ -159,16 +173,20 @@ def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int, **scan_kw) -
                            .select("cluster", "seq", F.col("to2").alias("to")))
         jumps.append(jump)
 
-    # positions from the highest jump down: L(m + 2^r) = J_r(L(m)). One left
-    # join per level keeps each known row and adds the one 2^r further on, so
-    # every level reads the previous one once (a linear plan, no checkpoint).
+    # Positions from the highest jump down: L(m + 2^r) = J_r(L(m)). Each level
+    # is one inner join of ``known`` (at most one row per node) with J_r plus
+    # identity rows (seq -> seq, step 0), which keeps every known row and
+    # adds the one 2^r further on. ``known`` is read once per level (a linear
+    # plan) and, when the inventory is proven small, broadcast, so the jump
+    # tables are only scanned, never shuffled.
+    ident = reachable.select("cluster", "seq", F.col("seq").alias("to"),
+                             F.lit(0).cast("long").alias("step"))
     for r in reversed(range(rounds)):
-        step = F.struct((F.col("idx") + (1 << r)).alias("idx"), F.col("to").alias("seq"))
-        both = F.array(F.struct("idx", "seq"), F.when(F.col("to").isNotNull(), step))
-        known = (known.join(jumps[r], on=["cluster", "seq"], how="left")
-                 .select("cluster", F.explode(both).alias("p"))
-                 .where(F.col("p").isNotNull())
-                 .select("cluster", "p.idx", "p.seq"))
+        table = jumps[r].withColumn("step", F.lit(1 << r).cast("long")).unionByName(ident)
+        side = F.broadcast(known) if broadcast_known else known
+        known = (table.join(side, on=["cluster", "seq"], how="inner")
+                 .select("cluster", (F.col("idx") + F.col("step")).alias("idx"),
+                         F.col("to").alias("seq")))
     return known
 
 
@@ -187,8 +205,12 @@ def ordered_latch(fleet: DataFrame, parsed_probes: DataFrame, target: bool = Tru
     events = cut_lineage(target_events(fleet, parsed_probes, target))
     if starts is None:
         starts = fleet.select("cluster").distinct().withColumn("start_idx", F.lit(0).cast("long"))
-    largest = fleet.groupBy("cluster").count().agg(F.max("count")).first()[0] or 0
+    sizes = (fleet.groupBy("cluster").count()
+             .agg(F.max("count").alias("largest"), F.sum("count").alias("nodes")).first())
+    largest, nodes = int(sizes["largest"] or 0), int(sizes["nodes"] or 0)
     rounds = max(1, math.ceil(math.log2(largest))) if largest > 1 else 1
-    chain = _latch_chain(events, starts, rounds, **scan_kw)
+    # the chain holds at most one row per inventory node (cluster, idx, seq)
+    small = nodes * KNOWN_ROW_BYTES <= _broadcast_limit(fleet)
+    chain = _latch_chain(events, starts, rounds, broadcast_known=small, **scan_kw)
     return (chain.join(fleet.select("cluster", "idx", "node"), on=["cluster", "idx"], how="inner")
             .select("cluster", F.col("idx").cast("long").alias("idx"), "node", "seq"))
