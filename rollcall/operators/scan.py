@@ -76,12 +76,22 @@ def split_decision(df: DataFrame, largest: int, total: int,
     return largest > limit, max(base, min(cap, math.ceil(total / max(chunk_rows, 1))))
 
 
+def _window(partition: list[str], order: list[str], kind: str):
+    # "min over the rows after this one" is the running min over the rows
+    # before it in reverse order: Spark evaluates a frame that starts at
+    # unbounded preceding incrementally, but re-aggregates an unbounded
+    # following frame for every row (quadratic in the group).
+    if kind == "min_following":
+        return Window.partitionBy(*partition).orderBy(*[F.col(c).desc() for c in order])
+    return Window.partitionBy(*partition).orderBy(*order)
+
+
 def _window_value(kind: str, value: str, w) -> Column:
     if kind == "running_sum":
         return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if kind == "previous":
         return F.lag(value, 1).over(w)
-    return F.min(value).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -109,8 +119,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         split = need if split is None else split
         num_chunks = num_chunks or chunks
     if not split:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, _window_value(kind, value, w))
+        return df.withColumn(out, _window_value(kind, value, _window(keys, order, kind)))
     return _chunked_scan(df, keys, order, value, out, kind, num_chunks or 1)
 
 
@@ -120,7 +129,7 @@ def _chunked_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
         df.repartitionByRange(num_chunks, *keys, *order)
         .withColumn(_CHUNK, F.spark_partition_id()))
 
-    w_local = Window.partitionBy(_CHUNK, *keys).orderBy(*order)
+    w_local = _window([_CHUNK, *keys], order, kind)
     local = tagged.withColumn(_LOCAL, _window_value(kind, value, w_local))
     if kind == "previous":
         local = local.withColumn(_FIRST, F.lag(F.lit(1), 1).over(w_local).isNull())
@@ -133,13 +142,13 @@ def _chunked_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
         summary = F.min(value)
     summaries = tagged.groupBy(_CHUNK, *keys).agg(summary.alias(_SUMMARY))
 
-    w_chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
+    w_chunks = _window(keys, [_CHUNK], kind)
     if kind == "running_sum":
         carry = F.sum(_SUMMARY).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
     elif kind == "previous":
         carry = F.lag(_SUMMARY, 1).over(w_chunks)
-    else:
-        carry = F.min(_SUMMARY).over(w_chunks.rowsBetween(1, Window.unboundedFollowing))
+    else:  # chunks in reverse order: the min over the chunks after this one
+        carry = F.min(_SUMMARY).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
     carries = summaries.select(_CHUNK, *keys, carry.alias(_CARRY))
 
     joined = local.join(carries, on=[_CHUNK, *keys], how="left")
