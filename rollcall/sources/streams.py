@@ -24,7 +24,20 @@ def parquet_stream(spark: SparkSession, folder: str, file_glob: str = "*.parquet
     return reader.parquet(folder)
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    try:  # any Hadoop file system
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return bool(fs.getFileStatus(hpath).isDirectory())
+    except Exception:
+        return os.path.isdir(path)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, **kw) -> DataFrame:
-    """The table ``name`` of ``sf_dir`` as a stream (one micro-batch per file)."""
+    """The table ``name`` of ``sf_dir`` as a stream: its folder of part files,
+    or the single table file picked out of ``sf_dir``."""
     path = table_path(sf_dir, name)
+    if _is_dir(spark, path):
+        return parquet_stream(spark, path, "*.parquet", **kw)
     return parquet_stream(spark, os.path.dirname(path), os.path.basename(path), **kw)
