@@ -108,3 +108,26 @@ def test_latch_stream_out_of_order_differs(spark, scratch, fleet, batch_probes):
                                     os.path.join(scratch, "ckpt")).awaitTermination()
     got = _rows(latch_stream.latches_from_state(spark, state))
     assert got != _rows(convergence.ordered_latch(fleet, batch_probes, True))
+
+
+def test_latch_stream_restart_from_checkpoint(spark, scratch, fleet, batch_probes):
+    """Three files, stop; a fourth arrives; the query resumes from its
+    checkpoint and pointer table and ends where the batch job does."""
+    src = os.path.join(scratch, "in")
+    ev = spark.read.parquet(os.path.join(SF_MID, "events.parquet"))
+    for k in (0, 1, 2):
+        (ev.where((F.col("event_id") >= BOUNDS[k]) & (F.col("event_id") < BOUNDS[k + 1]))
+         .coalesce(1).write.mode("append").parquet(src))
+    state, ckpt = os.path.join(scratch, "state"), os.path.join(scratch, "ckpt")
+
+    def run():
+        stream = views.probes_from(parquet_stream(spark, src, max_files_per_trigger=1))
+        latch_stream.start_latch_stream(fleet, stream, True, state, ckpt).awaitTermination()
+
+    run()
+    first = _rows(latch_stream.latches_from_state(spark, state))
+    (ev.where(F.col("event_id") >= BOUNDS[3]).coalesce(1).write.mode("append").parquet(src))
+    run()
+    got = _rows(latch_stream.latches_from_state(spark, state))
+    assert set(first) <= set(got)
+    assert got == _rows(convergence.ordered_latch(fleet, batch_probes, True))
