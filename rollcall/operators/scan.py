@@ -153,7 +153,8 @@ def _chunked_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
 
     joined = local.join(carries, on=[_CHUNK, *keys], how="left")
     if kind == "running_sum":
-        result = F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0))
+        # a null local sum (only nulls so far in this chunk) is the carry alone
+        result = F.coalesce(F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0)), F.col(_CARRY))
     elif kind == "previous":
         result = F.when(F.col(_FIRST), F.col(_CARRY)).otherwise(F.col(_LOCAL))
     else:

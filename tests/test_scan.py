@@ -73,3 +73,13 @@ def test_scan_keys_over_two_columns(spark):
     df = spark.createDataFrame(rows, "c int, n int, o int, v int")
     res = ordered_scan(df, ["c", "n"], ["o"], "v", "s", "running_sum", split=True, num_chunks=7)
     assert res.where(F.col("s") != F.col("o") + 1).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["running_sum", "previous", "min_following"])
+def test_chunk_starting_with_nulls(spark, kind):
+    # one key over 4 chunks of 25 rows; the second chunk's rows are all null
+    rows = [(1, o, None if 25 <= o < 50 else o % 7) for o in range(100)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    res = ordered_scan(df, ["k"], ["o"], "v", "out", kind, split=True, num_chunks=4)
+    got = {(r.k, r.o): r.out for r in res.collect()}
+    assert got == _brute(rows, kind)
