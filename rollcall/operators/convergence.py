@@ -199,6 +199,7 @@ def ordered_latch(fleet: DataFrame, parsed_probes: DataFrame, target: bool = Tru
     ``starts`` (cluster, start_idx[, after_seq]) resumes a wait at node
     start_idx, counting only events after ``after_seq`` (used by the stream,
     whose state is this pointer); default: every cluster from node 0.
+    ``seq`` is the order of the probes and must be unique within a cluster.
     Output: cluster, idx, node, seq.
     """
     # read three times (size check, successor scan, start events): written once
