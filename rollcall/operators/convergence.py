@@ -36,6 +36,7 @@ and nodes. The target events are written once (they are read three times).
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,12 +110,17 @@ def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFram
 KNOWN_ROW_BYTES = 48
 
 
+_BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+               "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
 def _broadcast_limit(df: DataFrame) -> int:
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        return int(str(raw).lower().rstrip("b"))
-    except ValueError:
+    """spark.sql.autoBroadcastJoinThreshold in bytes (-1: never broadcast)."""
+    raw = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
+    m = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", raw)
+    if not m or m.group(2).lower() not in _BYTE_UNITS:
         return 10 * 1024 * 1024
+    return int(m.group(1)) * _BYTE_UNITS[m.group(2).lower()]
 
 def target_events(fleet: DataFrame, parsed_probes: DataFrame, target: bool) -> DataFrame:
     """Probes of inventory nodes in the target state: (cluster, idx, seq)."""
