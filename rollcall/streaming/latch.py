@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -57,24 +56,20 @@ def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
     fleet_clusters = fleet.select("cluster").distinct()
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
+        # the batch is read once: the latch job writes its target events first
         spark = batch.sparkSession
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            prev = pointers_before(spark, state_path, batch_id)
-            starts = (fleet_clusters.join(prev, on="cluster", how="left")
-                      .select("cluster",
-                              F.coalesce("start_idx", F.lit(0)).cast("long").alias("start_idx"),
-                              "after_seq"))
-            latches = ordered_latch(fleet, batch, target, starts=starts, **scan_kw)
-            latches.write.mode("overwrite").parquet(
-                os.path.join(state_path, LATCHES, f"batch_id={batch_id}"))
-            written = spark.read.parquet(os.path.join(state_path, LATCHES, f"batch_id={batch_id}"))
-            moved = written.groupBy("cluster").agg(
-                (F.max("idx") + 1).alias("next_idx"), F.max("seq").alias("last_seq"))
-            moved.write.mode("overwrite").parquet(
-                os.path.join(state_path, POINTERS, f"batch_id={batch_id}"))
-        finally:
-            batch.unpersist()
+        prev = pointers_before(spark, state_path, batch_id)
+        starts = (fleet_clusters.join(prev, on="cluster", how="left")
+                  .select("cluster",
+                          F.coalesce("start_idx", F.lit(0)).cast("long").alias("start_idx"),
+                          "after_seq"))
+        latches = ordered_latch(fleet, batch, target, starts=starts, **scan_kw)
+        out = os.path.join(state_path, LATCHES, f"batch_id={batch_id}")
+        latches.write.mode("overwrite").parquet(out)
+        moved = spark.read.parquet(out).groupBy("cluster").agg(
+            (F.max("idx") + 1).alias("next_idx"), F.max("seq").alias("last_seq"))
+        moved.write.mode("overwrite").parquet(
+            os.path.join(state_path, POINTERS, f"batch_id={batch_id}"))
 
     writer = (parsed.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint_location)
