@@ -72,3 +72,26 @@ def coverage_from_state(spark: SparkSession, fleet: DataFrame, state_path: str)
     firsts = state.groupBy("cluster", "idx").agg(F.min("first_seq").alias("first_seq"))
     nodes = fleet.join(firsts, on=["cluster", "idx"], how="left")
     return coverage_from_first(nodes)
+
+
+def await_full_coverage(spark: SparkSession, query: StreamingQuery, fleet: DataFrame,
+                        state_path: str, poll_seconds: float = 1.0,
+                        timeout_seconds: float | None = None) -> DataFrame:
+    """The wait of T1 on a running stream: poll the coverage (one row per
+    cluster) until no node is pending, then stop the query. Returns the
+    coverage at that point; on timeout, or when the query ends by itself,
+    the coverage so far (``pending`` > 0 where the wait did not end)."""
+    import time
+
+    start = time.monotonic()
+    while True:
+        cov = coverage_from_state(spark, fleet, state_path)
+        done = cov.where(F.col("pending") > 0).isEmpty()
+        if done or not query.isActive:
+            break
+        if timeout_seconds is not None and time.monotonic() - start > timeout_seconds:
+            break
+        query.awaitTermination(poll_seconds)
+    if done and query.isActive:
+        query.stop()
+    return coverage_from_state(spark, fleet, state_path)

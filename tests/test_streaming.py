@@ -131,3 +131,20 @@ def test_latch_stream_restart_from_checkpoint(spark, scratch, fleet, batch_probe
     got = _rows(latch_stream.latches_from_state(spark, state))
     assert set(first) <= set(got)
     assert got == _rows(convergence.ordered_latch(fleet, batch_probes, True))
+
+
+def test_await_full_coverage_stops_the_stream(spark, scratch, fleet):
+    """A processing-time stream stops itself once every node has reported."""
+    src = os.path.join(scratch, "in")
+    _split_events(spark, src)
+    state, ckpt = os.path.join(scratch, "state"), os.path.join(scratch, "ckpt")
+    stream = views.checkins_from(parquet_stream(spark, src, max_files_per_trigger=1))
+    q = cov_stream.start_coverage_stream(fleet, stream, state, ckpt,
+                                         trigger={"processingTime": "1 second"})
+    cov = cov_stream.await_full_coverage(spark, q, fleet, state, poll_seconds=0.5,
+                                         timeout_seconds=240)
+    assert not q.isActive
+    rows = cov.collect()
+    assert rows and all(r.pending == 0 and r.cutoff_seq is not None for r in rows)
+    batch = coverage.report_coverage(fleet, parse.parse_checkins(views.checkins(spark, SF_MID)))
+    assert _rows(cov) == _rows(batch)
