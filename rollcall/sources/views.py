@@ -5,6 +5,7 @@ jobs' work. The same views are written in DuckDB SQL in
 ``rollcall.plans.oracle`` for the independent check.
 
 * ``fleet``      inventory from ``supplier``: cluster = nation, node = supplier
+                 (a row without a nation belongs to no cluster and is left out)
 * ``fleet_wide`` the same from ``customer`` (clusters never fully covered)
 * ``probes``     one ping output per event
 * ``checkins``   the two listener lines of each ``signup`` event
