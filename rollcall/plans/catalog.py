@@ -122,6 +122,15 @@ def export_hosts(spark, d):
     return sinks.read_listing(spark, path).withColumnRenamed("value", "line")
 
 
+def export_dns(spark, d):
+    """Q9: the comma-separated peer listing written per cluster and read
+    back as entries."""
+    path = scratch_path(spark, "export-dns")
+    sinks.write_listing(node_context(spark, d), path, "dns_entry", sinks.DNS_SEPARATOR)
+    return (sinks.read_listing(spark, path, sinks.DNS_SEPARATOR)
+            .withColumnRenamed("value", "entry"))
+
+
 def report_coverage_stream(spark, d):
     """Q10s: the events table as a stream (availableNow), to the end."""
     fleet = views.fleet(spark, d)
@@ -170,6 +179,7 @@ def queries() -> dict[str, Query]:
         "latch_off": latch_off,
         "export_state": export_state,
         "export_hosts": export_hosts,
+        "export_dns": export_dns,
         "report_coverage_stream": report_coverage_stream,
         "latch_on_stream": _latch_stream(True),
         "latch_off_stream": _latch_stream(False),

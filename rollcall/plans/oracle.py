@@ -252,6 +252,8 @@ def oracle_sql() -> dict[str, str]:
         "export_state": _with(_FLEET_STATE),
         "export_hosts": _with(
             "SELECT cluster, coalesce(ip, '') || ' node' || CAST(idx AS VARCHAR) AS line FROM fleet"),
+        "export_dns": _with(
+            "SELECT cluster, coalesce(ip, '') || '-node' || CAST(idx AS VARCHAR) AS entry FROM fleet"),
         # the streams must end where the batch jobs do
         "report_coverage_stream": _with(_COVERAGE),
         "latch_on_stream": _latch(True),

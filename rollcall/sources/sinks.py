@@ -14,6 +14,9 @@ from pyspark.sql.types import StructType
 
 from rollcall.functions.expressions import DNS_SEPARATOR, HOSTS_SEPARATOR
 
+__all__ = ["DNS_SEPARATOR", "HOSTS_SEPARATOR", "export_table", "read_export",
+           "write_listing", "write_listings", "read_listing"]
+
 
 def export_table(df: DataFrame, path: str, fmt: str = "json", partition_by: str = "cluster",
                  mode: str = "overwrite") -> None:
