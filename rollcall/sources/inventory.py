@@ -24,8 +24,11 @@ JSON_OPTIONS = {"allowComments": "true", "mode": "FAILFAST"}
 
 
 def read_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Inventory files -> (cluster, idx, mac, ip, is_master, is_physical, nc,
-    vmware, path), one row per array element in file order."""
+    """Inventory files -> (cluster, node, idx, mac, ip, is_master,
+    is_physical, nc, vmware, path), one row per array element in file order.
+
+    The files carry no machine id, so ``node`` (the id probes are keyed by)
+    is null until the caller assigns one, e.g. ``withColumn("node", ...)``."""
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.text(paths, wholetext=True)
     file_path = F.col("_metadata.file_path")
@@ -37,7 +40,7 @@ def read_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
                       F.from_json("value", INVENTORY_SCHEMA, JSON_OPTIONS).alias("rows"))
     rows = docs.select("cluster", F.posexplode("rows").alias("idx", "r"))
     return rows.select(
-        "cluster", F.col("idx").cast("long").alias("idx"),
+        "cluster", F.lit(None).cast("long").alias("node"), F.col("idx").cast("long").alias("idx"),
         F.col("r.MAC").alias("mac"), F.col("r.IP").alias("ip"),
         F.col("r.isMaster").alias("is_master"), F.col("r.isPhysical").alias("is_physical"),
         F.col("r.NC").alias("nc"), F.col("r.vmware").alias("vmware"), F.col("r.path").alias("path"))
