@@ -58,3 +58,17 @@ def test_landed_text_stream(spark, scratch):
     q.awaitTermination()
     got = spark.sql("SELECT count(*) AS n, count(DISTINCT seq) AS s FROM landed_checkins").first()
     assert (got.n, got.s) == (4, 4)
+
+
+def test_landed_text_feeds_the_coverage_stream(spark, scratch):
+    from rollcall.streaming import coverage as cov_stream
+
+    src = os.path.join(scratch, "in")
+    _land(src)
+    fleet = spark.createDataFrame(FLEET, FLEET_SCHEMA)
+    state_path = os.path.join(scratch, "state")
+    cov_stream.start_coverage_stream(fleet, checkin_text_stream(spark, src), state_path,
+                                     os.path.join(scratch, "ckpt")).awaitTermination()
+    got = [tuple(r) for r in cov_stream.coverage_from_state(spark, fleet, state_path).collect()]
+    base = 1_700_000_000 * 1_000_000
+    assert got == [(1, 2, 2, 0, base + 1_000_000)]

@@ -50,3 +50,19 @@ def test_landed_pings_stream(spark, scratch):
     q.awaitTermination()
     got = spark.sql("SELECT count(*) AS n, count_if(up) AS u FROM landed_pings").first()
     assert (got.n, got.u) == (4, 2)
+
+
+def test_landed_pings_feed_the_latch_stream(spark, scratch):
+    from rollcall.streaming import latch as latch_stream
+
+    src = os.path.join(scratch, "in")
+    _land(src)
+    fleet = spark.createDataFrame(FLEET, FLEET_SCHEMA)
+    q = latch_stream.start_latch_stream(fleet, probe_text_stream(spark, src), True,
+                                        os.path.join(scratch, "state"),
+                                        os.path.join(scratch, "ckpt"))
+    q.awaitTermination()
+    got = sorted((r.idx, r.seq) for r in latch_stream.latches_from_state(
+        spark, os.path.join(scratch, "state")).collect())
+    base = 1_700_000_000 * 1_000_000
+    assert got == [(0, base), (1, base + 2_000_000)]
