@@ -33,8 +33,3 @@ def flag_duplicate_macs(fleet: DataFrame) -> DataFrame:
     joined = fleet.join(firsts, on=["cluster", "idx"], how="left")
     dup = F.col("mac").isNotNull() & F.col("_first").isNull()
     return joined.withColumn("mac_duplicate", dup).drop("_first", "mac_key")
-
-
-def canonical_fleet(fleet: DataFrame) -> DataFrame:
-    """Only the rows a MAC resolves to, with their ``mac_key``."""
-    return fleet.join(first_row_per_mac(fleet), on=["cluster", "idx"], how="inner")

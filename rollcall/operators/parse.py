@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.expressions import checkin_ip, checkin_mac, mac_key, probe_up
+from rollcall.functions.expressions import checkin_ip, checkin_mac, probe_up
 
 
 def parse_probes(probes: DataFrame, output: str = "output") -> DataFrame:
@@ -24,7 +24,3 @@ def parse_checkins(checkins: DataFrame, connect_line: str = "connect_line",
     parsed = checkins.select("seq", "ts", checkin_ip(connect_line).alias("ip"),
                              checkin_mac(request_line).alias("mac"))
     return parsed.withColumn("malformed", F.col("ip").isNull() | F.col("mac").isNull())
-
-
-def with_mac_key(df: DataFrame, mac: str = "mac", out: str = "mac_key") -> DataFrame:
-    return df.withColumn(out, mac_key(mac))
