@@ -25,10 +25,12 @@ ROLE_MASTER, ROLE_SLAVE = "master", "slave "
 # a newline.
 DNS_ENTRY_INFIX, DNS_SEPARATOR = "-node", ","
 HOSTS_ENTRY_INFIX, HOSTS_SEPARATOR = " node", "\n"
-# Power source, in order of priority.
-POWER_WOL, POWER_REMOTE, POWER_LOCAL = "wol", "remote", "local"
 # ---------------------------------------------------------------------------
 
+# Our labels for how a node is powered on, in order of priority: wake-on-LAN,
+# a remote control host, a local hypervisor.
+POWER_WOL, POWER_REMOTE, POWER_LOCAL = "wol", "remote", "local"
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
