@@ -37,7 +37,8 @@ def _col(c: str | Column) -> Column:
 
 
 def truthy(c: str | Column) -> Column:
-    """JavaScript truthiness of a flag or a text: null, false and '' are not set."""
+    """Truthiness of a boolean flag: null (absent) and false are not set.
+    For a text field use ``is_set`` (null and '' are not set)."""
     c = _col(c)
     return F.coalesce(c.cast("boolean"), F.lit(False))
 
