@@ -20,17 +20,18 @@ computed without walking a cluster's log in one task:
 * J_0 keeps only events a chain can pass through (start events and
   successors); every later lookup is on such an event, so this is exact.
 * pointer doubling: J_(r+1)(e) = J_r(J_r(e)), each a join of the event table
-  with itself on the event's seq (a unique key, so no skew), checkpointed.
-  ceil(log2(largest cluster)) rounds.
+  with itself, looking up the event's seq (unique on that side),
+  checkpointed. Chains merge, so many events can share a target; such a
+  key is split by AQE's skew join. ceil(log2(largest cluster)) rounds.
 * from L_start, positions are filled from the highest jump down:
   L_(m + 2^r) = J_r(L_m), one inner join per level of the chain so far (at
   most one row per node, broadcast when the inventory count proves it
   small) with J_r plus identity rows, which reaches every node the chain
   reaches.
 
-Work is O(E log n) in joins over unique keys; no task holds more than one
-shuffle partition of events, however the events are spread over clusters
-and nodes. The target events are written once (they are read three times).
+Work is O(E log n) joins keyed by event, none keyed by cluster or node alone,
+so a cluster or node holding most of the events is spread like any other
+data. The target events are written once (they are read three times).
 """
 
 from __future__ import annotations
