@@ -29,9 +29,10 @@ computed without walking a cluster's log in one task:
   small) with J_r plus identity rows, which reaches every node the chain
   reaches.
 
-Work is O(E log n) joins keyed by event, none keyed by cluster or node alone,
-so a cluster or node holding most of the events is spread like any other
-data. The target events are written once (they are read three times).
+Work is O(E log n). Steps keyed by node are skew-proof scans or joins
+against at most one row per key (broadcast, or split by AQE's skew join), so
+a cluster or node holding most of the events is spread like any other data.
+The target events are written once (they are read three times).
 """
 
 from __future__ import annotations
