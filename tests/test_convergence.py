@@ -138,3 +138,26 @@ def test_latch_and_all_up_property(spark, sizes, log):
         assert got == walk_latch(rows, events, target)
     res = {r.cluster: r.all_up_seq for r in all_up_at(fleet, probes).collect()}
     assert res == walk_all_up(rows, events)
+
+
+def test_hot_cluster_on_driver_tables(spark):
+    """A third of the suppliers in one cluster: both scan paths agree."""
+    from pyspark.sql import functions as F
+
+    from conftest import SF_MID
+    from rollcall.operators.parse import parse_probes
+    from rollcall.sources import views
+    from rollcall.sources.tables import read_table
+
+    sup = read_table(spark, SF_MID, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"])
+    hot = sup.withColumn("s_nationkey", F.when(F.col("s_suppkey") < 33, F.lit(99))
+                         .otherwise(F.col("s_nationkey")))
+    fleet = views.fleet_from(hot, "s_nationkey", "s_suppkey", "s_acctbal")
+    pp = parse_probes(views.probes(spark, SF_MID))
+    assert fleet.where("cluster = 99").count() == 33
+    out = {}
+    for kw in ({"split": False}, {"split": True, "num_chunks": 12}):
+        out[kw["split"]] = (sorted(map(tuple, all_up_at(fleet, pp, **kw).collect())),
+                            sorted(map(tuple, ordered_latch(fleet, pp, True, **kw).collect())))
+    assert out[False] == out[True]
+    assert any(r[0] == 99 for r in out[True][1])
