@@ -47,5 +47,29 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)"""
 
 
+_OP10 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i
+        FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x.a, x.b FROM (
+    SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k
+    FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2) x
+  JOIN sizes m ON m.doc_id = x.a JOIN sizes n ON n.doc_id = x.b
+  WHERE 100 * x.k >= 85 * (m.n + n.n - x.k)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id
+GROUP BY d.doc_id, s.n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op5_decontam": _OP5}
+    return {"op2_line_dedup": _OP2, "op5_decontam": _OP5, "op10_ngram_join": _OP10}

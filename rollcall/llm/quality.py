@@ -1,9 +1,9 @@
 """Quality rules combined by weak supervision.
 
 Every rule looks at counts of a text and votes good, bad, or abstains. How far
-each rule can be trusted is not set by hand: expectation-maximisation over the
-votes of all documents estimates per rule and class how often it votes good,
-bad, or abstains, and the share of good documents. A document's verdict is its
+each rule can be trusted is estimated by expectation-maximisation over the
+votes of all documents: per rule and class, how often it votes good, bad, or
+abstains (from a stated prior on), and the share of good documents. A document's verdict is its
 posterior probability of being good under those estimates.
 
 The documents meet the fit only as a histogram of vote patterns (one group
@@ -129,8 +129,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 # -- rules ----------------------------------------------------------------------
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(2)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("int")
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    ok = F.when(good, F.lit(1)).otherwise(F.lit(0)) if good is not None else F.lit(0)
+    return F.when(bad, F.lit(2)).otherwise(ok).cast("int")
 
 
 def _share(part: str, whole: str) -> Column:
@@ -142,39 +143,43 @@ def votes() -> dict[str, Column]:
     mean = _share("word_chars", "n_words")
     some = F.col("n_words") > 0
     return {
-        "length": _vote(F.col("n_words") >= 80, F.col("n_words") < 50),
-        "mean_word": _vote(some & mean.between(3, 9), ~some | (mean < 2) | (mean > 12)),
-        "symbols": _vote(some & (_share("n_symbols", "n_words") < 0.05),
-                         _share("n_symbols", "n_words") > 0.15),
-        "dup_lines": _vote((F.col("n_lines") > 2) & (_share("n_dup_lines", "n_lines") < 0.1),
-                           _share("n_dup_lines", "n_lines") > 0.3),
-        "repeats": _vote(some & (_share("n_repeat_words", "n_words") < 0.2),
-                         _share("n_repeat_words", "n_words") > 0.5),
-        "upper": _vote(_share("n_upper", "n_letters").between(0.001, 0.15),
-                       _share("n_upper", "n_letters") > 0.3),
-        "letter_words": _vote(some & (_share("n_letter_words", "n_words") > 0.9),
-                              _share("n_letter_words", "n_words") < 0.75),
-        "line_ends": _vote(some & (_share("n_stop_lines", "n_lines") > 0.7),
-                           some & (_share("n_stop_lines", "n_lines") < 0.25)),
+        "length": _vote(F.col("n_words") < 50, F.col("n_words") >= 100),
+        "line_ends": _vote(some & (_share("n_stop_lines", "n_lines") < 0.25),
+                           some & (_share("n_stop_lines", "n_lines") > 0.7)),
+        "mean_word": _vote(~some | (mean < 2) | (mean > 12)),
+        "symbols": _vote(_share("n_symbols", "n_words") > 0.15),
+        "symbol_share": _vote(_share("n_symbols", "word_chars") > 0.06),
+        "dup_lines": _vote(_share("n_dup_lines", "n_lines") > 0.34),
+        "repeats": _vote(_share("n_repeat_words", "n_words") > 0.5),
+        "upper": _vote(_share("n_upper", "n_letters") > 0.3),
+        "letter_words": _vote(_share("n_letter_words", "n_words") < 0.75),
     }
 
 
+#: prior of a rule's votes (abstain, good, bad) in bad and in good documents,
+#: and its weight against the documents of the class: a rule seldom votes bad
+#: on a good document, which names the classes and keeps the fit from settling
+#: on some other split of the corpus, such as short against long
+PRIOR = np.array([[0.2, 0.4, 0.4], [0.2, 0.79, 0.01]])
+PRIOR_WEIGHT = 3.0
+
+
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
               ) -> tuple[float, np.ndarray]:
     """EM of the two-class vote model over a histogram of vote patterns
     (patterns x rules, votes 0/1/2). Returns the share of good documents and,
     per class (0 bad, 1 good) and rule, the probability of each vote. Starts
-    from the majority of the votes cast, which names the classes."""
+    from calling every document with a bad vote bad."""
     n, rules = patterns.shape
     if n == 0:
-        return 0.5, np.full((2, rules, 3), 1 / 3)
-    ups, downs = (patterns == 1).sum(1), (patterns == 2).sum(1)
-    post = (ups + 1.0) / (ups + 2.0 * downs + 2.0)
+        return 0.5, np.repeat(PRIOR[:, None, :], rules, axis=1)
+    post = np.where((patterns == 2).any(1), 0.1, 0.95)
     onehot = np.eye(3)[patterns]                              # pattern, rule, vote
     for _ in range(rounds):
         weight = np.stack([(1 - post) * counts, post * counts])   # class, pattern
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
-        probs = np.einsum("cp,prv->crv", weight, onehot) + 1.0
+        probs = np.einsum("cp,prv->crv", weight, onehot)
+        probs += PRIOR[:, None, :] * (PRIOR_WEIGHT * weight.sum(1)[:, None, None] + 1)
         probs /= probs.sum(2, keepdims=True)
         new = posterior(patterns, share, probs)
         if np.abs(new - post).max() < 1e-9:

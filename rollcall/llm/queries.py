@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import decontam, line_dedup, packing, quality, token_files
+from rollcall.llm import decontam, line_dedup, ngram_join, packing, quality, token_files
 from rollcall.session import scratch_path
 from rollcall.sources.tables import read_table
 
@@ -55,6 +55,11 @@ def op9_quality(spark, d):
         "base_failed", "kept", "p_good")
 
 
+def op10_ngram_join(spark, d):
+    return ngram_join.jaccard_components(_documents(spark, d), words=4, num=85, den=100).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_line_dedup": op2_line_dedup,
@@ -62,4 +67,5 @@ def queries() -> dict[str, Query]:
         "op4_token_files": op4_token_files,
         "op5_decontam": op5_decontam,
         "op9_quality": op9_quality,
+        "op10_ngram_join": op10_ngram_join,
     }
