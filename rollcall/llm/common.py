@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from rollcall.session import scratch_path
 
-#: rows of one output batch of the Arrow functions
-OUT_ROWS = 4096
-
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A 64-bit key of a row: equal only for rows equal in id and text (a null
@@ -38,26 +32,14 @@ def schema_with(df: DataFrame, *fields: StructField) -> StructType:
     return StructType([f for f in df.schema.fields if f.name not in names] + list(fields))
 
 
-def rebatch(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
-    """Row tuples as record batches."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield _batch(held, schema)
-            held = []
-    if held:
-        yield _batch(held, schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    cols = list(zip(*rows))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, type=f.type) for c, f in zip(cols, schema)], schema=schema)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: rows, and bytes where the Spark version knows the setting, of one Arrow
+#: batch: a task holds a few megabytes of texts at a time
+BATCH_ROWS, BATCH_BYTES = 500, "4m"
 
 
-ArrowFn = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+def bounded_batches(spark: SparkSession) -> None:
+    """Small Arrow batches for this session, unless it sets its own: whole
+    texts are long, and the default is counted in rows alone."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

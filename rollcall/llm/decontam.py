@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import schema_with
+from rollcall.llm.common import bounded_batches, schema_with
 from rollcall.llm.words import code_points
 
 WINDOW = 13
@@ -115,6 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     window), ``items`` (names of the items with one, sorted as strings),
     ``spans`` (merged code point ranges of the hits in the original text) and
     ``contaminated`` (n_hit > 0 and share * n_hit >= n_words)."""
+    bounded_batches(docs.sparkSession)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
               T.StructField("items", T.ArrayType(T.StringType())),

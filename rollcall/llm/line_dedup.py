@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import row_key, schema_with, written
+from rollcall.llm.common import bounded_batches, row_key, schema_with, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: the twice filter in bits: 8 for each line, between the two bounds
@@ -170,6 +170,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the kept lines of each text, joined by newline, in
     ``text_col``, and ``n_lines`` (before) and ``n_dropped``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()),
               T.StructField("n_dropped", T.LongType())]
     schema = schema_with(docs, *fields)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import row_key, schema_with, written
+from rollcall.llm.common import bounded_batches, row_key, schema_with, written
 from rollcall.llm.components import components
 from rollcall.llm.repeats import LOW, repeated_hashes
 from rollcall.llm.words import Words, constants, mix, string_slices
@@ -50,7 +50,7 @@ from rollcall.llm.words import Words, constants, mix, string_slices
 #: texts with at most this many n-grams are tested with all of them
 SHORT = 64
 #: sets a task takes on each side
-BLOCK = 20_000
+BLOCK = 4_000
 #: bytes of text whose n-grams one part of the support step owns
 PART_BYTES = 16 << 20
 
@@ -78,7 +78,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        words: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``docs`` with ``n_shingles`` (size of the set), ``component_id`` and
     ``keep`` (true for one row of each group: the one with the least id)."""
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     keyed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"),
                         F.col(text_col).alias("_text"))

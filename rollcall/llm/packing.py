@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import written
+from rollcall.llm.common import bounded_batches, written
 from rollcall.llm.encode import encoder
 
 SEQ_LEN = 2048
@@ -229,6 +229,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = SEQ_LEN, end_
     """One row per piece: id, piece, start, length, ids_crc32, the writing
     ``task`` and the piece's ``rank`` among its task's pieces of that length;
     with ``keep_ids`` also its ids, packed unsigned 32-bit."""
+    bounded_batches(docs.sparkSession)
     fields = [T.StructField(id_col, docs.schema[id_col].dataType),
               T.StructField("piece", T.IntegerType())]
     fields += [T.StructField(c, T.LongType())

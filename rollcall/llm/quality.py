@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import schema_with
+from rollcall.llm.common import bounded_batches, schema_with
 from rollcall.llm.words import Words, code_points, mix, string_slices
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -114,6 +114,7 @@ def _repeated(values: np.ndarray) -> np.ndarray:
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of ``COUNTS`` (replacing columns of the same
     name)."""
+    bounded_batches(docs.sparkSession)
     schema = schema_with(docs, *[T.StructField(c, T.LongType()) for c in COUNTS])
     kept = [f.name for f in schema.fields if f.name not in COUNTS]
 

@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import decontam, line_dedup, ngram_join, packing, quality, token_files
+from rollcall.llm import (decontam, html_extract, langid, line_dedup, ngram_join, packing, quality,
+                          secret_scan, substring_dedup, token_files)
 from rollcall.session import scratch_path
 from rollcall.sources.tables import read_table
 
@@ -24,6 +25,11 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents", ["doc_id", "text"])
 
 
+def op1_html_extract(spark, d):
+    pages = read_table(spark, d, "pages", ["page_id", "url", "html"])
+    return html_extract.extract_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op2_line_dedup(spark, d):
     out = line_dedup.dedup_lines(_documents(spark, d), min_chars=1, min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped",
@@ -49,6 +55,36 @@ def op5_decontam(spark, d):
                       "contaminated")
 
 
+def op6_langid(spark, d):
+    docs = read_table(spark, d, "documents", ["doc_id", "text", "lang"])
+    out = langid.held_out()
+    learned = docs.where(F.col("doc_id").isNotNull() & ~out)
+    model = langid.train(langid.training_rows(learned, "text", "lang"))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_secret_scan(spark, d):
+    docs = _documents(spark, d)
+    found = secret_scan.find_secrets(docs, secret_scan.learn_formats(docs))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+def op8_substring_dedup(spark, d):
+    return substring_dedup.repeated_passages(_documents(spark, d))
+
+
 def op9_quality(spark, d):
     return quality.score_quality(_documents(spark, d)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -62,10 +98,14 @@ def op10_ngram_join(spark, d):
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_line_dedup": op2_line_dedup,
         "op3_packing": op3_packing,
         "op4_token_files": op4_token_files,
         "op5_decontam": op5_decontam,
+        "op6_langid": op6_langid,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
     }

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.llm.common import bounded_batches
 from rollcall.llm.encode import encoder
 
 #: documents read back into one batch hold about this many bytes of ids
@@ -55,6 +56,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, *, end_id
                       id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every whole text under ``path`` (a folder all
     executors share), with ``end_id`` after each document."""
+    bounded_batches(docs.sparkSession)
     manifest_path = f"{path}/manifest"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
