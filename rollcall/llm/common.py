@@ -16,6 +16,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
                       F.lit("\x01"), F.col(text_col).isNull(), F.col(text_col))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder, read back: read
     more than once without being computed again, and its size is known to the

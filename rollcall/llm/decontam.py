@@ -142,7 +142,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             n_words = np.array([len(w) for _, w in normed], dtype=np.int64)
             hit = np.array(n_hit, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in order]
+                b.columns[:len(order)]
                 + [pa.array(n_words), pa.array(hit), pa.array(items, pa.list_(pa.string())),
                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                    pa.array((hit > 0) & (share * hit >= n_words))],

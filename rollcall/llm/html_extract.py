@@ -382,7 +382,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
         for b in batches:
             texts = [main_text(x.as_py(), tree) for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in order]
+                b.columns[:len(order)]
                 + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=order + [out_col, "n_chars"])
 

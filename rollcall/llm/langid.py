@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", *,
                     score.append(float(worth[i]) if letters else 0.0)
                 if spans:
                     runs += _spans(f, post, crf.langs, n)
-            cols = [b.column(b.schema.get_field_index(c)) for c in order]
+            cols = b.columns[:len(order)]
             cols += [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             if spans:
                 cols.append(pa.array(runs, pa.list_(pa.struct(

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, row_key, schema_with, written
+from rollcall.llm.common import bounded_batches, fresh, row_key, schema_with, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: the twice filter in bits: 8 for each line, between the two bounds
@@ -176,6 +176,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = schema_with(docs, *fields)
     order = [f.name for f in schema.fields[:-3]]
     docs = docs.select(*order, text_col)
+    key = fresh(docs, "_key")
     packed = spark.sparkContext.broadcast(
         twice_filter(docs, text_col, min_chars, filter_bits(docs, text_col, max_filter_bits)))
 
@@ -192,12 +193,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [pa.array(keys, pa.int64()), pa.array(digests, pa.binary())],
                 names=["_key", "_digest"])
 
-    keyed = docs.select(row_key(id_col, text_col).alias("_key"), *docs.columns)
-    by_doc = keyed.select("_key", text_col).mapInArrow(pairs, "_key long, _digest binary")
+    keyed = docs.select(row_key(id_col, text_col).alias(key), *docs.columns)
+    by_doc = keyed.select(key, text_col).mapInArrow(pairs, "_key long, _digest binary")
     repeated = written(by_doc.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
                        .where(F.col("_n") >= min_docs).select("_digest"), "line-dedup-repeated")
     if keep_first:
-        named = keyed.select("_key", id_col, text_col).mapInArrow(
+        named = keyed.select(key, id_col, text_col).mapInArrow(
             _with_id(pairs), T.StructType([T.StructField("_key", T.LongType()),
                                            T.StructField("_digest", T.BinaryType()),
                                            T.StructField("_id", docs.schema[id_col].dataType)]))
@@ -224,9 +225,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits_at = b.schema.get_field_index("_hits")
             texts, n_lines, n_dropped = [], [], []
-            for text, hits in zip(b.column(b.schema.get_field_index(text_col)), b.column(hits_at)):
+            for text, hits in zip(b.column(len(order)), b.column(len(order) + 1)):
                 text, hits = text.as_py(), hits.as_py()
                 lines, keys = line_keys(text)
                 n_lines.append(len(lines))
@@ -245,16 +245,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         drop[d] = False
                 texts.append(b"\n".join(kept).decode("utf-8"))
                 n_dropped.append(len(lines) - len(kept))
-            cols = [b.column(b.schema.get_field_index(c)) for c in order]
             yield pa.RecordBatch.from_arrays(
-                cols + [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
+                b.columns[:len(order)] + [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
                         pa.array(n_dropped, pa.int64())], names=order + [f.name for f in fields])
 
     hit_type = "array<struct<_digest: binary, _keep: boolean>>"
     clean = (docs.mapInArrow(split(False), docs.schema)
-             .withColumn("_hits", F.lit(None).cast(hit_type)))
+             .withColumn(fresh(docs, "_hits"), F.lit(None).cast(hit_type)))
     dirty = (keyed.mapInArrow(split(True), keyed.schema)
-             .join(decisions, "_key", "left").drop("_key"))
+             .join(decisions.withColumnsRenamed({"_key": key, "_hits": fresh(docs, "_hits")}), key, "left")
+             .drop(key))
     return clean.unionByName(dirty).mapInArrow(finish, schema)
 
 

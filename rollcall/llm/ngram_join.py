@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, row_key, schema_with, written
+from rollcall.llm.common import bounded_batches, fresh, row_key, schema_with, written
 from rollcall.llm.components import components
 from rollcall.llm.repeats import LOW, repeated_hashes
 from rollcall.llm.words import Words, constants, mix, string_slices
@@ -115,15 +115,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = schema_with(docs, T.StructField("n_shingles", T.LongType()),
                       T.StructField("component_id", id_type), T.StructField("keep", T.BooleanType()))
     order = [f.name for f in out.fields[:-3]]
-    return _joined(docs.select(*order), done, id_col, text_col, docs).select(
-        *order, "n_shingles", "component_id", "keep")
-
-
-def _joined(rows: DataFrame, done: DataFrame, id_col: str, text_col: str, docs: DataFrame) -> DataFrame:
-    full = docs.select(*rows.columns, *[c for c in (id_col, text_col) if c not in rows.columns])
-    full = full.withColumn("_key", row_key(id_col, text_col))
-    done = written(done, "ngram-done")
-    return full.join(done, "_key").withColumn("keep", F.col("_key") == F.col("_first"))
+    key = fresh(docs, "_key")
+    first = fresh(docs, "_first")
+    done = written(done, "ngram-done").withColumnsRenamed({"_key": key, "_first": first})
+    rows = docs.select(*order, *({id_col, text_col} - set(order)), row_key(id_col, text_col).alias(key))
+    return rows.join(done, key).select(
+        *order, "n_shingles", "component_id", (F.col(key) == F.col(first)).alias("keep"))
 
 
 def _sized(keyed: DataFrame, id_type: T.DataType, words: int, num: int, den: int) -> DataFrame:

@@ -120,10 +120,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = text_counts(b.column(b.schema.get_field_index("_text")))
+            counts = text_counts(b.column(len(kept)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in kept]
-                + [pa.array(counts[c]) for c in COUNTS], names=kept + COUNTS)
+                b.columns[:len(kept)] + [pa.array(counts[c]) for c in COUNTS], names=kept + COUNTS)
 
     return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 

@@ -281,7 +281,7 @@ def find_secrets(docs: DataFrame, formats: Formats | None, text_col: str = "text
                     spans.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                     out[row + r] = [{"kind": k, "start": s, "end": e} for s, e, k in spans]
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in order] + [pa.array(out, kind_type)],
+                b.columns[:len(order)] + [pa.array(out, kind_type)],
                 names=order + ["spans"])
 
     return docs.select(*order, F.col(text_col).alias("_text")).mapInArrow(run, schema)

@@ -46,6 +46,8 @@ MAX_CHUNK = 32
 #: from the second number on at every fourth one
 LONG, VERY_LONG = 100, 400
 PART_BYTES = 16 << 20
+#: words beyond a stretch in which windows begin or end too
+NEAR = 8
 
 
 class Chunks:
@@ -115,15 +117,16 @@ class Chunks:
         end = reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
         out = []
         for s, e in zip(begin.tolist(), end.tolist()):
+            # the passage may go on to the next chunk end on either side
+            a, b = min(s, e - size) - NEAR, max(s, e - size) + NEAR
             if e - s < LONG:
-                a, b = (max(lo, e - size), min(s, hi - size)) if e - s < size else (s, e - size)
-                out.append(np.arange(a, b + 1))
+                out.append(np.arange(max(lo, a), min(hi - size, b) + 1))
                 continue
             ends = self.bound[slice(*np.searchsorted(self.bound, (s, e - size + 1)))]
             if e - s >= VERY_LONG:
                 ends = ends[self.strong[np.maximum(ends - 1, 0)]]
-            out.append(np.unique(np.append(ends, (s, e - size))))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+            out += [ends, np.arange(max(lo, a), s + 1), np.arange(e - size, min(hi - size, b) + 1)]
+        return np.unique(np.concatenate(out))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,

@@ -1,0 +1,105 @@
+"""The pipeline against a brute-force version of its stages, and the guards of
+the registration."""
+
+import os
+import random
+import shutil
+import subprocess
+import sys
+import tempfile
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from rollcall.llm import quality
+from test_decontam import brute as brute_decontam
+from test_line_dedup import brute as brute_lines
+from test_ngram_join import brute as brute_groups
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def corpus():
+    rng = random.Random(11)
+    vocab = [f"word{i}" for i in range(900)]
+
+    def line(n):
+        return " ".join(rng.choice(vocab) for _ in range(n)) + "."
+    bench = [(i, line(20)) for i in range(4)]
+    rows = []
+    for i in range(60):
+        lines = [line(rng.randrange(8, 30)) for _ in range(rng.randrange(4, 9))]
+        if i % 4 == 0:
+            lines.append("Licensed under terms.")
+        if i % 15 == 1:
+            lines.append(bench[i % 4][1])
+        rows.append("\n".join(lines))
+    rows += [rows[2], rows[3].upper(), rows[5].replace("word1 ", "wordx ", 1)]
+    rows += [None, "", "too short.", "%%% " * 300, "\n".join(["same line here now"] * 60)]
+    return [(i, t, "en", "s", len(t or "")) for i, t in enumerate(rows)], bench
+
+
+def kept_by_votes(rows):
+    counts = quality.text_counts(pa.array([r[1] for r in rows]))
+    failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    return [r for r, bad in zip(rows, failed) if not bad]
+
+
+def test_run_matches_brute_force(spark):
+    rows, bench = corpus()
+    folder = tempfile.mkdtemp(prefix="rollcall-test-")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    docs = [(r[0], r[1]) for r in kept_by_votes(rows)]      # all others are clean here
+    docs = [(i, t) for i, _, _, t in brute_lines(docs, 1, 10)]
+    top = brute_groups(docs, 5, 4, 5)
+    docs = [(i, t) for i, t in docs if top[i][1] == i]
+    hit = brute_decontam(docs, bench, 13)
+    docs = [(i, t) for i, t in docs if not hit[i][3]]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in docs:
+        n = len(tok.encode(t, add_special_tokens=False).ids) + 1
+        want.update((i, k // 2048, k, min(2048, n - k)) for k in range(0, n, 2048))
+
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length) for r in out) == want
+    fill = defaultdict(list)
+    for r in out:
+        fill[r.sequence_id].append((r.offset, r.length))
+    for parts in fill.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == ends[:-1].tolist() and ends[-1] <= 2048
+
+    read = spark.read.parquet(f"{folder}/documents.parquet")
+    empty = read.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, read, folder).columns == read.columns
+        empty = stage(spark, empty, folder)
+        assert empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, folder).count() == 0
+
+
+def test_entry_works_without_the_subpackage():
+    folder = tempfile.mkdtemp(prefix="rollcall-test-")
+    shutil.copytree(os.path.join(ROOT, "rollcall"), f"{folder}/rollcall",
+                    ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), folder)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=folder, capture_output=True, text=True,
+                         env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert out.returncode == 0 and int(out.stdout) >= 26, out.stderr
+
+
+def test_all_eleven_are_registered():
+    import __spark_entry__ as entry
+    names = set(entry.queries())
+    assert "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert set(entry.oracle_sql()) <= names
