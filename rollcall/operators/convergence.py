@@ -1,45 +1,45 @@
 """Q11 and Q12: when a cluster converged, from the probe log.
 
-Q11 ``all_up_at``: the first probe at which every node of a cluster has its
-latest probe up. Per node, only changes of state matter (+1 when it comes up,
+A node id may stand on several inventory rows; a probe of it counts for each.
+Everything is keyed by the inventory row (cluster, idx).
+
+Q11 ``all_up_at``: the first probe at which every row of a cluster has its
+latest probe up. Per row, only changes of state matter (+1 when it comes up,
 -1 when it goes down); a running sum of those changes per cluster is the
-number of nodes up, and the answer is the first change where it reaches the
-cluster size. Both the per-node "previous state" and the per-cluster running
-sum are ``ordered_scan``s, which stay parallel when one node or one cluster
-holds most of the log.
+number of rows up, and the answer is the first change where it reaches the
+cluster size. Probes are ordered by (ts, seq), those of one row at the same
+moment with down before up, and changes of several rows at the same moment by
+idx. Both the per-row "previous state" and the per-cluster running sum are
+``ordered_scan``s, which stay parallel when one node or one cluster holds most
+of the log.
 
 Q12 ``ordered_latch``: wait for node 0 to be in the target state, then node
 1, ...; an event of the node being waited for in the target state latches it
-and moves the wait to the next node, one node per event. With E_i the target
-events of node i, latch L_i = min{e in E_i : e > L_(i-1)}. That chain is
-computed without walking a cluster's log in one task:
-
-* ``succ(e)`` for an event e of node i is the first event of node i+1 after
-  it (an ``ordered_scan`` "min over following rows" over the events of nodes
-  i and i+1, keyed by (cluster, i)). L_(i+1) = succ(L_i).
-* J_0 keeps only events a chain can pass through (start events and
-  successors); every later lookup is on such an event, so this is exact.
-* pointer doubling: J_(r+1)(e) = J_r(J_r(e)), each a join of the event table
-  with itself, looking up the event's seq (unique on that side),
-  checkpointed. Chains merge, so many events can share a target; such a
-  key is split by AQE's skew join. ceil(log2(largest cluster)) rounds.
-* from L_start, positions are filled from the highest jump down:
-  L_(m + 2^r) = J_r(L_m), one inner join per level of the chain so far (at
-  most one row per node, broadcast when the inventory count proves it
-  small) with J_r plus identity rows, which reaches every node the chain
-  reaches.
-
-Work is O(E log n). Steps keyed by node are skew-proof scans or joins
-against at most one row per key (broadcast, or split by AQE's skew join), so
-a cluster or node holding most of the events is spread like any other data.
-The target events are written once (they are read three times).
+and moves the wait to the next node. With E_i the target events of row i,
+latch L_i = min{e in E_i : e > L_(i-1)} by seq, strictly: events with one seq
+are simultaneous, and a wait moves on by one row at a time. That chain is
+computed without walking a cluster's log in one task. All tables are keyed by
+(cluster, off, seq), with off = idx - the row the wait starts at:
+
+* ``succ(e)`` for an event e at off is the first event at off+1 after it (an
+  ``ordered_scan`` "min over following rows" over the events of both, where at
+  one seq candidates come before the events that ask). L_(i+1) = succ(L_i).
+* pointer doubling: J_0 = succ, J_(r+1)(e) = J_r(J_r(e)), a join of J_r with
+  itself, checkpointed. J_r is looked up at offsets that are multiples of 2^r
+  only, so only those rows are kept: the tables halve from level to level, two
+  event tables in all. Chains merge, so many events can share a target; such a
+  key is split by AQE's skew join, as both sides are written tables.
+* from L_start, positions are filled from the highest jump down: every known
+  position looks up J_r and gives itself and the position 2^r further on. The
+  known positions are at most one row per node.
+
+Work is O(E). Steps keyed by row are skew-proof scans or joins of written
+tables, so a cluster or node holding most of the events is spread like any
+other data.
 """
 
 from __future__ import annotations
 
-import math
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,50 +51,58 @@ from rollcall.session import cut_lineage
 # -- Q11 ------------------------------------------------------------------------
 
 def _probes_of_fleet(fleet: DataFrame, parsed_probes: DataFrame) -> DataFrame:
-    return (parsed_probes.join(fleet.select("node", "cluster"), on="node", how="inner")
-            .select("cluster", "node", "ts", "seq", F.col("up").cast("int").alias("u")))
+    return (parsed_probes.join(fleet.select("node", "cluster", "idx"), on="node", how="inner")
+            .select("cluster", "idx", "ts", "seq", F.col("up").cast("int").alias("u")))
 
 
 def state_changes(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFrame:
-    """Probes of inventory nodes where the node's state changed:
-    (cluster, node, ts, seq, delta) with delta +1 (came up) or -1 (went
-    down). A node starts down."""
+    """Probes of inventory rows where the row's state changed:
+    (cluster, idx, ts, seq, delta) with delta +1 (came up) or -1 (went
+    down). A row starts down."""
     return _changes(_probes_of_fleet(fleet, parsed_probes), **scan_kw)
 
 
 def _changes(probes: DataFrame, **scan_kw) -> DataFrame:
-    prev = ordered_scan(probes, ["node"], ["ts", "seq"], "u", "prev_u", "previous", **scan_kw)
+    prev = ordered_scan(probes, ["cluster", "idx"], ["ts", "seq", "u"], "u", "prev_u", "previous",
+                        **scan_kw)
     delta = F.col("u") - F.coalesce(F.col("prev_u"), F.lit(0))
-    return (prev.select("cluster", "node", "ts", "seq", delta.alias("delta"))
+    return (prev.select("cluster", "idx", "ts", "seq", delta.alias("delta"))
             .where(F.col("delta") != 0))
 
 
+def _probe_counts(fleet: DataFrame, parsed_probes: DataFrame):
+    """(most probes of a row, most of a cluster, all): counted per node on the
+    log with a map-side combine, then joined with the inventory."""
+    per_node = parsed_probes.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    return (per_node.join(fleet.select("node", "cluster"), "node")
+            .groupBy("cluster").agg(F.sum("k").alias("c"), F.max("k").alias("m"))
+            .agg(F.max("m").alias("row_max"), F.max("c").alias("cluster_max"),
+                 F.sum("c").alias("total"))
+            .first())
+
+
 def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFrame:
     """Per cluster: n, and the ts and seq of the first probe after which all
-    n nodes are up (null when that never happens).
+    n rows are up (null when that never happens).
     Output: cluster, n, all_up_at, all_up_seq."""
     probes = _probes_of_fleet(fleet, parsed_probes)
-    node_kw, cluster_kw = dict(scan_kw), dict(scan_kw)
+    row_kw, cluster_kw = dict(scan_kw), dict(scan_kw)
     if scan_kw.get("split") is None:
-        # One pass decides both scans: probes per node bound the per-node
-        # scan, probes per cluster bound the changes per cluster.
-        st = (probes.groupBy("cluster", "node").count()
-              .groupBy("cluster").agg(F.sum("count").alias("c"), F.max("count").alias("m"))
-              .agg(F.max("m").alias("node_max"), F.max("c").alias("cluster_max"),
-                   F.sum("c").alias("total"))
-              .first())
+        st = _probe_counts(fleet, parsed_probes)
         total = int(st["total"] or 0)
         mgr = scan_kw.get("max_group_rows")
-        node_kw["split"], node_kw["num_chunks"] = split_decision(
-            probes, int(st["node_max"] or 0), total, mgr)
+        row_kw["split"], row_kw["num_chunks"] = split_decision(
+            probes, int(st["row_max"] or 0), total, mgr)
         cluster_kw["split"], cluster_kw["num_chunks"] = split_decision(
             probes, int(st["cluster_max"] or 0), total, mgr)
-    changes = _changes(probes, **node_kw)
-    if cluster_kw.get("split"):
+    if row_kw.get("split"):
         # the chunked scan samples its input, then shuffles it: write the
-        # changes once instead of recomputing the per-node scan twice
+        # joined probes once
+        probes = cut_lineage(probes)
+    changes = _changes(probes, **row_kw)
+    if cluster_kw.get("split"):
         changes = cut_lineage(changes)
-    counted = ordered_scan(changes, ["cluster"], ["ts", "seq"], "delta", "n_up",
+    counted = ordered_scan(changes, ["cluster"], ["ts", "seq", "idx", "delta"], "delta", "n_up",
                            "running_sum", **cluster_kw)
     sizes = cluster_sizes(fleet)
     # equi-join on (cluster, n_up = n): only the all-up moments meet the join
@@ -108,94 +116,55 @@ def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFram
 
 # -- Q12 ------------------------------------------------------------------------
 
-#: bytes per row of the latch chain (cluster, idx, seq) in a broadcast table
-KNOWN_ROW_BYTES = 48
-
-
-_BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-               "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    """spark.sql.autoBroadcastJoinThreshold in bytes (-1: never broadcast)."""
-    raw = str(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760b"))
-    m = re.fullmatch(r"\s*(-?\d+)\s*([a-zA-Z]*)\s*", raw)
-    if not m or m.group(2).lower() not in _BYTE_UNITS:
-        return 10 * 1024 * 1024
-    return int(m.group(1)) * _BYTE_UNITS[m.group(2).lower()]
-
-def target_events(fleet: DataFrame, parsed_probes: DataFrame, target: bool) -> DataFrame:
-    """Probes of inventory nodes in the target state: (cluster, idx, seq)."""
-    return (parsed_probes.where(F.col("up") == F.lit(target))
-            .select("node", "seq")
-            .join(fleet.select("node", "cluster", "idx"), on="node", how="inner")
-            .select("cluster", "idx", "seq"))
+def wait_events(fleet: DataFrame, parsed_probes: DataFrame, target: bool,
+                starts: DataFrame) -> DataFrame:
+    """Probes in the target state of the rows a wait can still reach:
+    (cluster, off, seq), off = idx - start_idx, later than ``after_seq``."""
+    rows = (fleet.select("cluster", "idx", "node").join(starts, on="cluster", how="inner")
+            .where(F.col("idx") >= F.col("start_idx"))
+            .select("node", "cluster", (F.col("idx") - F.col("start_idx")).cast("long").alias("off"),
+                    "after_seq"))
+    return (parsed_probes.where(F.col("up") == F.lit(target)).select("node", "seq")
+            .join(rows, on="node", how="inner")
+            .where(F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq")))
+            .select("cluster", "off", F.col("seq").cast("long").alias("seq")))
 
 
 def successor_events(events: DataFrame, **scan_kw) -> DataFrame:
-    """For each event (cluster, idx, seq): ``to``, the seq of the first event
-    of node idx+1 after it (null if none)."""
-    as_query = events.select("cluster", F.col("idx").alias("k"), "seq",
-                             F.lit(None).cast("long").alias("cand"), F.lit(True).alias("q"))
-    as_cand = events.where(F.col("idx") > 0).select(
-        "cluster", (F.col("idx") - 1).alias("k"), "seq",
-        F.col("seq").cast("long").alias("cand"), F.lit(False).alias("q"))
-    nxt = ordered_scan(as_query.unionByName(as_cand), ["cluster", "k"], ["seq"],
-                       "cand", "to", "min_following", **scan_kw)
-    return nxt.where(F.col("q")).select("cluster", F.col("k").alias("idx"), "seq", "to")
-
-
-def start_events(events: DataFrame, starts: DataFrame) -> DataFrame:
-    """L at the start node of each cluster: its first target event (after
-    ``after_seq`` when resuming). (cluster, idx, seq)."""
-    if "after_seq" not in starts.columns:
-        starts = starts.withColumn("after_seq", F.lit(None).cast("long"))
-    # keyed on (cluster, idx): only the start node's events meet the join
-    at = starts.select("cluster", F.col("start_idx").cast("long").alias("idx"), "after_seq")
-    return (events.join(at, on=["cluster", "idx"], how="inner")
-            .where(F.col("after_seq").isNull() | (F.col("seq") > F.col("after_seq")))
-            .groupBy("cluster", "idx").agg(F.min("seq").alias("seq")))
-
-
-def _latch_chain(events: DataFrame, starts: DataFrame, rounds: int,
-                 broadcast_known: bool = False, **scan_kw) -> DataFrame:
-    known = start_events(events, starts)
-
-    # J_0 = succ, kept only for events a chain can pass through: the start
-    # events and the successors of events. Every lookup below is on such an
-    # event, so the pruning is exact; it drops the events that follow an
-    # earlier event of the same node with no event of the node before between.
-    succ = cut_lineage(successor_events(events, **scan_kw).where(F.col("to").isNotNull())
-                       .select("cluster", "seq", "to"))
-    reachable = cut_lineage(succ.select("cluster", F.col("to").alias("seq"))
-                            .unionByName(known.select("cluster", "seq")).distinct())
-    jump = cut_lineage(succ.join(reachable, on=["cluster", "seq"], how="left_semi"))
-
-    # jumps[r]: (cluster, seq, to) with to = succ^(2^r)(seq); a missing row
-    # means the chain from seq ends before 2^r steps. Chains merge, so many
-    # rows can share a ``to``: AQE's skew join splits such a key on the left.
-    jumps = [jump]
-    for _ in range(1, rounds):
-        nxt = jump.select("cluster", F.col("seq").alias("to"), F.col("to").alias("to2"))
-        jump = cut_lineage(jump.join(nxt, on=["cluster", "to"], how="inner")
-                           .select("cluster", "seq", F.col("to2").alias("to")))
+    """For each event (cluster, off, seq): ``to``, the seq of the first event
+    at off+1 after it; events without one are absent."""
+    asks = events.select("cluster", F.col("off").alias("k"), "seq",
+                         F.lit(None).cast("long").alias("cand"), F.lit(1).alias("q"))
+    cands = events.where(F.col("off") > 0).select(
+        "cluster", (F.col("off") - 1).alias("k"), "seq", F.col("seq").alias("cand"),
+        F.lit(0).alias("q"))
+    nxt = ordered_scan(asks.unionByName(cands), ["cluster", "k"], ["seq", "q"], "cand", "to",
+                       "min_following", **scan_kw)
+    return (nxt.where((F.col("q") == 1) & F.col("to").isNotNull())
+            .select("cluster", F.col("k").alias("off"), "seq", "to").distinct())
+
+
+def _jumps(events: DataFrame, longest: int, **scan_kw) -> list[DataFrame]:
+    """J_0, J_1, ...: (cluster, off, seq, to) with to the seq 2^r rows on, for
+    offsets that are multiples of 2^r; up to the longest chain."""
+    jumps: list[DataFrame] = []
+    while (1 << len(jumps)) < longest:
+        r = len(jumps)
+        if not jumps:
+            jump = successor_events(events, **scan_kw)
+        else:
+            step = 1 << (r - 1)
+            here = jumps[-1].where(F.col("off") % (2 * step) == 0)
+            there = jumps[-1].where(F.col("off") % (2 * step) == step).select(
+                "cluster", (F.col("off") - step).alias("off"), F.col("seq").alias("to"),
+                F.col("to").alias("to2"))
+            jump = (here.join(there, on=["cluster", "off", "to"], how="inner")
+                    .select("cluster", "off", "seq", F.col("to2").alias("to")))
+        jump = cut_lineage(jump)
+        if jump.isEmpty():       # no chain is that long
+            break
         jumps.append(jump)
-
-    # Positions from the highest jump down: L(m + 2^r) = J_r(L(m)). Each level
-    # is one inner join of ``known`` (at most one row per node) with J_r plus
-    # identity rows (seq -> seq, step 0), which keeps every known row and
-    # adds the one 2^r further on. ``known`` is read once per level (a linear
-    # plan) and, when the inventory is proven small, broadcast, so the jump
-    # tables are only scanned, never shuffled.
-    ident = reachable.select("cluster", "seq", F.col("seq").alias("to"),
-                             F.lit(0).cast("long").alias("step"))
-    for r in reversed(range(rounds)):
-        table = jumps[r].withColumn("step", F.lit(1 << r).cast("long")).unionByName(ident)
-        side = F.broadcast(known) if broadcast_known else known
-        known = (table.join(side, on=["cluster", "seq"], how="inner")
-                 .select("cluster", (F.col("idx") + F.col("step")).alias("idx"),
-                         F.col("to").alias("seq")))
-    return known
+    return jumps
 
 
 def ordered_latch(fleet: DataFrame, parsed_probes: DataFrame, target: bool = True,
@@ -204,22 +173,32 @@ def ordered_latch(fleet: DataFrame, parsed_probes: DataFrame, target: bool = Tru
     the probe that latched it in the target state (up for ``True``, down for
     ``False``). Nodes after the first one that never gets there are absent.
 
-    ``starts`` (cluster, start_idx[, after_seq]) resumes a wait at node
+    ``starts`` (cluster, start_idx[, after_seq]) resumes a wait at row
     start_idx, counting only events after ``after_seq`` (used by the stream,
-    whose state is this pointer); default: every cluster from node 0.
-    ``seq`` is the order of the probes and must be unique within a cluster.
+    whose state is this pointer); default: every cluster from row 0.
+    ``seq`` is the order of the probes; probes may share one.
     Output: cluster, idx, node, seq.
     """
-    # read three times (size check, successor scan, start events): written once
-    events = cut_lineage(target_events(fleet, parsed_probes, target))
     if starts is None:
         starts = fleet.select("cluster").distinct().withColumn("start_idx", F.lit(0).cast("long"))
-    sizes = (fleet.groupBy("cluster").count()
-             .agg(F.max("count").alias("largest"), F.sum("count").alias("nodes")).first())
-    largest, nodes = int(sizes["largest"] or 0), int(sizes["nodes"] or 0)
-    rounds = max(1, math.ceil(math.log2(largest))) if largest > 1 else 1
-    # the chain holds at most one row per inventory node (cluster, idx, seq)
-    small = nodes * KNOWN_ROW_BYTES <= _broadcast_limit(fleet)
-    chain = _latch_chain(events, starts, rounds, broadcast_known=small, **scan_kw)
-    return (chain.join(fleet.select("cluster", "idx", "node"), on=["cluster", "idx"], how="inner")
-            .select("cluster", F.col("idx").cast("long").alias("idx"), "node", "seq"))
+    if "after_seq" not in starts.columns:
+        starts = starts.withColumn("after_seq", F.lit(None).cast("long"))
+    # read several times (size check, successor scan, first events): written once
+    events = cut_lineage(wait_events(fleet, parsed_probes, target, starts))
+    longest = int(events.agg(F.max("off")).first()[0] or 0) + 1
+    jumps = _jumps(events, longest, **scan_kw)
+    known = (events.where(F.col("off") == 0).groupBy("cluster").agg(F.min("seq").alias("seq"))
+             .select("cluster", F.lit(0).cast("long").alias("off"), "seq"))
+    for r in reversed(range(len(jumps))):
+        # known: offsets that are multiples of 2^(r+1)
+        table = jumps[r].where(F.col("off") % (2 << r) == 0)
+        here = F.struct("off", "seq")
+        on = F.struct((F.col("off") + (1 << r)).alias("off"), F.col("to").alias("seq"))
+        both = F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, on))
+        known = (known.join(table, on=["cluster", "off", "seq"], how="left")
+                 .select("cluster", F.explode(both).alias("p"))
+                 .select("cluster", "p.off", "p.seq"))
+    return (known.join(starts.select("cluster", "start_idx"), on="cluster", how="inner")
+            .select("cluster", (F.col("off") + F.col("start_idx")).cast("long").alias("idx"), "seq")
+            .join(fleet.select("cluster", "idx", "node"), on=["cluster", "idx"], how="inner")
+            .select("cluster", "idx", "node", "seq"))

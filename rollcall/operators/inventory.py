@@ -6,7 +6,9 @@ inventory would find it. Later rows with the same MAC are duplicates and can
 never be reported.
 
 Both steps are aggregate + join, not a window per MAC: a MAC repeated on a
-third of the inventory is combined map-side and split by AQE's skew join.
+third of the inventory is combined map-side. Where the result is joined with
+a log, it is written first (``split_side``), because AQE splits a hot key only
+when each side of the join is a plain shuffle, not an aggregate.
 """
 
 from __future__ import annotations

@@ -19,8 +19,10 @@ key's ordered rows into range chunks and run the window inside each chunk:
 When an aggregate shows every key is small (``max_group_rows``), the plain
 window is used instead: same result, one shuffle, no checkpoint.
 
-Keys must be non-null; the order columns should give a total order within a
-key (ties are broken arbitrarily, as in any window).
+Keys must be non-null. The order columns must order the rows of a key
+totally, up to rows that are equal in ``value`` as well; then both paths give
+the same result, so which one runs (a matter of sizes) never shows. Rows with
+equal keys and order lie in one chunk.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ from rollcall.session import cut_lineage
 DEFAULT_MAX_GROUP_ROWS = 1_000_000
 #: target rows per chunk on the split path (narrow rows: keys, order, value)
 DEFAULT_CHUNK_ROWS = 8_000_000
-#: most chunks one scan makes (larger chunks beyond that; still exact)
-DEFAULT_MAX_CHUNKS = 100_000
 
 _CHUNK = "_rc_chunk"
 _LOCAL = "_rc_local"
@@ -50,10 +50,7 @@ _KINDS = ("running_sum", "previous", "min_following")
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
-    try:
-        return int(df.sparkSession.conf.get(key, str(default)))
-    except Exception:  # pragma: no cover - conf not readable
-        return default
+    return int(df.sparkSession.conf.get(key, str(default)))
 
 
 def _group_stats(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
@@ -72,8 +69,7 @@ def split_decision(df: DataFrame, largest: int, total: int,
         df, "rollcall.scan.maxGroupRows", DEFAULT_MAX_GROUP_ROWS)
     base = _conf_int(df, "spark.sql.shuffle.partitions", 200)
     chunk_rows = _conf_int(df, "rollcall.scan.chunkRows", DEFAULT_CHUNK_ROWS)
-    cap = _conf_int(df, "rollcall.scan.maxChunks", DEFAULT_MAX_CHUNKS)
-    return largest > limit, max(base, min(cap, math.ceil(total / max(chunk_rows, 1))))
+    return largest > limit, max(base, math.ceil(total / max(chunk_rows, 1)))
 
 
 def _window(partition: list[str], order: list[str], kind: str):

@@ -24,7 +24,11 @@ def _state(fleet, probes=None, checkins=None):
 
 
 def _running(fleet, probes=None, checkins=None):
-    return state.select_nodes(_state(fleet, probes), "running")
+    return state.select_nodes(state.node_up(fleet, parse.parse_probes(probes)), "running")
+
+
+def _running_context(fleet, probes=None, checkins=None):
+    return state.running_context(fleet, parse.parse_probes(probes))
 
 
 def _all(fleet, probes=None, checkins=None):
@@ -66,7 +70,7 @@ COMMANDS: dict[str, Command] = {
         fleet, parse.parse_probes(probes)),
     # actions on running nodes only
     "off": _running, "reboot": _running, "eraseAll": _running,
-    "deployK8S": _running, "startK8S": _running, "stopK8S": _running,
+    "deployK8S": _running_context, "startK8S": _running_context, "stopK8S": _running_context,
     # actions on every node: how each is powered on, or its context
     "on": lambda fleet, probes=None, checkins=None: state.node_power(fleet),
     "base": _all, "deploy1": _all, "deploy2": _all, "deployConfig": _all,

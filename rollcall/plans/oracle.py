@@ -57,17 +57,21 @@ _CHECKINS = """
   FROM events WHERE event_type = 'signup'"""
 
 
-def _base(fleet_table: str = "supplier") -> list[tuple[str, str]]:
+def _base(fleet_table: str = "supplier", mac: str | None = None, node: str | None = None,
+          seq: str = "seq") -> list[tuple[str, str]]:
     if fleet_table == "supplier":
         fleet = _fleet_sql("supplier", "s_nationkey", "s_suppkey", "s_acctbal")
     else:
         fleet = _fleet_sql("customer", "c_nationkey", "c_custkey", "c_acctbal")
+    changed = ", ".join(f"{expr} AS {c}" for c, expr in (("mac", mac), ("node", node)) if expr)
+    if changed:
+        fleet = f"SELECT * REPLACE ({changed}) FROM ({fleet})"
     return [
         ("fleet", fleet),
         ("probes", _PROBES),
         ("checkins", _CHECKINS),
         ("pp", f"""
-  SELECT seq, ts, node,
+  SELECT {seq} AS seq, ts, node,
          coalesce(regexp_matches(output, '(?i){PROBE_UP_PATTERN}'), false) AS up
   FROM probes"""),
         ("pc", f"""
@@ -93,7 +97,10 @@ def _base(fleet_table: str = "supplier") -> list[tuple[str, str]]:
          CASE WHEN count(*) = count(first_seq) THEN max(first_seq) END AS cutoff_seq
   FROM nodes GROUP BY cluster"""),
         ("sizes", "SELECT cluster, count(*) AS n FROM fleet GROUP BY cluster"),
-        ("latest", "SELECT node, arg_max(up, seq) AS up FROM pp GROUP BY node"),
+        ("latest", """
+  SELECT node, bool_or(up) AS up
+  FROM (SELECT node, up, seq = max(seq) OVER (PARTITION BY node) AS last FROM pp)
+  WHERE last GROUP BY node"""),
         ("st", """
   SELECT f.cluster, f.idx, f.node, f.mac, f.ip, coalesce(f.is_master, false) AS is_master,
          s.n, coalesce(l.up, false) AS up
@@ -107,8 +114,8 @@ def _base(fleet_table: str = "supplier") -> list[tuple[str, str]]:
 
 
 def _with(body: str, fleet_table: str = "supplier", extra: list[tuple[str, str]] | None = None,
-          recursive: bool = False) -> str:
-    ctes = _base(fleet_table) + (extra or [])
+          recursive: bool = False, **base) -> str:
+    ctes = _base(fleet_table, **base) + (extra or [])
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(f"{name} AS ({sql}\n)" for name, sql in ctes) + "\n" + body
 
@@ -185,16 +192,17 @@ _NOT_REPORTED = "SELECT cluster, idx, node, mac FROM nodes WHERE first_seq IS NU
 
 _ALL_UP = [
     ("pf", """
-  SELECT f.cluster, p.node, p.ts, p.seq, CAST(p.up AS INTEGER) AS u
+  SELECT f.cluster, f.idx, p.ts, p.seq, CAST(p.up AS INTEGER) AS u
   FROM pp p JOIN fleet f USING (node)"""),
     ("chg", """
   SELECT * FROM (
-    SELECT cluster, ts, seq,
-           u - coalesce(lag(u) OVER (PARTITION BY node ORDER BY ts, seq), 0) AS delta
+    SELECT cluster, idx, ts, seq,
+           u - coalesce(lag(u) OVER (PARTITION BY cluster, idx ORDER BY ts, seq, u), 0) AS delta
     FROM pf) WHERE delta <> 0"""),
     ("run", """
   SELECT cluster, ts, seq,
-         sum(delta) OVER (PARTITION BY cluster ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS n_up
+         sum(delta) OVER (PARTITION BY cluster ORDER BY ts, seq, idx, delta
+                          ROWS UNBOUNDED PRECEDING) AS n_up
   FROM chg"""),
     ("hit", """
   SELECT cluster, ts, seq FROM (
@@ -207,7 +215,7 @@ SELECT s.cluster, s.n, h.ts AS all_up_at, h.seq AS all_up_seq
 FROM sizes s LEFT JOIN hit h USING (cluster)"""
 
 
-def _latch(target: bool) -> str:
+def _latch(target: bool, fleet_table: str = "supplier", **base) -> str:
     extra = [
         ("ev", f"""
   SELECT f.cluster, f.idx, p.seq FROM pp p JOIN fleet f USING (node)
@@ -223,16 +231,26 @@ def _latch(target: bool) -> str:
     body = """
 SELECT l.cluster, CAST(l.idx AS BIGINT) AS idx, f.node, l.seq
 FROM latch l JOIN fleet f ON f.cluster = l.cluster AND f.idx = l.idx"""
-    return _with(body, extra=extra, recursive=True)
+    return _with(body, fleet_table, extra=extra, recursive=True, **base)
+
+
+# variants of the inventory and of the probes' order (rollcall.sources.views)
+_SHARED_MAC = "'MAC' || lpad(CAST(node // 2 AS VARCHAR), 9, '0')"
+_SHARED_NODE = "node // 3"
+_COARSE = "seq // 7"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "fleet_scan": _with(_FLEET_SCAN),
+        "fleet_scan_shared": _with(_FLEET_SCAN, mac=_SHARED_MAC),
+        "fleet_scan_json": _with(_FLEET_SCAN),
         "parse_checkins": _with(
             "SELECT seq, ts, ip, mac, (ip IS NULL OR mac IS NULL) AS malformed FROM pc"),
         "parse_probes": _with("SELECT seq, ts, node, up FROM pp"),
         "apply_checkins": _with(_APPLY.format(ip="coalesce(pn.new_ip, f.ip)")),
+        "apply_checkins_shared": _with(_APPLY.format(ip="coalesce(pn.new_ip, f.ip)"), mac=_SHARED_MAC),
+        "apply_checkins_stream": _with(_APPLY.format(ip="coalesce(pn.new_ip, f.ip)")),
         "apply_checkins_keep_ip": _with(_APPLY.format(ip="f.ip")),
         "unknown_checkins": _with(_UNKNOWN),
         "fleet_state": _with(_FLEET_STATE),
@@ -243,17 +261,27 @@ def oracle_sql() -> dict[str, str]:
         "select_running": _with(_SELECT_RUNNING),
         "select_head": _with(_SELECT_HEAD),
         "node_context": _with(_NODE_CONTEXT),
+        "running_context": _with(_NODE_CONTEXT + " JOIN st s ON s.cluster = f.cluster AND s.idx = f.idx "
+                                 "WHERE s.up"),
         "report_coverage": _with(_COVERAGE),
         "report_coverage_wide": _with(_COVERAGE, fleet_table="customer"),
         "not_reported": _with(_NOT_REPORTED),
+        "not_reported_wide": _with(_NOT_REPORTED, fleet_table="customer"),
         "all_up_at": _with(_ALL_UP_BODY, extra=_ALL_UP),
+        "all_up_at_wide": _with(_ALL_UP_BODY, fleet_table="customer", extra=_ALL_UP),
+        "all_up_at_shared": _with(_ALL_UP_BODY, extra=_ALL_UP, node=_SHARED_NODE, seq=_COARSE),
         "latch_on": _latch(True),
+        "latch_on_wide": _latch(True, "customer"),
+        "latch_on_ties": _latch(True, seq=_COARSE),
+        "latch_off_ties": _latch(False, seq=_COARSE),
         "latch_off": _latch(False),
         "export_state": _with(_FLEET_STATE),
         "export_hosts": _with(
-            "SELECT cluster, coalesce(ip, '') || ' node' || CAST(idx AS VARCHAR) AS line FROM fleet"),
+            "SELECT cluster, coalesce(ip, '') || ' node' || CAST(idx AS VARCHAR) AS line, "
+            "idx AS position FROM fleet"),
         "export_dns": _with(
-            "SELECT cluster, coalesce(ip, '') || '-node' || CAST(idx AS VARCHAR) AS entry FROM fleet"),
+            "SELECT cluster, coalesce(ip, '') || '-node' || CAST(idx AS VARCHAR) AS entry, "
+            "idx AS position FROM fleet"),
         # the streams must end where the batch jobs do
         "report_coverage_stream": _with(_COVERAGE),
         "latch_on_stream": _latch(True),

@@ -81,3 +81,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def split_side(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, to be joined with a table that has
+    hot keys. Over an aggregate the join would reuse the aggregate's
+    partitioning, and AQE would not split a hot key; over a written table both
+    sides are plain shuffles, which it does split (or it broadcasts this side
+    at its measured size)."""
+    return cut_lineage(df)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours on whatever file system it lies (no error when
+    it is not there)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names directly under a folder; empty when it is not there."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return []
+    return [s.getPath().getName() for s in fs.listStatus(hpath)]

@@ -8,7 +8,8 @@ FAILFAST (a malformed file raises; it is never evaluated as code), and
 ``posexplode`` gives each row its position ``idx``.
 
 The cluster of a file is its ``cluster=<name>`` folder when the files are laid
-out that way, else the file name without extension.
+out that way, else the file name without extension. It is taken from the path
+as text, so ``007`` and ``7`` are two clusters.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ def read_inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     raw = spark.read.text(paths, wholetext=True)
     file_path = F.col("_metadata.file_path")
-    if "cluster" in raw.columns:
-        cluster = F.col("cluster").cast("string")
-    else:
-        cluster = F.regexp_extract(file_path, r"([^/]+?)(\.[^./]*)?$", 1)
+    folder = F.regexp_extract(file_path, r"/cluster=([^/]+)/[^/]*$", 1)
+    name = F.regexp_extract(file_path, r"([^/]+?)(\.[^./]*)?$", 1)
+    cluster = F.url_decode(F.replace(F.when(folder != "", folder).otherwise(name),
+                                     F.lit("+"), F.lit("%2B")))
     docs = raw.select(cluster.alias("cluster"),
                       F.from_json("value", INVENTORY_SCHEMA, JSON_OPTIONS).alias("rows"))
     rows = docs.select("cluster", F.posexplode("rows").alias("idx", "r"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rollcall.functions.expressions import DNS_SEPARATOR, HOSTS_SEPARATOR
+from rollcall.operators.scan import row_index
 
 __all__ = ["DNS_SEPARATOR", "HOSTS_SEPARATOR", "export_table", "read_export",
            "write_listing", "write_listings", "read_listing"]
@@ -28,21 +29,31 @@ def read_export(spark: SparkSession, path: str, schema: StructType, fmt: str = "
                 partition_by: str = "cluster") -> DataFrame:
     """Read back an export with the given schema (the partition column comes
     from the folder names)."""
-    body = StructType([f for f in schema.fields if f.name != partition_by])
+    body = StructType([f for f in schema.fields if f.name != partition_by]
+                      + [schema[partition_by]])
     df = spark.read.schema(body).format(fmt).load(path)
     return df.select(*[F.col(c) for c in schema.fieldNames()])
 
 
 def write_listing(context: DataFrame, path: str, entry: str = "hosts_entry",
-                  separator: str = HOSTS_SEPARATOR, num_partitions: int | None = None) -> None:
+                  separator: str = HOSTS_SEPARATOR, num_partitions: int | None = None,
+                  header: list[str] | None = None) -> None:
     """One text listing per cluster from node rows (cluster, idx, entry):
-    each entry followed by ``separator``, in idx order across part files.
+    the ``header`` entries, then each entry followed by ``separator``, in idx
+    order across part files.
 
     ``hosts_entry`` with a newline is the hosts-file form; ``dns_entry`` with
     ``DNS_SEPARATOR`` is the comma-separated form (with a trailing comma).
     """
     n = num_partitions or int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (context.select("cluster", "idx", F.col(entry).alias("value"))
+    rows = context.select("cluster", F.col("idx").cast("long").alias("idx"),
+                          F.col(entry).alias("value"))
+    if header:
+        lines = F.posexplode(F.array(*[F.lit(h) for h in header])).alias("_at", "value")
+        rows = rows.unionByName(
+            context.select("cluster").distinct().select("cluster", lines)
+            .select("cluster", (F.col("_at") - len(header)).cast("long").alias("idx"), "value"))
+    (rows
      .repartitionByRange(n, "cluster", "idx")
      .sortWithinPartitions("cluster", "idx")
      .drop("idx")
@@ -56,6 +67,16 @@ def write_listings(context: DataFrame, path: str) -> None:
     write_listing(context, f"{path}/dns", "dns_entry", DNS_SEPARATOR)
 
 
-def read_listing(spark: SparkSession, path: str, separator: str = HOSTS_SEPARATOR) -> DataFrame:
-    """(cluster, value) lines of a listing written by ``write_listing``."""
-    return spark.read.option("lineSep", separator).text(path).select("cluster", "value")
+def read_listing(spark: SparkSession, path: str, separator: str = HOSTS_SEPARATOR,
+                 cluster_type: str = "string", position: bool = False) -> DataFrame:
+    """(cluster, value) lines of a listing written by ``write_listing``; with
+    ``position`` also each line's place in its cluster's listing, from 0."""
+    lines = (spark.read.schema(f"value string, cluster {cluster_type}")
+             .option("lineSep", separator).text(path))
+    if not position:
+        return lines.select("cluster", "value")
+    placed = lines.select("cluster", "value", F.col("_metadata.file_path").alias("_f"),
+                          F.col("_metadata.file_block_start").alias("_b"),
+                          F.monotonically_increasing_id().alias("_m"))
+    return (row_index(placed, ["cluster"], ["_f", "_b", "_m"], "position")
+            .select("cluster", "value", "position"))

@@ -65,6 +65,38 @@ def fleet_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fleet_from(cus, "c_nationkey", "c_custkey", "c_acctbal")
 
 
+def shared_macs(fleet: DataFrame) -> DataFrame:
+    """The inventory with one MAC for every two nodes (of node div 2)."""
+    return fleet.withColumn("mac", mac_of(F.expr("node div 2")))
+
+
+def shared_nodes(fleet: DataFrame) -> DataFrame:
+    """The inventory with one node id for every three rows (of node div 3), in
+    one cluster or in several."""
+    return fleet.withColumn("node", F.expr("node div 3"))
+
+
+def write_inventory_json(fleet: DataFrame, path: str) -> None:
+    """The inventory as files in the form ``read_inventory`` takes: one
+    commented JSON array per cluster. A cluster's file is one document, so one
+    row; this only makes an input file for the reader."""
+    fields = F.struct(F.col("ip").alias("IP"), F.col("mac").alias("MAC"),
+                      F.col("is_master").alias("isMaster"), F.col("is_physical").alias("isPhysical"),
+                      F.col("nc").alias("NC"), "vmware", "path")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.to_json(fields).alias("j")))),
+                       lambda r: r["j"])
+    text = F.concat(F.lit("/* inventory */ [\n"), F.array_join(rows, " /* next */ ,\n"), F.lit("\n]"))
+    (fleet.groupBy("cluster").agg(text.alias("value"))
+     .repartition("cluster")
+     .write.partitionBy("cluster").option("lineSep", "\n").text(path))
+
+
+def coarse_seq(probes: DataFrame) -> DataFrame:
+    """Probes in a coarse order: seven events share a seq (and the least ts of
+    their seven is no longer told apart)."""
+    return probes.withColumn("seq", F.expr("seq div 7"))
+
+
 def probes_from(events: DataFrame) -> DataFrame:
     eid, uid = F.col("event_id"), F.col("user_id")
     reply_ip = F.concat(F.lit("10.0.0."), _s(uid))

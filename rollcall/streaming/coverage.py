@@ -1,47 +1,64 @@
-"""Q10s: report coverage from a stream of check-ins.
+"""Q10s: report coverage and the address patch, from a stream of check-ins.
 
-The stream is parsed, matched to the inventory with a stream-static join on
-the MAC key (unknown reporters make no state), and reduced with a stateful
-aggregate per node: the first check-in seq and the count. The aggregate runs
-in update mode; each micro-batch's changed rows are written by
-``foreachBatch`` to a folder per batch id (overwritten on a replay, so the
-sink is idempotent). The first seq only ever goes down, so the coverage at
-any time is ``min(first_seq)`` per node over the folder, then the batch
-coverage aggregate (``rollcall.operators.coverage``).
+The stream is parsed and, per micro-batch, matched to the inventory row of its
+MAC (unknown reporters make no state). The state is one row per inventory row
+that has reported: first check-in, number of check-ins consumed, the latest one
+with an address and that address; it is kept as snapshots
+(``rollcall.streaming.snapshots``), so it is bounded by the inventory and a
+replayed batch changes nothing.
+
+Coverage needs no order: ``first_seq`` only ever goes down. The patch follows
+the batch job (``state.apply_checkins``): a cluster consumes check-ins up to
+its cut-off, the check-in at which its last row first reported. For that,
+check-ins must arrive in seq order across micro-batches; within one any order
+does.
 
 Each run starts empty (the reference resets its flags): a run is a new
-checkpoint and state folder. The state is at most one row per inventory node
-(unknown MACs make none), so it is bounded without a watermark, and no
-check-in is ever dropped as late.
+checkpoint and state folder.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from rollcall.functions.expressions import mac_key
 from rollcall.operators.coverage import coverage_from_first
 from rollcall.operators.inventory import first_row_per_mac
 from rollcall.operators.parse import parse_checkins
+from rollcall.operators.state import matched_by_key, patch_rows
 from rollcall.session import cut_lineage
-from rollcall.sources.tables import read_parquet_or_empty
-
-
-def node_first_updates(fleet: DataFrame, checkins_stream: DataFrame) -> DataFrame:
-    """Streaming (cluster, idx, first_seq, n_checkins) per inventory node.
-
-    The inventory keys are written once when the stream is defined, so a
-    micro-batch reads them instead of recomputing the inventory view."""
-    keys = cut_lineage(first_row_per_mac(fleet))
-    parsed = (parse_checkins(checkins_stream).where(F.col("mac").isNotNull())
-              .select("seq", mac_key("mac").alias("mac_key")))
-    return (parsed.join(keys, on="mac_key", how="inner")
-            .groupBy("cluster", "idx")
-            .agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n_checkins")))
+from rollcall.streaming.snapshots import read_snapshot, write_snapshot
+
+
+def state_schema(fleet: DataFrame) -> StructType:
+    """Types of the state, from the inventory's (a cluster may be text)."""
+    return StructType([fleet.schema["cluster"], fleet.schema["idx"],
+                       StructField("first_seq", LongType()), StructField("n_checkins", LongType()),
+                       StructField("new_seq", LongType()), StructField("new_ip", StringType())])
+
+
+def _merge(fleet: DataFrame, state: DataFrame, matched: DataFrame) -> DataFrame:
+    """The state after the matched check-ins of one batch."""
+    key = ["cluster", "idx"]
+    firsts = cut_lineage(
+        state.select(*key, "first_seq")
+        .unionByName(matched.select(*key, F.col("seq").alias("first_seq")))
+        .groupBy(*key).agg(F.min("first_seq").alias("first_seq")))
+    nodes = fleet.select(*key).join(firsts, on=key, how="left")
+    cutoffs = cut_lineage(coverage_from_first(nodes).select("cluster", "cutoff_seq"))
+    consumed = (matched.join(cutoffs, on="cluster", how="inner")
+                .where(F.col("cutoff_seq").isNull() | (F.col("seq") <= F.col("cutoff_seq"))))
+    old = state.drop("first_seq").withColumnsRenamed(
+        {"n_checkins": "_n", "new_seq": "_seq", "new_ip": "_ip"})
+    newer = F.col("new_seq").isNotNull() & (F.col("_seq").isNull() | (F.col("new_seq") >= F.col("_seq")))
+    return (firsts.join(patch_rows(consumed), on=key, how="left").join(old, on=key, how="left")
+            .select(*key, "first_seq",
+                    (F.coalesce("n_checkins", F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long")
+                    .alias("n_checkins"),
+                    F.when(newer, F.col("new_seq")).otherwise(F.col("_seq")).alias("new_seq"),
+                    F.when(newer, F.col("new_ip")).otherwise(F.col("_ip")).alias("new_ip")))
 
 
 def start_coverage_stream(fleet: DataFrame, checkins_stream: DataFrame, state_path: str,
@@ -49,15 +66,22 @@ def start_coverage_stream(fleet: DataFrame, checkins_stream: DataFrame, state_pa
                           query_name: str | None = None) -> StreamingQuery:
     """Start Q10s; ``trigger`` as for ``DataStreamWriter.trigger`` (default
     availableNow)."""
-    updates = node_first_updates(fleet, checkins_stream)
+    # read by every micro-batch: written once, here
+    rows = cut_lineage(fleet.select("cluster", "idx"))
+    keys = cut_lineage(first_row_per_mac(fleet))
+    schema = state_schema(fleet)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.write.mode("overwrite")
-         .parquet(os.path.join(state_path, f"batch_id={batch_id}")))
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        matched = cut_lineage(matched_by_key(batch, keys))
+        if matched.isEmpty():
+            return
+        state = read_snapshot(spark, state_path, schema, before=batch_id)
+        write_snapshot(_merge(rows, state, matched), state_path, batch_id)
 
-    writer = (updates.writeStream.outputMode("update")
+    writer = (parse_checkins(checkins_stream).writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint_location)
-              .foreachBatch(sink)
+              .foreachBatch(run_batch)
               .trigger(**(trigger or {"availableNow": True})))
     if query_name:
         writer = writer.queryName(query_name)
@@ -67,11 +91,19 @@ def start_coverage_stream(fleet: DataFrame, checkins_stream: DataFrame, state_pa
 def coverage_from_state(spark: SparkSession, fleet: DataFrame, state_path: str) -> DataFrame:
     """Coverage per cluster from what the stream has written so far:
     (cluster, n, reported, pending, cutoff_seq)."""
-    state = read_parquet_or_empty(spark, state_path,
-                                  "cluster int, idx long, first_seq long, n_checkins long")
-    firsts = state.groupBy("cluster", "idx").agg(F.min("first_seq").alias("first_seq"))
-    nodes = fleet.join(firsts, on=["cluster", "idx"], how="left")
-    return coverage_from_first(nodes)
+    firsts = read_snapshot(spark, state_path, state_schema(fleet)).select(
+        "cluster", "idx", "first_seq")
+    return coverage_from_first(fleet.join(firsts, on=["cluster", "idx"], how="left"))
+
+
+def inventory_from_state(spark: SparkSession, fleet: DataFrame, state_path: str) -> DataFrame:
+    """The inventory as ``state.apply_checkins`` would patch it, from what the
+    stream has written so far."""
+    state = read_snapshot(spark, state_path, state_schema(fleet)).drop("first_seq", "new_seq")
+    n = F.coalesce("n_checkins", F.lit(0)).cast("long")
+    cols = [F.coalesce("new_ip", "ip").alias("ip") if c == "ip" else F.col(c) for c in fleet.columns]
+    return (fleet.join(state, on=["cluster", "idx"], how="left")
+            .select(*cols, (n > 0).alias("reported"), n.alias("n_checkins")))
 
 
 def await_full_coverage(spark: SparkSession, query: StreamingQuery, fleet: DataFrame,
@@ -83,10 +115,18 @@ def await_full_coverage(spark: SparkSession, query: StreamingQuery, fleet: DataF
     the coverage so far (``pending`` > 0 where the wait did not end)."""
     import time
 
+    from pyspark.errors import PySparkException
+
     start = time.monotonic()
+    done = False
     while True:
-        cov = coverage_from_state(spark, fleet, state_path)
-        done = cov.where(F.col("pending") > 0).isEmpty()
+        try:
+            cov = coverage_from_state(spark, fleet, state_path)
+            done = cov.where(F.col("pending") > 0).isEmpty()
+        except PySparkException:
+            # the snapshot being read was followed by two newer ones and dropped
+            if not query.isActive:
+                raise
         if done or not query.isActive:
             break
         if timeout_seconds is not None and time.monotonic() - start > timeout_seconds:

@@ -1,48 +1,46 @@
 """Q12s: the ordered wait over a stream of probes.
 
-State is one pointer per cluster: the next node to wait for and the seq of
-the last latch. Each micro-batch runs the batch job
-(``rollcall.operators.convergence``), resumed at those pointers, so a hot
-cluster is split over tasks inside the batch as in the batch job, rather than
-walked by one task.
-
-``foreachBatch`` writes, per batch id, the latches of the batch and the
-pointers that moved, each to its own folder (overwritten on a replay). The
-pointers a batch starts from are those of the batches before it, so a
-replayed batch gives the same output.
+State is the latches so far, at most one per inventory row, kept as snapshots
+(``rollcall.streaming.snapshots``); where a cluster's wait resumes (the next
+row, and the seq of the last latch) follows from them. Each micro-batch runs
+the batch job (``rollcall.operators.convergence``), resumed there: only probes
+of rows not yet latched, later than the last latch, enter it, and clusters
+that are done none at all. A hot cluster is split over tasks inside the batch
+as in the batch job, rather than walked by one task. A replayed batch reads the
+snapshot it read the first time, so it gives the same output.
 
 The answer depends on the order of delivery: probes must arrive in seq order
-across micro-batches (an event older than the last latch of its cluster is
+across micro-batches (an event not later than the last latch of its cluster is
 ignored). If that cannot be promised, run the batch job on the whole log.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rollcall.operators.convergence import ordered_latch
 from rollcall.operators.parse import parse_probes
 from rollcall.session import cut_lineage
-from rollcall.sources.tables import read_parquet_or_empty
-
-LATCHES, POINTERS = "latches", "pointers"
+from rollcall.streaming.snapshots import read_snapshot, write_snapshot
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return read_parquet_or_empty(spark, path, schema + ", batch_id int")
+def state_schema(fleet: DataFrame) -> StructType:
+    """Types of the state, from the inventory's (a cluster may be text)."""
+    return StructType([fleet.schema["cluster"], StructField("idx", LongType()),
+                       fleet.schema["node"], StructField("seq", LongType())])
 
 
-def pointers_before(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
-    """(cluster, start_idx, after_seq): where each cluster's wait resumes."""
-    ptr = _read_or_empty(spark, os.path.join(state_path, POINTERS),
-                         "cluster int, next_idx long, last_seq long")
-    return (ptr.where(F.col("batch_id") < batch_id)
-            .groupBy("cluster")
-            .agg(F.max("next_idx").alias("start_idx"), F.max("last_seq").alias("after_seq")))
+def resume_points(fleet: DataFrame, latches: DataFrame) -> DataFrame:
+    """(cluster, start_idx, after_seq) of the clusters that still wait."""
+    sizes = fleet.groupBy("cluster").agg(F.max("idx").alias("_last"))
+    done = latches.groupBy("cluster").agg(F.max("idx").alias("_idx"), F.max("seq").alias("after_seq"))
+    start = F.coalesce(F.col("_idx") + 1, F.lit(0)).cast("long")
+    return (sizes.join(done, on="cluster", how="left").withColumn("start_idx", start)
+            .where(F.col("start_idx") <= F.col("_last"))
+            .select("cluster", "start_idx", F.col("after_seq").cast("long").alias("after_seq")))
 
 
 def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
@@ -53,23 +51,18 @@ def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
     parsed = parse_probes(probes_stream)
     # the inventory is read by every micro-batch: written once, here
     fleet = cut_lineage(fleet.select("cluster", "idx", "node"))
-    fleet_clusters = fleet.select("cluster").distinct()
+    schema = state_schema(fleet)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch is read once: the latch job writes its target events first
         spark = batch.sparkSession
-        prev = pointers_before(spark, state_path, batch_id)
-        starts = (fleet_clusters.join(prev, on="cluster", how="left")
-                  .select("cluster",
-                          F.coalesce("start_idx", F.lit(0)).cast("long").alias("start_idx"),
-                          "after_seq"))
-        latches = ordered_latch(fleet, batch, target, starts=starts, **scan_kw)
-        out = os.path.join(state_path, LATCHES, f"batch_id={batch_id}")
-        latches.write.mode("overwrite").parquet(out)
-        moved = spark.read.parquet(out).groupBy("cluster").agg(
-            (F.max("idx") + 1).alias("next_idx"), F.max("seq").alias("last_seq"))
-        moved.write.mode("overwrite").parquet(
-            os.path.join(state_path, POINTERS, f"batch_id={batch_id}"))
+        before = read_snapshot(spark, state_path, schema, before=batch_id)
+        starts = cut_lineage(resume_points(fleet, before))
+        if starts.isEmpty():
+            return
+        latches = cut_lineage(ordered_latch(fleet, batch, target, starts=starts, **scan_kw))
+        if not latches.isEmpty():
+            write_snapshot(before.unionByName(latches), state_path, batch_id)
 
     writer = (parsed.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint_location)
@@ -80,8 +73,7 @@ def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
     return writer.start()
 
 
-def latches_from_state(spark: SparkSession, state_path: str) -> DataFrame:
+def latches_from_state(spark: SparkSession, fleet: DataFrame, state_path: str) -> DataFrame:
     """All latches written so far: (cluster, idx, node, seq)."""
-    lat = _read_or_empty(spark, os.path.join(state_path, LATCHES),
-                         "cluster int, idx long, node long, seq long")
-    return lat.select("cluster", "idx", "node", "seq")
+    return read_snapshot(spark, state_path, state_schema(fleet)).select(
+        "cluster", "idx", "node", "seq")

@@ -12,12 +12,24 @@ def inputs(spark):
     return views.fleet(spark, SF_SMALL), views.probes(spark, SF_SMALL), views.checkins(spark, SF_SMALL)
 
 
-@pytest.mark.parametrize("name", ["state", "readAReport", "readReport", "coverage", "hosts",
-                                  "waitOn", "allUp", "off", "on", "base", "init"])
-def test_command_runs(inputs, name):
+def test_every_command(inputs):
+    """Each command's columns, and its rows against the inventory's."""
+    from rollcall.operators import parse, state
     fleet, probes, checkins = inputs
-    df = run_command(name, fleet, probes=probes, checkins=checkins)
-    assert df.count() >= 0 and df.columns
+    n = fleet.count()
+    up = state.node_up(fleet, parse.parse_probes(probes)).where("up").count()
+    heads = state.head_nodes(fleet).where("head_idx IS NOT NULL").count()
+    clusters = fleet.select("cluster").distinct().count()
+    rows = {"state": n, "readAReport": checkins.count(), "readReport": n, "readReportKeepIp": n,
+            "coverage": clusters, "hosts": n, "waitOn": 10, "waitOff": 10, "allUp": clusters, "on": n}
+    rows |= dict.fromkeys(["off", "reboot", "eraseAll", "deployK8S", "startK8S", "stopK8S"], up)
+    rows |= dict.fromkeys(["base", "deploy1", "deploy2", "deployConfig"], n)
+    assert len(COMMANDS) == 28 and up < n
+    for name in COMMANDS:
+        df = run_command(name, fleet, probes=probes, checkins=checkins)
+        assert df.count() == rows.get(name, heads), name
+        if name in ("deployK8S", "startK8S", "stopK8S", "base", "init"):
+            assert {"role", "head_idx", "head_ip", "dns_entry", "hosts_entry"} <= set(df.columns)
 
 
 def test_head_commands_select_only_heads(inputs):

@@ -65,6 +65,44 @@ def walk_all_up(fleet_rows, events):
     return {c: first.get(c) for c in sizes}
 
 
+def walk_latch_ties(fleet_rows, events, target):
+    """The wait when probes share a seq and nodes stand on several rows: per
+    cluster, the first event of the next row at a later seq."""
+    seqs = {}
+    for seq, node, up in events:
+        if up == target:
+            seqs.setdefault(node, set()).add(seq)
+    out = []
+    for c in {r[0] for r in fleet_rows}:
+        last = None
+        for r in sorted((r for r in fleet_rows if r[0] == c), key=lambda r: r[2]):
+            later = [s for s in seqs.get(r[1], ()) if last is None or s > last]
+            if not later:
+                break
+            last = min(later)
+            out.append((c, r[2], r[1], last))
+    return sorted(out)
+
+
+def walk_all_up_ties(fleet_rows, events):
+    """All-up with ties: changes at one moment in row order, down before up
+    within a row."""
+    rows = {}
+    for r in fleet_rows:
+        rows.setdefault(r[1], []).append((r[0], r[2]))
+    steps = sorted((seq, c, i, up) for seq, node, up in events for c, i in rows.get(node, ()))
+    sizes, state, first = {}, {}, {}
+    for r in fleet_rows:
+        sizes[r[0]] = sizes.get(r[0], 0) + 1
+    for seq, c, i, up in steps:
+        changed = state.get((c, i), False) != up
+        state[(c, i)] = up
+        if changed and c not in first and sum(
+                u for (d, _), u in state.items() if d == c) == sizes[c]:
+            first[c] = seq
+    return {c: first.get(c) for c in sizes}
+
+
 def _random_log(seed, sizes, n_events, p_up=0.8, unknown_nodes=3):
     rnd = random.Random(seed)
     total = sum(sizes.values())
@@ -161,3 +199,64 @@ def test_hot_cluster_on_driver_tables(spark):
                             sorted(map(tuple, ordered_latch(fleet, pp, True, **kw).collect())))
     assert out[False] == out[True]
     assert any(r[0] == 99 for r in out[True][1])
+
+
+def test_latch_two_probes_at_one_seq(spark):
+    fleet, _ = _fleet(spark, {0: 3})
+    events = [(10, 0, True), (20, 1, True), (10, 1, True), (15, 2, True), (50, 2, True)]
+    for kw in ({"split": False}, {"split": True, "num_chunks": 4}):
+        got = sorted(tuple(r) for r in ordered_latch(fleet, _probes(spark, events), True, **kw).collect())
+        assert got == [(0, 0, 0, 10), (0, 1, 1, 20), (0, 2, 2, 50)]
+
+
+def test_latch_rounds_of_one_seq_each(spark):
+    fleet, _ = _fleet(spark, {4: 3})
+    events = [(rnd, node, True) for rnd in (1, 2, 3) for node in range(3)] * 2
+    got = sorted(tuple(r) for r in ordered_latch(fleet, _probes(spark, events), True).collect())
+    assert got == [(4, 0, 0, 1), (4, 1, 1, 2), (4, 2, 2, 3)]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_tied_logs_and_shared_nodes_match_walk_on_both_paths(spark, seed):
+    rnd = random.Random(seed)
+    rows, node = [], 0
+    for c, n in {0: 1, 1: 9, 2: 4, 3: 6}.items():
+        for i in range(n):
+            rows.append((c, rnd.randrange(12), i, f"M{c}-{i}", f"ip{c}-{i}", i == 0, None, "", None, ""))
+    fleet = spark.createDataFrame(rows, FLEET_SCHEMA)
+    events = [(rnd.randrange(150), rnd.randrange(14), rnd.random() < 0.8) for _ in range(900)]
+    probes = _probes(spark, events)
+    for kw in ({"split": False}, {"split": True, "num_chunks": 6}):
+        for target in (True, False):
+            got = sorted(tuple(r) for r in ordered_latch(fleet, probes, target, **kw).collect())
+            assert got == walk_latch_ties(rows, events, target)
+        res = {r.cluster: r.all_up_seq for r in all_up_at(fleet, probes, **kw).collect()}
+        assert res == walk_all_up_ties(rows, events)
+
+
+def test_all_up_with_node_ids_made_from_shared_macs(spark):
+    """The README's recipe: a duplicate MAC gives one node id on two rows; ids
+    made from the MAC and the position tell the rows apart."""
+    from pyspark.sql import functions as F
+    rows = [(1, 7, 0, "m", "a", True, None, "", None, ""), (2, 7, 0, "M", "b", True, None, "", None, "")]
+    fleet = spark.createDataFrame(rows, FLEET_SCHEMA)
+    got = {r.cluster: r.all_up_seq for r in
+           all_up_at(fleet, _probes(spark, [(1, 7, True)])).collect()}
+    assert got == {1: 1, 2: 1}
+    named = fleet.withColumn("node", F.xxhash64("cluster", "idx", F.upper("mac")))
+    assert named.select("node").distinct().count() == 2
+
+
+def test_jump_tables_halve(spark):
+    """Level r holds only offsets that are multiples of 2^r."""
+    from rollcall.operators.convergence import _jumps, wait_events
+    from pyspark.sql import functions as F
+    fleet, rows = _fleet(spark, {0: 32})
+    probes = _probes(spark, _random_log(3, {0: 32}, 3000, p_up=0.9, unknown_nodes=0))
+    starts = spark.createDataFrame([(0, 0, None)], "cluster int, start_idx long, after_seq long")
+    events = wait_events(fleet, probes, True, starts)
+    sizes = []
+    for r, jump in enumerate(_jumps(events, 32)):
+        assert jump.where(F.col("off") % (1 << r) != 0).isEmpty()
+        sizes.append(jump.count())
+    assert len(sizes) == 5 and sum(sizes) <= 2.1 * events.count()

@@ -24,8 +24,8 @@ def test_probe_up(spark):
 
 
 CHECKINS = [
-    ("connect to [10.0.0.1] from (UNKNOWN) [10.0.0.2] 49152", "GET /?MAC=000caa HTTP/1.1",
-     "10.0.0.2", "000caa"),
+    ("connect to [10.0.0.1] from (UNKNOWN) [10.0.0.2] 49152", "GET /?MAC=ab12cd HTTP/1.1",
+     "10.0.0.2", "ab12cd"),
     ("CONNECT TO [10.0.0.1] FROM (UNKNOWN) [10.0.0.3] 5", "GET /?MAC=ABC HTTP/1.1",
      "10.0.0.3", "ABC"),
     ("connect to [10.0.0.1] from (host.lan) [10.0.0.2] 49152", "POST / HTTP/1.1", None, None),

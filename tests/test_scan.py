@@ -90,15 +90,16 @@ def test_split_decision_sizing(spark):
 
     df = spark.range(1)
     spark.conf.set("rollcall.scan.chunkRows", "10")
-    spark.conf.set("rollcall.scan.maxChunks", "50")
     try:
         # over the threshold: chunks from the row target, at least shuffle partitions (8)
         assert split_decision(df, largest=500, total=300, max_group_rows=100) == (True, 30)
         assert split_decision(df, largest=500, total=20, max_group_rows=100) == (True, 8)
-        # capped: larger chunks, never fewer rows handled
-        assert split_decision(df, largest=500, total=10_000, max_group_rows=100) == (True, 50)
+        assert split_decision(df, largest=500, total=10_000, max_group_rows=100) == (True, 1000)
         # small groups: plain window
         assert split_decision(df, largest=100, total=10_000, max_group_rows=100)[0] is False
     finally:
         spark.conf.unset("rollcall.scan.chunkRows")
-        spark.conf.unset("rollcall.scan.maxChunks")
+        spark.conf.set("rollcall.scan.chunkRows", "many")
+        with pytest.raises(ValueError):
+            split_decision(df, largest=500, total=20, max_group_rows=100)
+        spark.conf.unset("rollcall.scan.chunkRows")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from rollcall.operators import convergence, coverage, parse
+from rollcall.operators.state import apply_checkins
 from rollcall.sources import views
 from rollcall.sources.streams import parquet_stream
 from rollcall.streaming import coverage as cov_stream
@@ -25,6 +26,10 @@ def _split_events(spark, folder, order=(0, 1, 2, 3)):
          .coalesce(1).write.mode("append").parquet(folder))
 
 
+def _snapshots(state):
+    return sorted(int(d.split("=")[1]) for d in os.listdir(state) if d.startswith("batch_id="))
+
+
 def _rows(df):
     return sorted(tuple(r) for r in df.collect())
 
@@ -55,7 +60,7 @@ def test_coverage_stream_many_batches_and_restart(spark, scratch, fleet):
 
     q = run()
     assert q.lastProgress is not None
-    assert len([d for d in os.listdir(state) if d.startswith("batch_id=")]) == 3
+    assert _snapshots(state) == [1, 2]     # a batch reads one folder, whatever came before
     # the fourth file arrives later; the query resumes from its checkpoint
     (ev.where(F.col("event_id") >= BOUNDS[3]).coalesce(1).write.mode("append").parquet(src))
     run()
@@ -71,31 +76,67 @@ def test_latch_stream_equals_batch(spark, scratch, fleet, batch_probes, target):
     stream = views.probes_from(parquet_stream(spark, src, max_files_per_trigger=1))
     q = latch_stream.start_latch_stream(fleet, stream, target, state, ckpt)
     q.awaitTermination()
-    got = _rows(latch_stream.latches_from_state(spark, state))
+    got = _rows(latch_stream.latches_from_state(spark, fleet, state))
     assert got == _rows(convergence.ordered_latch(fleet, batch_probes, target))
     assert len(got) > 0
 
 
-def test_latch_stream_replayed_batch_is_idempotent(spark, scratch, fleet, batch_probes):
+@pytest.mark.parametrize("kind", ["latch", "coverage"])
+def test_replayed_batch_is_idempotent(spark, scratch, fleet, batch_probes, kind):
+    """The last batch wrote its state, but the query died before its commit."""
     src = os.path.join(scratch, "in")
     _split_events(spark, src)
+    state, ckpt = os.path.join(scratch, "state"), os.path.join(scratch, "ckpt")
+
+    def run():
+        events = parquet_stream(spark, src, max_files_per_trigger=1)
+        if kind == "latch":
+            latch_stream.start_latch_stream(fleet, views.probes_from(events), True, state,
+                                            ckpt).awaitTermination()
+            return _rows(latch_stream.latches_from_state(spark, fleet, state))
+        cov_stream.start_coverage_stream(fleet, views.checkins_from(events), state,
+                                         ckpt).awaitTermination()
+        return _rows(cov_stream.inventory_from_state(spark, fleet, state))
+
+    before = run()
+    last = max(int(n) for n in os.listdir(os.path.join(ckpt, "commits")) if n.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        path = os.path.join(ckpt, "commits", name)
+        if os.path.exists(path):
+            os.remove(path)
+    assert run() == before
+    assert len(_snapshots(state)) <= 2
+
+
+def test_patch_stream_equals_batch_on_text_clusters(spark, scratch, fleet):
+    """Clusters as text (as the inventory reader gives them), many batches."""
+    named = fleet.withColumn("cluster", F.format_string("%03d", "cluster"))
+    src = os.path.join(scratch, "in")
+    _split_events(spark, src)
+    events = parquet_stream(spark, src, max_files_per_trigger=1)
     state = os.path.join(scratch, "state")
-    # run the stream once, then re-run batch 2 by hand as a replay would
+    empty = cov_stream.coverage_from_state(spark, named, state)
+    assert all(r.reported == 0 for r in empty.collect())
+    cov_stream.start_coverage_stream(named, views.checkins_from(events), state,
+                                     os.path.join(scratch, "ckpt")).awaitTermination()
+    checkins = parse.parse_checkins(views.checkins(spark, SF_MID))
+    assert _rows(cov_stream.inventory_from_state(spark, named, state)) == _rows(
+        apply_checkins(named, checkins))
+    assert _rows(cov_stream.coverage_from_state(spark, named, state)) == _rows(
+        coverage.report_coverage(named, checkins))
+
+
+def test_latch_stream_on_text_clusters(spark, scratch, fleet, batch_probes):
+    named = fleet.withColumn("cluster", F.format_string("%03d", "cluster"))
+    src = os.path.join(scratch, "in")
+    _split_events(spark, src)
+    state = os.path.join(scratch, "state")
+    assert latch_stream.latches_from_state(spark, named, state).count() == 0
     stream = views.probes_from(parquet_stream(spark, src, max_files_per_trigger=1))
-    latch_stream.start_latch_stream(fleet, stream, True, state,
+    latch_stream.start_latch_stream(named, stream, True, state,
                                     os.path.join(scratch, "ckpt")).awaitTermination()
-    before = _rows(latch_stream.latches_from_state(spark, state))
-    ev = spark.read.parquet(src).where(
-        (F.col("event_id") >= BOUNDS[2]) & (F.col("event_id") < BOUNDS[3]))
-    starts = (fleet.select("cluster").distinct()
-              .join(latch_stream.pointers_before(spark, state, 2), "cluster", "left")
-              .select("cluster", F.coalesce("start_idx", F.lit(0)).cast("long").alias("start_idx"),
-                      "after_seq"))
-    again = convergence.ordered_latch(fleet, parse.parse_probes(views.probes_from(ev)), True,
-                                      starts=starts)
-    written = spark.read.parquet(os.path.join(state, "latches", "batch_id=2"))
-    assert _rows(again) == _rows(written)
-    assert before == _rows(latch_stream.latches_from_state(spark, state))
+    got = _rows(latch_stream.latches_from_state(spark, named, state))
+    assert got == _rows(convergence.ordered_latch(named, batch_probes, True))
 
 
 def test_latch_stream_out_of_order_differs(spark, scratch, fleet, batch_probes):
@@ -106,7 +147,7 @@ def test_latch_stream_out_of_order_differs(spark, scratch, fleet, batch_probes):
     stream = views.probes_from(parquet_stream(spark, src, max_files_per_trigger=1))
     latch_stream.start_latch_stream(fleet, stream, True, state,
                                     os.path.join(scratch, "ckpt")).awaitTermination()
-    got = _rows(latch_stream.latches_from_state(spark, state))
+    got = _rows(latch_stream.latches_from_state(spark, fleet, state))
     assert got != _rows(convergence.ordered_latch(fleet, batch_probes, True))
 
 
@@ -125,10 +166,10 @@ def test_latch_stream_restart_from_checkpoint(spark, scratch, fleet, batch_probe
         latch_stream.start_latch_stream(fleet, stream, True, state, ckpt).awaitTermination()
 
     run()
-    first = _rows(latch_stream.latches_from_state(spark, state))
+    first = _rows(latch_stream.latches_from_state(spark, fleet, state))
     (ev.where(F.col("event_id") >= BOUNDS[3]).coalesce(1).write.mode("append").parquet(src))
     run()
-    got = _rows(latch_stream.latches_from_state(spark, state))
+    got = _rows(latch_stream.latches_from_state(spark, fleet, state))
     assert set(first) <= set(got)
     assert got == _rows(convergence.ordered_latch(fleet, batch_probes, True))
 
