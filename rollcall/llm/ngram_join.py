@@ -94,7 +94,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # equal sets: one representative, named by the least of its row keys
     reps = (table.where("_n > 0").join(support, "_key", "left").where(have >= F.col("_need"))
             .groupBy("_digest").agg(F.min("_key").alias("_key"), F.min("_n").alias("_n")))
-    groups = _groups(written(reps, "ngram-reps"), keyed, words, num, den)
+    reps = written(reps, "ngram-reps")
+    groups = _groups(reps, keyed, words, num, den)
     # every row's group: the digest of its representative's component, or its own
     linked = written(reps.join(groups, F.col("_key") == F.col("node"))
                      .select("_digest", F.col("component").alias("_group")), "ngram-linked")
