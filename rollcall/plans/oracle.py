@@ -9,8 +9,11 @@ than repeating them.
 
 from __future__ import annotations
 
-from rollcall.functions.expressions import (CONNECT_LINE_PATTERN, PROBE_UP_PATTERN,
-                                            REQUEST_LINE_PATTERN)
+# The three patterns, stated here as well, so that a change of
+# the jobs' patterns shows as a difference.
+PROBE_UP_PATTERN = r".*? \d+\.\d+\.\d+\.\d+.*=\d+.*?\d+ms TTL=\d+"
+CONNECT_LINE_PATTERN = r"connect to \[.*?\] from \(\w+\) \[(.*?)\] \d+$"
+REQUEST_LINE_PATTERN = r"GET /\?MAC=(.*?) HTTP/1\.1"
 
 
 def _fleet_sql(table: str, cluster: str, node: str, acctbal: str) -> str:

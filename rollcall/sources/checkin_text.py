@@ -6,7 +6,7 @@ port`` line and then the caller's request line. Each landed file is one run
 the first HTTP request line are taken from it by pattern, so a banner or a
 missing line does not shift them. ``ts`` is the file's modification time and
 ``seq`` that time in microseconds, the order in which check-ins landed;
-files landing in the same microsecond have no defined order between them.
+files landing in the same microsecond count as simultaneous.
 
 Output: (seq, ts, connect_line, request_line), the input of
 ``parse_checkins``; either line is '' when the file has none (a malformed
@@ -15,25 +15,32 @@ check-in, set aside by the jobs).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.sources.landed import read_records
+
 # The shape of the two lines a listener run prints.
 CONNECT_LINE = r"(?m)^(connect to .*?)\r?$"
 REQUEST_LINE = r"(?m)^(\S+ \S+ HTTP/\d\.\d)\r?$"
 
 
+def _lines() -> list[Column]:
+    return [F.regexp_extract("value", CONNECT_LINE, 1).alias("connect_line"),
+            F.regexp_extract("value", REQUEST_LINE, 1).alias("request_line")]
+
+
 def _shape(raw: DataFrame) -> DataFrame:
     ts = F.col("_metadata.file_modification_time")
-    return raw.select(
-        F.unix_micros(ts).alias("seq"),
-        ts.alias("ts"),
-        F.regexp_extract("value", CONNECT_LINE, 1).alias("connect_line"),
-        F.regexp_extract("value", REQUEST_LINE, 1).alias("request_line"))
+    return raw.select(F.unix_micros(ts).alias("seq"), ts.alias("ts"), *_lines())
 
 
-def read_checkin_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Landed listener files -> check-in rows (batch)."""
+def read_checkin_texts(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Landed listener files -> check-in rows (batch): one run per file, or
+    with ``separator`` many runs per file in a total order
+    (``sources.landed``)."""
+    if separator is not None:
+        return read_records(spark, path, separator).select("seq", "ts", *_lines())
     return _shape(spark.read.text(path, wholetext=True))
 
 

@@ -4,7 +4,7 @@ node (``.../node=<id>/<file>``), since a timed-out ping names no address.
 Each file is read whole (``wholetext``), as one ping's output is judged as a
 whole. ``node`` comes from the folder name (partition discovery), ``ts`` is
 the file's modification time and ``seq`` that time in microseconds; files
-landing in the same microsecond have no defined order between them.
+landing in the same microsecond count as simultaneous.
 
 Output: (seq, ts, node, output), the input of ``parse_probes``.
 """
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.sources.landed import read_records
+
 
 def _shape(raw: DataFrame) -> DataFrame:
     ts = F.col("_metadata.file_modification_time")
@@ -21,8 +23,12 @@ def _shape(raw: DataFrame) -> DataFrame:
                       F.col("node").cast("long").alias("node"), F.col("value").alias("output"))
 
 
-def read_probe_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Landed ping outputs -> probe rows (batch)."""
+def read_probe_texts(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Landed ping outputs -> probe rows (batch): one ping per file, or with
+    ``separator`` many pings per file in a total order (``sources.landed``)."""
+    if separator is not None:
+        return read_records(spark, path, separator, ["node"]).select(
+            "seq", "ts", F.col("node").cast("long").alias("node"), F.col("value").alias("output"))
     return _shape(spark.read.text(path, wholetext=True))
 
 

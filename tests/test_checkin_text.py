@@ -72,3 +72,24 @@ def test_landed_text_feeds_the_coverage_stream(spark, scratch):
     got = [tuple(r) for r in cov_stream.coverage_from_state(spark, fleet, state_path).collect()]
     base = 1_700_000_000 * 1_000_000
     assert got == [(1, 2, 2, 0, base + 1_000_000)]
+
+
+def test_many_runs_per_file_in_a_total_order(spark, scratch):
+    """Blank lines end a run; ties of the file time go by path, then place."""
+    import os
+
+    from rollcall.operators.parse import parse_checkins
+    from rollcall.sources.checkin_text import read_checkin_texts
+
+    def run(i):
+        return (f"listening on [any] 80 ...\nconnect to [10.0.0.1] from (UNKNOWN) [10.0.0.{i}] 49152\n"
+                f"GET /?MAC=M{i} HTTP/1.1\n\n")
+    for name, ids in (("b.log", range(20, 24)), ("a.log", range(0, 20)), ("c.log", range(30, 33))):
+        path = os.path.join(scratch, name)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write("".join(run(i) for i in ids))
+        os.utime(path, (1_700_000_000 + (5 if name == "c.log" else 0),) * 2)
+    rows = parse_checkins(read_checkin_texts(spark, scratch, separator="\n\n")).orderBy("seq").collect()
+    order = [*range(0, 24), *range(30, 33)]
+    assert [(r.seq, r.ip, r.mac) for r in rows] == [
+        (k, f"10.0.0.{i}", f"M{i}") for k, i in enumerate(order)]

@@ -63,6 +63,6 @@ def test_landed_pings_feed_the_latch_stream(spark, scratch):
                                         os.path.join(scratch, "ckpt"))
     q.awaitTermination()
     got = sorted((r.idx, r.seq) for r in latch_stream.latches_from_state(
-        spark, os.path.join(scratch, "state")).collect())
+        spark, fleet, os.path.join(scratch, "state")).collect())
     base = 1_700_000_000 * 1_000_000
     assert got == [(0, base), (1, base + 2_000_000)]
