@@ -66,9 +66,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the checkpoint folder for a written table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique path under the checkpoint folder for a written table.
+    It stays until ``drop_scratch``, since lazy results may still read it."""
+    return os.path.join(_scratch(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _scratch(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), "tables")
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables this session's jobs wrote on the way (exports, stream
+    states, intermediate tables), once their results have been consumed. The
+    folder belongs to one Spark application: ``checkpoint_dir`` names a new one
+    for each."""
+    drop_path(spark, _scratch(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
