@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: entries (hash, key) a map task holds before it sends them
-HELD = 1 << 19
+HELD = 1 << 18
 LOW = np.uint64(1) << np.uint64(62)
 
 _SCHEMA = "key long, hashes binary, n_found long, n_low long"
