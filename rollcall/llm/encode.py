@@ -26,7 +26,7 @@ from rollcall.llm.words import Words, string_slices
 
 #: pieces kept per worker (about 60 bytes each), and plain words kept besides
 MEMORY = 1_500_000
-WORDS = 400_000
+WORDS = 250_000
 #: bytes of text whose new pieces are encoded in one call
 GROUP_BYTES = 4 << 20
 

@@ -213,15 +213,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     decisions = written(hits.groupBy("_key").agg(F.collect_set(entry).alias("_hits")),
                         "line-dedup-decisions")
 
-    def split(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = packed.value
-            for b in batches:
-                texts = b.column(b.num_columns - 1)
-                mask = [bool(_suspected(line_keys(t.as_py())[1], bits, min_chars)) == want
-                        for t in texts]
-                yield b.filter(pa.array(mask, pa.bool_()))
-        return run
+    def suspect_rows(b: pa.RecordBatch, column: int) -> np.ndarray:
+        bits = packed.value
+        return np.array([bool(_suspected(line_keys(t.as_py())[1], bits, min_chars))
+                         for t in b.column(column)], dtype=bool)
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(suspect_rows(b, b.num_columns - 1)))
+
+    def clean_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~suspect_rows(b, len(order))))
+            lines = [(t.as_py() or "").count("\n") + 1 for t in b.column(len(order))]
+            yield pa.RecordBatch.from_arrays(
+                b.columns + [pa.array(lines, pa.int64()), pa.array([0] * len(lines), pa.int64())],
+                names=order + [f.name for f in fields])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,13 +256,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 b.columns[:len(order)] + [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
                         pa.array(n_dropped, pa.int64())], names=order + [f.name for f in fields])
 
-    hit_type = "array<struct<_digest: binary, _keep: boolean>>"
-    clean = (docs.mapInArrow(split(False), docs.schema)
-             .withColumn(fresh(docs, "_hits"), F.lit(None).cast(hit_type)))
-    dirty = (keyed.mapInArrow(split(True), keyed.schema)
-             .join(decisions.withColumnsRenamed({"_key": key, "_hits": fresh(docs, "_hits")}), key, "left")
+    hits_name = fresh(docs, "_hits")
+    dirty = (keyed.mapInArrow(suspects, keyed.schema)
+             .join(decisions.withColumnsRenamed({"_key": key, "_hits": hits_name}), key, "left")
              .drop(key))
-    return clean.unionByName(dirty).mapInArrow(finish, schema)
+    return docs.mapInArrow(clean_rows, schema).unionByName(dirty.mapInArrow(finish, schema))
 
 
 def _with_id(pairs):

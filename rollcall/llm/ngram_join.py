@@ -82,14 +82,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id_type = docs.schema[id_col].dataType
     keyed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"),
                         F.col(text_col).alias("_text"))
-    sized = _sized(keyed, id_type, words, num, den)
+    table = written(_sized(keyed, id_type, words, num, den), "ngram-rows")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    found = repeated_hashes(
-        sized.where("_n > 0").select(F.col("_key").alias("key"), F.col("_probe").alias("hashes")),
-        max(64, total // PART_BYTES))
+
+    def probes(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for key, s in zip(b.column(0).to_pylist(), text_sets(b.column(1), words)):
+            # a partner of a short text has at most SHORT * den / num n-grams
+            yield key, s if len(s) * num <= SHORT * den else _low(s)
+
+    found = repeated_hashes(keyed.select("_key", "_text"), max(64, total // PART_BYTES), probes)
     support = found.groupBy(F.col("key").alias("_key")).agg(
         F.sum("n_found").alias("_all"), F.sum("n_low").alias("_low"))
-    table = written(sized.drop("_probe"), "ngram-rows")
     have = F.coalesce(F.when(F.col("_n") <= SHORT, F.col("_all")).otherwise(F.col("_low")), F.lit(0))
     # equal sets: one representative, named by the least of its row keys
     reps = (table.where("_n > 0").join(support, "_key", "left").where(have >= F.col("_need"))
@@ -124,29 +127,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         *order, "n_shingles", "component_id", (F.col(key) == F.col(first)).alias("keep"))
 
 
+def _low(s: np.ndarray) -> np.ndarray:
+    """The hashes below 2^62 of a sorted set: a fixed quarter of all hashes."""
+    return s[:int(np.searchsorted(s, LOW))]
+
+
 def _sized(keyed: DataFrame, id_type: T.DataType, words: int, num: int, den: int) -> DataFrame:
-    """Per row: key, id, set size, digest of the set, the hashes of the support
-    test, and how many of them must occur elsewhere."""
+    """Per row: key, id, set size, digest of the set, and how many of the hashes
+    of the support test must occur elsewhere."""
     schema = T.StructType([
         T.StructField("_key", T.LongType()), T.StructField("_id", id_type),
         T.StructField("_n", T.LongType()), T.StructField("_digest", T.BinaryType()),
-        T.StructField("_need", T.LongType()), T.StructField("_probe", T.BinaryType())])
+        T.StructField("_need", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, digest, need, probe = [], [], [], []
+            size, digest, need = [], [], []
             for s in text_sets(b.column(2), words):
                 n = len(s)
-                low = s[:int(np.searchsorted(s, LOW))]
-                tested = n if n <= SHORT else len(low)
+                tested = n if n <= SHORT else len(_low(s))
                 size.append(n)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 need.append(tested - (n * (den - num)) // den)
-                # a partner of a short text has at most SHORT * den / num n-grams
-                probe.append((s if n * num <= SHORT * den else low).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(need, pa.int64()), pa.array(probe, pa.binary())],
+                 pa.array(need, pa.int64())],
                 names=[f.name for f in schema])
 
     return keyed.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 """Which hashes of a row also occur in another row, exactly, by one shuffle.
 
-Input rows have a key and a packed array of distinct 64-bit hashes. A task
+A function makes a key and an array of distinct 64-bit hashes of every row, in
+the task that goes on with them, so one Python worker serves a task. A task
 sorts what it holds: a hash that two of its keys have is settled there for
 both, and only a mark of it goes on; a hash of one key goes on as (hash, key).
 So a hash in a third of all rows is one entry per task, not one per row. The
@@ -14,7 +15,7 @@ a key can have many such rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ def _by_key(hashes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         names=["key", "hashes", "n_found", "n_low"])
 
 
-def repeated_hashes(hashed: DataFrame, n_parts: int) -> DataFrame:
-    """``hashed``: columns key (long) and hashes (binary)."""
+def repeated_hashes(rows: DataFrame, n_parts: int,
+                    hashes_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
+                    ) -> DataFrame:
+    """``hashes_of``: (key, distinct hashes) of every row of a batch."""
 
     def flush(hashes: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[tuple]:
         h, k = np.concatenate(hashes), np.concatenate(keys)
@@ -85,8 +88,7 @@ def repeated_hashes(hashed: DataFrame, n_parts: int) -> DataFrame:
                         names=["part", "kind", "key", "payload"])
 
         for b in batches:
-            for key, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                h = np.frombuffer(blob.as_buffer(), np.uint64) if blob.is_valid else ()
+            for key, h in hashes_of(b):
                 if not len(h):
                     continue
                 hashes.append(h)
@@ -131,7 +133,7 @@ def repeated_hashes(hashed: DataFrame, n_parts: int) -> DataFrame:
                 (pairs if kind == 1 else marks).append(vals)
         yield from settle()
 
-    sent = hashed.select("key", "hashes").mapInArrow(
+    sent = rows.mapInArrow(
         send, "part long, kind int, key long, payload binary")
     return (sent.repartition("part").sortWithinPartitions("part")
             .mapInArrow(match, _SCHEMA))

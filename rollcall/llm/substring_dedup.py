@@ -138,17 +138,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"),
                         F.col(text_col).alias("_text"))
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            blobs = []
-            for _, data, offsets in string_slices(b.column(1)):
-                blobs += [r.tobytes() for r in Chunks(data, offsets, run_words).runs_of_rows()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())],
-                                             names=["key", "hashes"])
+    def runs(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        keys = iter(b.column(0).to_pylist())
+        for _, data, offsets in string_slices(b.column(1)):
+            yield from zip(keys, Chunks(data, offsets, run_words).runs_of_rows())
 
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    found = repeated_hashes(keyed.select("_key", "_text").mapInArrow(runs, "key long, hashes binary"),
-                            max(64, total // PART_BYTES))
+    found = repeated_hashes(keyed.select("_key", "_text"), max(64, total // PART_BYTES), runs)
     suspects = written(found.groupBy(F.col("key").alias("_key"))
                        .agg(F.collect_list("hashes").alias("_hits")), "substring-suspects")
 

@@ -1,5 +1,6 @@
 import random
 import re
+from decimal import Decimal
 
 import pytest
 
@@ -89,16 +90,19 @@ def test_repeated_hashes(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(k, {rng.randrange(1, 400) << 55 for _ in range(rng.randrange(0, 30))} | {77})
             for k in range(-60, 60)]
-    data = [(k, bytearray(np.array(sorted(h), dtype=np.uint64).tobytes())) for k, h in rows] * 2
-    df = spark.createDataFrame(data, "key long, hashes binary").repartition(5)
+    data = [(k, [Decimal(x) for x in sorted(h)]) for k, h in rows] * 2
+    df = spark.createDataFrame(data, "key long, hashes array<decimal(20,0)>").repartition(5)
+
+    def hashes_of(b):
+        for key, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            yield key, np.array([int(h) for h in hs], dtype=np.uint64)
     count = {}
     for _, hs in rows:
         for h in hs:
             count[h] = count.get(h, 0) + 1
     got: dict[int, set] = {}
-    for r in repeats.repeated_hashes(df, 7).collect():
+    for r in repeats.repeated_hashes(df, 7, hashes_of).collect():
         found = np.frombuffer(bytes(r.hashes), np.uint64).tolist()
         assert r.n_found == len(found) and r.n_low == sum(h < 1 << 62 for h in found)
-        assert not got.setdefault(r.key, set()) & set(found) or True
-        got[r.key] |= set(found)
+        got.setdefault(r.key, set()).update(found)
     assert got == {k: {h for h in hs if count[h] > 1} for k, hs in rows}
