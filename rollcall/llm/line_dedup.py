@@ -14,8 +14,10 @@ stand in at least ``min_docs`` documents are repeated lines.
    Suspected keys are counted exactly over all documents (128-bit digest,
    map-side combine). Past the bound the filter lets more unique keys through
    to that count; the result stays the same.
-3. Documents without a suspected line are finished where they are read. The
-   others are joined with the repeated keys they hold.
+3. The digests of the repeated keys are counted. Up to ``BROADCAST_BYTES`` of
+   them are broadcast, and every document is finished where it is read. Beyond
+   that, only documents without a suspected line are; the others are joined
+   with the repeated keys they hold (found by a join on the digest).
 
 ``keep_first=False`` drops all lines of a repeated key, ``True`` keeps the
 first one (smallest document id, first place in it).
@@ -46,6 +48,8 @@ MAX_FILTER_BITS = 1 << 28
 #: hash entries a map task holds before it sends them
 HELD = 1 << 20
 PART_BITS = 1 << 16
+#: digests of repeated keys that are broadcast, at most (16 bytes each)
+BROADCAST_BYTES = 4 << 20
 
 
 def line_keys(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -202,14 +206,57 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _with_id(pairs), T.StructType([T.StructField("_key", T.LongType()),
                                            T.StructField("_digest", T.BinaryType()),
                                            T.StructField("_id", docs.schema[id_col].dataType)]))
-        firsts = written(named.join(repeated, "_digest", "left_semi").groupBy("_digest")
-                         .agg(F.min(F.struct("_id", "_key")).alias("_f"))
-                         .select("_digest", F.col("_f._key").alias("_first")), "line-dedup-firsts")
-        hits = by_doc.join(firsts, "_digest")
-        entry = F.struct("_digest", (F.col("_key") == F.col("_first")).alias("_keep"))
+        repeated = written(named.join(repeated, "_digest", "left_semi").groupBy("_digest")
+                           .agg(F.min(F.struct("_id", "_key")).alias("_f"))
+                           .select("_digest", F.col("_f._key").alias("_first")), "line-dedup-firsts")
     else:
-        hits = by_doc.join(repeated, "_digest")
-        entry = F.struct("_digest", F.lit(False).alias("_keep"))
+        repeated = repeated.withColumn("_first", F.lit(None).cast("long"))
+
+    def finished(b: pa.RecordBatch, texts: pa.Array, drops: list[dict | None]) -> pa.RecordBatch:
+        """Output rows: per text the digests to drop, with True where the first
+        line of that key stays."""
+        out, n_lines, n_dropped = [], [], []
+        for text, drop in zip(texts, drops):
+            text = text.as_py()
+            lines, keys = line_keys(text)
+            n_lines.append(len(lines))
+            if not drop:
+                out.append(text)
+                n_dropped.append(0)
+                continue
+            kept = []
+            for line, k in zip(lines, keys):
+                d = _digest(k)
+                if drop.get(d, True):
+                    kept.append(line)
+                    if d in drop:
+                        drop[d] = False
+            out.append(b"\n".join(kept).decode("utf-8"))
+            n_dropped.append(len(lines) - len(kept))
+        return pa.RecordBatch.from_arrays(
+            b.columns[:len(order)] + [pa.array(out, pa.string()), pa.array(n_lines, pa.int64()),
+                                      pa.array(n_dropped, pa.int64())],
+            names=order + [f.name for f in fields])
+
+    columns = docs.columns
+    if repeated.count() * 16 <= BROADCAST_BYTES:
+        held = spark.sparkContext.broadcast(
+            {bytes(r["_digest"]): r["_first"] for r in repeated.collect()})
+
+        def finish_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, firsts = packed.value, held.value
+            for b in batches:
+                texts, drops = b.column(len(order) + 1), []
+                for k, text in zip(b.column(0).to_pylist(), texts):
+                    found = [_digest(x) for x in _suspected(line_keys(text.as_py())[1], bits, min_chars)]
+                    drops.append({d: firsts[d] == k for d in found if d in firsts})
+                yield finished(pa.RecordBatch.from_arrays(b.columns[1:], names=columns),
+                               texts, drops)
+
+        return keyed.mapInArrow(finish_here, schema)
+
+    hits = by_doc.join(repeated, "_digest")
+    entry = F.struct("_digest", F.col("_key").eqNullSafe(F.col("_first")).alias("_keep"))
     decisions = written(hits.groupBy("_key").agg(F.collect_set(entry).alias("_hits")),
                         "line-dedup-decisions")
 
@@ -232,29 +279,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, hits in zip(b.column(len(order)), b.column(len(order) + 1)):
-                text, hits = text.as_py(), hits.as_py()
-                lines, keys = line_keys(text)
-                n_lines.append(len(lines))
-                if not hits:
-                    texts.append(text)
-                    n_dropped.append(0)
-                    continue
-                drop = {h["_digest"]: h["_keep"] for h in hits}
-                kept = []
-                for line, key in zip(lines, keys):
-                    d = _digest(key)
-                    if d not in drop:
-                        kept.append(line)
-                    elif drop[d]:
-                        kept.append(line)
-                        drop[d] = False
-                texts.append(b"\n".join(kept).decode("utf-8"))
-                n_dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays(
-                b.columns[:len(order)] + [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()),
-                        pa.array(n_dropped, pa.int64())], names=order + [f.name for f in fields])
+            hits = b.column(len(order) + 1).to_pylist()
+            yield finished(b, b.column(len(order)),
+                           [{h["_digest"]: h["_keep"] for h in x} if x else None for x in hits])
 
     hits_name = fresh(docs, "_hits")
     dirty = (keyed.mapInArrow(suspects, keyed.schema)

@@ -41,15 +41,19 @@ def collect(df):
     return sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("min_chars,min_docs", [(1, 10), (2, 2), (5, 3)])
-def test_matches_brute_force(spark, min_chars, min_docs):
+@pytest.mark.parametrize("min_chars,min_docs,broadcast", [(1, 10, 1 << 20), (2, 2, 1 << 20), (1, 10, 0),
+                                                          (5, 3, 0)])
+def test_matches_brute_force(spark, monkeypatch, min_chars, min_docs, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast)   # 0: by the join
     rows = rows_of(min_docs)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = line_dedup.dedup_lines(df, min_chars=min_chars, min_docs=min_docs)
     assert collect(got) == brute(rows, min_chars, min_docs)
 
 
-def test_keep_first(spark):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_keep_first(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast)
     rows = rows_of(4)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = line_dedup.dedup_lines(df, min_docs=2, keep_first=True)
@@ -65,7 +69,9 @@ def test_full_filter_changes_nothing(spark, monkeypatch):
     assert collect(got) == brute(rows, 1, 10)
 
 
-def test_clashing_columns_null_ids_and_empty(spark):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_clashing_columns_null_ids_and_empty(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast)
     rows = [(None, "a\nb", 1, "k"), (None, "a\nb", 2, "k"), (3, "a", 3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, _key string")
     got = line_dedup.dedup_lines(df, min_docs=3)
