@@ -139,9 +139,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         F.col(text_col).alias("_text"))
 
     def runs(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        keys = iter(b.column(0).to_pylist())
-        for _, data, offsets in string_slices(b.column(1)):
-            yield from zip(keys, Chunks(data, offsets, run_words).runs_of_rows())
+        keys = b.column(0).to_pylist()
+        for row, data, offsets in string_slices(b.column(1)):
+            found = Chunks(data, offsets, run_words).runs_of_rows()
+            yield from zip(keys[row:row + len(found)], found)
 
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     found = repeated_hashes(keyed.select("_key", "_text"), max(64, total // PART_BYTES), runs)

@@ -59,6 +59,19 @@ def test_finds_repeated_passages_and_nothing_else(spark, seed):
         assert r.first_id in seen[tuple(w[:50])] and r.keep == (r.first_id == r.doc_id)
 
 
+def test_batches_of_several_slices(spark):
+    """Texts that fill many slices of one Arrow batch keep their own hashes."""
+    rng = random.Random(8)
+    shared = [[f"s{k}w{rng.randrange(9999)}" for _ in range(90)] for k in range(40)]
+    rows = []
+    for i in range(160):
+        w = [f"u{i}x{rng.randrange(99999)}" for _ in range(3000)]
+        rows.append((i, " ".join(w[:1500] + (shared[i % 80 // 2] if i % 2 else []) + w[1500:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id for r in substring_dedup.repeated_passages(df).collect()}
+    assert got == {i for i, _ in rows if i % 2}
+
+
 def test_insertion_moves_no_far_boundary():
     import numpy as np
     rng = random.Random(4)
