@@ -10,10 +10,9 @@ the words near by only, so an insertion moves no later boundary. A stretch of
 1. The unit that is compared is a run of whole chunks of at least ``run_words``
    words, one from every chunk start, by digest. One shuffle of 16 bytes a run
    finds the runs that another document has too (``repeats``).
-2. Documents with such a run are read again. Around them every window of
-   ``min_words`` words that could be part of a repeated passage is digested
-   (128 bits): all windows around short stretches, those that start at a chunk
-   end in long ones.
+2. Documents with such a run are read again. Every window of ``min_words``
+   words that can be repeated there is digested (128 bits): each that starts in
+   a chunk whose run is repeated, or near by, unless a run inside it is not.
 3. Windows are counted exactly over documents, with a map-side combine. Those
    in two documents or more are merged to passages.
 
@@ -42,12 +41,7 @@ from rollcall.llm.words import Words, code_points, constants, mix, string_slices
 MIN_WORDS = 50
 RUN_WORDS = 20
 MAX_CHUNK = 32
-#: stretches of at least this many words are digested at chunk ends only, and
-#: from the second number on at every fourth one
-LONG, VERY_LONG = 100, 400
 PART_BYTES = 16 << 20
-#: words beyond a stretch in which windows begin or end too
-NEAR = 8
 
 
 class Chunks:
@@ -62,10 +56,10 @@ class Chunks:
             same = w.row[j:] == w.row[:n - j]
             gear[j:] += np.where(same, self.hash[:n - j] << np.uint64(j), np.uint64(0))
         ends = (gear >> np.uint64(2)) & np.uint64(3) == 0
-        self.strong = ends & (mix(gear) & np.uint64(3) == 0)
         first = w.first()
         bound = np.concatenate((np.flatnonzero(ends) + 1, first))   # chunks start here
         bound = np.unique(bound[bound <= n])
+        self.natural = bound
         gaps = np.flatnonzero(np.diff(bound) > MAX_CHUNK)
         if len(gaps):
             extra = [np.arange(bound[g] + MAX_CHUNK, bound[g + 1], MAX_CHUNK) for g in gaps]
@@ -107,26 +101,29 @@ class Chunks:
         """First words of the windows to digest, around runs in ``repeated``."""
         lo, hi = int(self.first[row]), int(self.first[row + 1])
         at = slice(*np.searchsorted(self.start, (lo, hi)))
+        start, stop = self.start[at], self.stop[at]
         hit = np.isin(self.run[at], repeated)
-        start, stop = self.start[at][hit], self.stop[at][hit]
-        if not len(start):
+        if not hit.any() or hi - lo < size:
             return np.zeros(0, np.int64)
-        reach = np.maximum.accumulate(stop)
-        new = np.concatenate(([True], start[1:] > reach[:-1]))
-        begin = start[new]
-        end = reach[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
-        out = []
-        for s, e in zip(begin.tolist(), end.tolist()):
-            # the passage may go on to the next chunk end on either side
-            a, b = min(s, e - size) - NEAR, max(s, e - size) + NEAR
-            if e - s < LONG:
-                out.append(np.arange(max(lo, a), min(hi - size, b) + 1))
-                continue
-            ends = self.bound[slice(*np.searchsorted(self.bound, (s, e - size + 1)))]
-            if e - s >= VERY_LONG:
-                ends = ends[self.strong[np.maximum(ends - 1, 0)]]
-            out += [ends, np.arange(max(lo, a), s + 1), np.arange(e - size, min(hi - size, b) + 1)]
-        return np.unique(np.concatenate(out))
+        # A chunk end four words or more into a passage is one in all its
+        # copies, and so are the run from there and the cuts of long chunks.
+        # So a passage begins less than four words before the end that precedes
+        # its first run, and a window starts in or just after a chunk of a run.
+        bound = self.natural
+        begin = bound[np.maximum(np.searchsorted(bound, start[hit]) - 1, 0)] - 3
+        after = np.searchsorted(bound, start[hit], side="right")
+        end = bound[np.minimum(after, len(bound) - 1)] + 2
+        cover = np.zeros(hi - size - lo + 2, dtype=np.int64)
+        np.add.at(cover, np.clip(begin - lo, 0, len(cover) - 1), 1)
+        np.add.at(cover, np.clip(end - lo, 0, len(cover) - 1), -1)
+        out = lo + np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+        # a repeated window has no run inside that is not repeated (a run that
+        # the text's end cut is not one in a copy that goes on)
+        own = np.isin(start, bound) & (stop < hi)
+        missed = np.concatenate(([0], np.cumsum(~hit[own])))
+        a = np.searchsorted(start[own], out + 4)
+        b = np.searchsorted(stop[own], out + size, side="right")
+        return out[missed[np.maximum(a, b)] == missed[a]]
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,

@@ -59,6 +59,58 @@ def test_finds_repeated_passages_and_nothing_else(spark, seed):
         assert r.first_id in seen[tuple(w[:50])] and r.keep == (r.first_id == r.doc_id)
 
 
+def brute_passages(rows, size=50):
+    """(id, first word, end word, first id) of every repeated passage."""
+    seen = repeated_docs(rows, size)
+    out = set()
+    for d, t in rows:
+        w = words(t)
+        now = None
+        for i in range(len(w) - size + 1):
+            docs = seen[tuple(w[i:i + size])]
+            if len(docs) < 2:
+                continue
+            if now and i <= now[1]:
+                now[1] = i + size
+                continue
+            if now:
+                out.add((d, *now))
+            now = [i, i + size, min(docs)]
+        if now:
+            out.add((d, *now))
+    return out
+
+
+def passages(df):
+    text = dict((r.doc_id, r.text) for r in df.collect())
+    out = set()
+    for r in substring_dedup.repeated_passages(df).collect():
+        before = len(words(text[r.doc_id][:r.start]))
+        out.add((r.doc_id, before, before + r.n_words, r.first_id))
+    return out
+
+
+def test_quotes_from_the_middle_of_copied_text(spark):
+    """Short quotes of a text that has a copy itself, extents included."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(3000)]
+
+    def text(n):
+        return [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for k in range(12):
+        base = text(600)
+        edited = base[:290] + text(1) + base[291:]
+        rows += [base, base if k % 2 else edited]
+        for _ in range(6):
+            size, at = rng.randrange(51, 61), rng.randrange(50, 490)
+            rows.append(text(rng.randrange(0, 90)) + base[at:at + size] + text(rng.randrange(0, 90)))
+        rows.append(text(40) + base[100:260] + text(30) + base[300:480])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == brute_passages(rows)
+
+
 def test_batches_of_several_slices(spark):
     """Texts that fill many slices of one Arrow batch keep their own hashes."""
     rng = random.Random(8)
