@@ -9,8 +9,9 @@ remains is a probabilistic automaton of the format. One more is learned from
 long ordinary tokens. Every token of ``MIN_TOKEN`` characters or more with a
 digit, outside the base spans, is then scored by its log-likelihood per
 character under each format against that of ordinary tokens; a token that
-scores above all ordinary ones and no worse than nearly all credentials is
-reported as kind ``format``.
+scores above 99 of 100 ordinary ones and no worse than nearly all credentials
+is reported as kind ``format``. Tokens that score like a labelled format are
+not counted as ordinary, so bare credentials in the sample do not hide others.
 
 The automata are fitted on a bounded sample: at most ``TRAIN_EACH`` distinct
 strings a kind, chosen by hash from all matches of all documents. The scan is
@@ -155,14 +156,16 @@ class Automaton:
                 red.append(b)
                 known.add(b)
 
-    def score(self, s: str) -> float:
-        """Log-likelihood per character, the end counted as one; what was
-        never seen has a small probability."""
+    def score(self, s: str, end: bool = True) -> float:
+        """Log-likelihood per character, the end counted as one unless ``end``
+        is false; what was never seen has a small probability."""
         q, total = 0, 0.0
         for c in s.translate(_CLASS):
             n = self._total(q)
             total += math.log((self.count[q].get(c, 0) + 0.05) / (n + 0.05 * (SYMBOLS + 1)))
             q = self.next[q].get(c, q)
+        if not end:
+            return total / max(1, len(s))
         n = self._total(q)
         total += math.log((self.ends[q] + 0.05) / (n + 0.05 * (SYMBOLS + 1)))
         return total / (len(s) + 1)
@@ -172,13 +175,40 @@ class Formats:
     """The automata and the two bounds a token must pass."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
-        self.kinds = [Automaton(v) for v in labelled.values() if v]
+        held = [v for v in labelled.values() if v]
+        self.kinds = [Automaton(v) for v in held]
+        ordinary = self._without_formats(held, ordinary)
         self.usual = Automaton(ordinary)
         gains = sorted(self.gain(s) for s in ordinary)
-        own = sorted(self.gain(s) for v in labelled.values() for s in v if len(s) >= MIN_TOKEN)
-        self.least = max([0.5, *(g + 0.1 for g in gains[-1:])])
-        if own:                                   # no worse than 98 of 100 credentials
-            self.least = max(self.least, own[len(own) // 50])
+        # above 99 of 100 ordinary tokens, so no single one sets the bound
+        self.least = max([0.5, *(g + 0.1 for g in gains[(len(gains) - 1) * 99 // 100:][:1])])
+        own = [sorted(self.gain(s) for s in v if len(s) >= MIN_TOKEN) for v in held]
+        own = [g[len(g) // 50] for g in own if g]
+        if own:        # and nearer to what 98 of 100 credentials of a kind reach
+            self.least = max(self.least, (self.least + min(own)) / 2)
+
+    def _without_formats(self, held: list[list[str]], ordinary: list[str]) -> list[str]:
+        """``ordinary`` without the tokens that are of a labelled format: their
+        characters score like those of its credentials, no worse and no
+        better (digits alone are not like hexadecimal keys; a mean over fewer
+        characters spreads more), and better than under what the remaining
+        tokens are like. A kind that leaves less than a fifth of the tokens
+        looks like ordinary text itself and takes none."""
+        likeness: dict[str, float] = {}
+        for a, v in zip(self.kinds, held):
+            scores = sorted(a.score(s, end=False) for s in v)
+            low, middle, high = (scores[i] for i in (0, len(v) // 2, -1 - len(v) // 100))
+            usual_length = sum(map(len, v)) / len(v)
+            like = {}
+            for s in ordinary:
+                x = a.score(s, end=False)
+                wide = max(1, usual_length / len(s)) ** 0.5
+                if (low - middle) * wide <= x - middle <= (high - middle) * wide:
+                    like[s] = x
+            if len(ordinary) - len(like) >= len(ordinary) / 5:
+                likeness.update((s, max(x, likeness.get(s, x))) for s, x in like.items())
+        rest = Automaton([s for s in ordinary if s not in likeness])
+        return [s for s in ordinary if s not in likeness or likeness[s] - rest.score(s, end=False) <= 0.5]
 
     def gain(self, s: str) -> float:
         return max(a.score(s) for a in self.kinds) - self.usual.score(s)

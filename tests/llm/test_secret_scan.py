@@ -53,6 +53,24 @@ def test_inferred_automata_generalise():
     assert sum(learned.accepts(s) for s in words(4, 300)) <= 3
 
 
+def test_bare_credentials_among_ordinary_tokens():
+    """Credentials in the ordinary sample are found, and hide no others."""
+    fresh = credentials(8, 300)
+    access = ["ASIA" + s[4:] for s in fresh["access"]]
+    short = [s[:20] for s in fresh["hex"]]
+    for bare in (access[:1], short[:1], access[:100], short[:100], access[:150] + short[:150]):
+        learned = S.Formats(credentials(1), words(2) + bare + [short[200][:12]])
+        for kind in (access, short):
+            assert sum(learned.accepts(s) for s in kind) > 255
+        assert sum(learned.accepts(s) for s in bare) >= 0.85 * len(bare)
+        assert sum(learned.accepts(s) for s in words(4, 300)) <= 3
+
+
+def test_labels_like_ordinary_text_accept_no_ordinary_tokens():
+    learned = S.Formats({"assign": words(3, 150), **credentials(1)}, words(2))
+    assert sum(learned.accepts(s) for s in words(4, 300)) <= 3
+
+
 def test_merging_gives_a_distribution():
     a = S.Automaton(["ab1"] * 30 + ["ab"] * 30 + ["zz9"] * 40)
     assert len(a.next) >= 2
