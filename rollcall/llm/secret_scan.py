@@ -50,8 +50,6 @@ KINDS = [*BASE, "format"]
 MIN_TOKEN = 16
 #: distinct strings a kind is learned from, at most
 TRAIN_EACH = 300
-#: ordinary tokens looked at for the sample: one hash in so many
-ORDINARY_SHARE = 16
 #: confidence of the merge test
 ALPHA = 0.05
 _WORDS = (b"passw", b"secret", b"token", b"api")
@@ -241,12 +239,18 @@ def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=7).digest(), "big")
 
 
+def _by_hash(x: tuple[str, int]) -> tuple[int, str]:
+    return x[1], x[0]
+
+
 def labelled_strings(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str]], list[str]]:
     """The bounded training sample: credentials of each base kind, and long
     ordinary tokens."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary: dict[str, int] = {}             # the task's least hashes
+        most = 1 << 56
         for b in batches:
             rows: set[tuple[str, str]] = set()
             for row, data, offsets in string_slices(b.column(0)):
@@ -258,12 +262,20 @@ def labelled_strings(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str
                     rows.update((kind, s) for _, _, kind, s in spans if len(s) <= 128)
                 for i in np.flatnonzero(w.end - w.start >= MIN_TOKEN - 4).tolist():
                     s = data[w.start[i]:w.end[i]].tobytes().decode("ascii")
-                    if len(s) <= 128 and _hash(s) % ORDINARY_SHARE == 0 and not any(
+                    if len(s) <= 128 and (h := _hash(s)) < most and not any(
                             x in s or s in x for x in taken.get(int(w.row[i]), ())):
-                        rows.add(("", s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string()),
-                 pa.array([_hash(s) for _, s in rows], pa.int64())], names=["kind", "s", "h"])
+                        ordinary[s] = h
+                        if len(ordinary) >= 2 * TRAIN_EACH:
+                            ordinary = dict(sorted(ordinary.items(), key=_by_hash)[:TRAIN_EACH])
+                            most = max(ordinary.values())
+            if rows:
+                yield batch(rows)
+        yield batch({("", s) for s, _ in sorted(ordinary.items(), key=_by_hash)[:TRAIN_EACH]})
+
+    def batch(rows: set[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string()),
+             pa.array([_hash(s) for _, s in rows], pa.int64())], names=["kind", "s", "h"])
 
     seen = written(docs.select(text_col).mapInArrow(run, "kind string, s string, h long")
                    .groupBy("kind", "s").agg(F.first("h").alias("h")), "secret-strings")
@@ -277,7 +289,7 @@ def labelled_strings(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str
 def learn_formats(docs: DataFrame, text_col: str = "text") -> Formats | None:
     """The automata, or None when there is nothing to learn from."""
     labelled, ordinary = labelled_strings(docs, text_col)
-    if not any(labelled.values()) or not ordinary:
+    if not any(labelled.values()):
         return None
     return Formats(labelled, ordinary)
 

@@ -71,6 +71,20 @@ def test_labels_like_ordinary_text_accept_no_ordinary_tokens():
     assert sum(learned.accepts(s) for s in words(4, 300)) <= 3
 
 
+def test_small_tables_learn_formats(spark):
+    """No ordinary token is left out of the sample for its hash."""
+    known = credentials(9, 60)
+    plain = [w for w in words(10, 60) if len(w) >= 12 and S._hash(w) % 16][:9]
+    hidden = "ASIA" + known["access"][0][:3:-1]
+    rows = [(i, f"key {a} next") for i, a in enumerate(known["access"])]
+    rows += [(100 + i, f"a {w} b") for i, w in enumerate(plain)] + [(200, f"see {hidden} there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert set(S.labelled_strings(df, "text")[1]) == {hidden, *plain}
+    found = {r.doc_id: [s.kind for s in r.spans] for r in S.find_secrets(df, S.learn_formats(df)).collect()}
+    assert found[200] == ["format"] and not any(found[100 + i] for i in range(len(plain)))
+    assert S.learn_formats(df.where("doc_id < 100")) is not None
+
+
 def test_merging_gives_a_distribution():
     a = S.Automaton(["ab1"] * 30 + ["ab"] * 30 + ["zz9"] * 40)
     assert len(a.next) >= 2
