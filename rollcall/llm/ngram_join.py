@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,8 +123,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = fresh(docs, "_first")
     done = written(done, "ngram-done").withColumnsRenamed({"_key": key, "_first": first})
     rows = docs.select(*order, *({id_col, text_col} - set(order)), row_key(id_col, text_col).alias(key))
+    # rows equal in id and text share a key: one of them is kept
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
     return rows.join(done, key).select(
-        *order, "n_shingles", "component_id", (F.col(key) == F.col(first)).alias("keep"))
+        *order, "n_shingles", "component_id", ((F.col(key) == F.col(first)) & (nth == 1)).alias("keep"))
 
 
 def _low(s: np.ndarray) -> np.ndarray:

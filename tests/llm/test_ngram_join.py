@@ -76,6 +76,14 @@ def test_edges(spark):
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_keeps_one_of_repeated_rows(spark):
+    rows = [(5, "a b c d e f")] * 6 + [(8, "a b c d e f")] * 2 + [(None, None)] * 3 + [(9, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = ngram_join.jaccard_components(df).collect()
+    assert len(out) == len(rows)
+    assert sorted(str(r.doc_id) for r in out if r.keep) == ["5", "9", "None"]
+
+
 def trial(rng):
     base = [[rng.randrange(60) for _ in range(rng.randrange(5, 40))] for _ in range(4)]
     sets = []
