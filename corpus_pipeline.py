@@ -6,6 +6,10 @@ decontamination (contaminated documents go), best-fit packing. Every stage but
 the last returns the columns of ``documents``; each works on all rows that its
 predecessor kept. Rows with null or empty text have no words and go in the
 first stage. An empty table goes through all stages.
+
+The line stage follows op2's rule: a line of ten or more documents goes from all
+of them. A group of ten or more exact copies loses all its lines there and goes
+on without words, so the n-gram join does not see it.
 """
 
 from __future__ import annotations
