@@ -71,5 +71,30 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id
 GROUP BY d.doc_id, s.n"""
 
 
+# a text is escaped only where it does not come back as it is: it holds a control
+# string, or a backslash with a character after it
+_OP13 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+marks AS (
+  SELECT *, (length(text) - length(replace(replace(text, '<|im_end|>', ''), '<|im_start|>', ''))
+             - 2 * ((length(text) - length(replace(text, '<|im_start|>', ''))) // 12)) // 10 AS controls,
+         length(text) - length(replace(text, '\', '')) AS slashes,
+         regexp_matches(text, '(?s)\\.') AS taken
+  FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text))
+         AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + length(text) + controls + 11
+                + CASE WHEN taken THEN slashes ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM marks GROUP BY conv_id""".replace("\\\\", "\\")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op5_decontam": _OP5, "op10_ngram_join": _OP10}
+    return {"op2_line_dedup": _OP2, "op5_decontam": _OP5, "op10_ngram_join": _OP10,
+            "op13_chat_format": _OP13}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import (decontam, html_extract, langid, line_dedup, ngram_join, packing, quality,
+from rollcall.llm import (chat_format, decontam, html_extract, langid, line_dedup, ngram_join, packing, quality,
                           secret_scan, substring_dedup, token_files)
 from rollcall.session import scratch_path
 from rollcall.sources.tables import read_table
@@ -96,6 +96,11 @@ def op10_ngram_join(spark, d):
         "doc_id", "n_shingles", "component_id")
 
 
+def op13_chat_format(spark, d):
+    conversations = read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
+    return chat_format.formatted_digests(chat_format.planted(spark, conversations))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -108,4 +113,5 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
+        "op13_chat_format": op13_chat_format,
     }
