@@ -71,6 +71,53 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id
 GROUP BY d.doc_id, s.n"""
 
 
+def _op11() -> str:
+    def near(books: str) -> str:
+        """Each part with its nearest entry."""
+        return f"""
+  SELECT vec_id, label, p, part, e, err FROM (
+    SELECT x.vec_id, x.label, x.p, x.part, b.e,
+           list_sum(list_transform(list_zip(x.part, b.entry),
+                                   lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS err
+    FROM parts x JOIN {books} b USING (p))
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY err, e) = 1"""
+
+    def moved(near: str, books: str) -> str:
+        return f"""
+  SELECT b.p, b.e, coalesce(m.entry, b.entry) AS entry FROM {books} b LEFT JOIN (
+    SELECT p, e, list(c ORDER BY i) AS entry FROM (
+      SELECT p, e, i, CAST(floor(CAST(sum(part[i]) AS DOUBLE) / count(*)) AS BIGINT) AS c
+      FROM {near}, (SELECT unnest(generate_series(1, (SELECT max(len(part)) FROM parts))) AS i)
+      GROUP BY p, e, i) GROUP BY p, e) m USING (p, e)"""
+
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS part
+  FROM kept, (SELECT unnest(generate_series(0, 15)) AS p)),
+books0 AS (
+  SELECT x.p, f.e, x.part AS entry FROM parts x JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept
+    ORDER BY vec_id LIMIT 64) f USING (vec_id)),
+near0 AS ({near("books0")}),
+books1 AS ({moved("near0", "books0")}),
+near1 AS ({near("books1")}),
+books2 AS ({moved("near1", "books1")}),
+near2 AS ({near("books2")}),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code,
+         CAST(sum(err) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(entry, ','), ',' ORDER BY p, e)) FROM books2)
+         AS codebooks_sha256
+FROM coded"""
+
+
 # a text is escaped only where it does not come back as it is: it holds a control
 # string, or a backslash with a character after it
 _OP13 = r"""
@@ -97,4 +144,4 @@ FROM marks GROUP BY conv_id""".replace("\\\\", "\\")
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_line_dedup": _OP2, "op5_decontam": _OP5, "op10_ngram_join": _OP10,
-            "op13_chat_format": _OP13}
+            "op11_vector_codes": _op11(), "op13_chat_format": _OP13}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm import (chat_format, decontam, html_extract, langid, line_dedup, ngram_join, packing, quality,
-                          secret_scan, substring_dedup, token_files)
+                          secret_scan, substring_dedup, token_files, vector_codes)
 from rollcall.session import scratch_path
 from rollcall.sources.tables import read_table
 
@@ -96,6 +96,13 @@ def op10_ngram_join(spark, d):
         "doc_id", "n_shingles", "component_id")
 
 
+def op11_vector_codes(spark, d):
+    rows = read_table(spark, d, "embeddings", ["vec_id", "embedding", "label"])
+    coded, books = vector_codes.compress(rows)
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def op13_chat_format(spark, d):
     conversations = read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
     return chat_format.formatted_digests(chat_format.planted(spark, conversations))
@@ -113,5 +120,6 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
+        "op11_vector_codes": op11_vector_codes,
         "op13_chat_format": op13_chat_format,
     }
