@@ -98,23 +98,28 @@ def parse(text: Column) -> Column:
     return F.when((pieces[0] == "") & F.forall(rest, shaped), F.transform(rest, turn))
 
 
+def _levels(role: Column, text: Column) -> list[tuple[Column, Column]]:
+    """(header line, body) of a turn: as it stands, with escaped control
+    strings, with escaped backslashes as well."""
+    return [(role, text), (_line(_marked(role)), _marked(text)),
+            (_line(_marked(_doubled(role))), _marked(_doubled(text)))]
+
+
 def _turns(conversations: DataFrame) -> DataFrame:
-    """One row per turn: its key columns, its rendering and where its body
-    lies in it."""
+    """One row per turn with the first level at which it comes back and the
+    length of that rendering."""
     turns = conversations.select(
         "conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    role, text = F.col("role"), F.col("text")
-    levels = [(role, text), (_line(_marked(role)), _marked(text)),
-              (_line(_marked(_doubled(role))), _marked(_doubled(text)))]
-    source = F.array(F.struct(role.alias("role"), text.alias("text")))
+    source = F.array(F.struct("role", "text"))
     chosen = F.raise_error(F.lit("a turn does not come back from its rendering"))
-    for line, body in reversed(levels):
-        same = F.coalesce(parse(_rendered(line, body)) == source, F.lit(False))
-        chosen = F.when(same, F.struct(line.alias("line"), body.alias("body"))).otherwise(chosen)
+    for level, (line, body) in reversed(list(enumerate(_levels(F.col("role"), F.col("text"))))):
+        rendered = _rendered(line, body)
+        same = F.coalesce(parse(rendered) == source, F.lit(False))
+        chosen = F.when(same, F.struct(F.lit(level).alias("level"),
+                                       F.length(rendered).cast("long").alias("size"))).otherwise(chosen)
     return turns.withColumn("_c", chosen).select(
-        "conv_id", "turn", "role", "text", F.col("_c.line").alias("_line"),
-        F.col("_c.body").alias("_body"))
+        "conv_id", "turn", "role", "text", F.col("_c.level").alias("_level"), F.col("_c.size").alias("_size"))
 
 
 def format_conversations(conversations: DataFrame, part_chars: int = PART_CHARS,
@@ -122,24 +127,24 @@ def format_conversations(conversations: DataFrame, part_chars: int = PART_CHARS,
     """(conv_id, part, formatted, n_turns, loss_spans) of conversations
     (conv_id, turn, role, text). ``loss_spans`` (start, end in code points of
     ``formatted``) are the bodies of the assistant's turns, in order."""
-    head, tail = len(START) + 1, len(END) + 1
     turns = (_turns(conversations)
-             .withColumn("_size", (F.length("_line") + F.length("_body") + head + tail).cast("long"))
              .withColumn("_no_id", F.col("conv_id").isNull())
              .withColumn("_id", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))))
     placed = ordered_scan(turns, ["_no_id", "_id"], ["turn", "role", "text"], "_size", "_upto",
                           "running_sum", **{"max_group_rows": GROUP_TURNS, **scan_kw})
     at = F.col("_upto") - F.col("_size")
+    line, body = (F.when(F.col("_level") == 0, plain).when(F.col("_level") == 1, marked).otherwise(doubled)
+                  for plain, marked, doubled in zip(*_levels(F.col("role"), F.col("text"))))
     rows = placed.select(
         "_no_id", "_id", "conv_id", F.floor(at / part_chars).cast("long").alias("_bin"),
-        F.struct(at.alias("at"), F.col("_line").alias("line"), F.col("_body").alias("body"),
+        F.struct(at.alias("at"), line.alias("line"), body.alias("body"),
                  (F.col("role") == "assistant").alias("loss")).alias("_t"))
     grouped = (rows.groupBy("_no_id", "_id", "_bin")
                .agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("_t")).alias("_ts")))
     first = F.element_at("_ts", 1)["at"]
 
     def span(t: Column) -> Column:
-        begin = t["at"] - first + head + F.length(t["line"])
+        begin = t["at"] - first + len(START) + F.length(t["line"]) + 1
         return F.struct(begin.alias("start"), (begin + F.length(t["body"])).alias("end"))
 
     return grouped.select(
