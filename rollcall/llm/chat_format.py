@@ -19,7 +19,7 @@ and every backslash in it is one of a pair or the escape's. A control string
 holds no line feed and a turn ends with one, so none can arise between two
 turns: a sequence of turns parses into just these turns.
 
-Long conversations are cut into parts of some 65,000 characters (whole turns),
+Long conversations are cut into parts of some 130,000 characters (whole turns),
 numbered from 0, so a conversation with a third of all rows is many rows of
 bounded size. The place of a turn is a running sum over its conversation
 (``scan.ordered_scan``, which splits a conversation that is too long for a
@@ -36,12 +36,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.llm.common import written
 from rollcall.operators.scan import ordered_scan
 from rollcall.session import scratch_path
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: characters after which a new part of a conversation begins
-PART_CHARS = 1 << 16
+PART_CHARS = 1 << 17
 #: turns of a conversation up to which one task may order them
 GROUP_TURNS = 100_000
 
@@ -155,7 +156,8 @@ def format_conversations(conversations: DataFrame, part_chars: int = PART_CHARS,
 
 
 def write_formatted(conversations: DataFrame, path: str, **kw) -> None:
-    format_conversations(conversations, **kw).write.mode("overwrite").parquet(path)
+    (format_conversations(conversations, **kw).write.mode("overwrite")
+     .option("compression", "zstd").parquet(path))
 
 
 def recovered(formatted: Column, spans: Column) -> Column:
@@ -177,11 +179,25 @@ def read_formatted(spark: SparkSession, path: str) -> DataFrame:
 
 def conversation_digests(spark: SparkSession, path: str) -> DataFrame:
     """Digests of whole conversations from a written folder: (conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars). A digest needs its
-    conversation in one row, so one may hold 2 GB at most."""
-    parts = spark.read.parquet(path).select("conv_id", F.struct("part", "formatted", "loss_spans").alias("p"))
-    found = (parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("_ps"))
-             .withColumn("_rs", F.transform("_ps", lambda p: recovered(p["formatted"], p["loss_spans"]))))
+    turns_sha256, loss_chars, loss_sha256, formatted_chars). A conversation of
+    one part is read where it lies; only longer ones are brought together (the
+    list of their ids is a written table, so Spark broadcasts it if it is
+    small). A digest needs its conversation in one row, so one may hold 2 GB at
+    most."""
+    parts = spark.read.parquet(path).select(
+        "conv_id", "part", F.struct("part", "formatted", "loss_spans").alias("p"))
+    long = written(parts.where("part > 0").select(F.col("conv_id").alias("_long")).distinct(),
+                   "chat-long")
+    same = F.col("conv_id").eqNullSafe(F.col("_long"))
+    single = parts.join(long, same, "left_anti").select("conv_id", F.array("p").alias("_ps"))
+    several = (parts.join(long, same, "left_semi").groupBy("conv_id")
+               .agg(F.sort_array(F.collect_list("p")).alias("_ps")))
+    return _digests(single).unionByName(_digests(several))
+
+
+def _digests(found: DataFrame) -> DataFrame:
+    found = found.withColumn(
+        "_rs", F.transform("_ps", lambda p: recovered(p["formatted"], p["loss_spans"])))
     turns = F.flatten(F.transform("_rs", lambda r: r["turns"]))
     texts = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     found = found.select(
