@@ -118,6 +118,94 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM coded"""
 
 
+_OP12 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+           lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) % 20 AS h
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM keyed WHERE h <> 0)),
+placed AS (
+  SELECT *, row_number() OVER w AS p, lag(left(role, 1)) OVER w AS before, left(role, 1) AS ini,
+         right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) AS tail
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+faults AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN copy > 1 THEN 'duplicate'
+                 WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS copy FROM placed)),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS p, {'c': 0, 'a': ''} AS b0, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS b1,
+         CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS b2, CAST(NULL AS STRUCT(c INTEGER, a VARCHAR)) AS b3
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, p, ADD(c0, 3, 'D'), LEAST2(ADD(c1, 3, 'D'), CASE WHEN free AND ini = 's' THEN ADD(c0, t, 'K') END),
+         LEAST2(ADD(c2, 3, 'D'), CASE WHEN free THEN ADD(list_min([c0, c1, c3]), CASE ini WHEN 'u' THEN t ELSE 2 + t END,
+                                                       CASE ini WHEN 'u' THEN 'K' ELSE 'R' END) END),
+         LEAST2(ADD(c3, 3, 'D'), CASE WHEN free THEN ADD(c2, CASE ini WHEN 'a' THEN t ELSE 2 + t END,
+                                                       CASE ini WHEN 'a' THEN 'K' ELSE 'R' END) END)
+  FROM (SELECT f.conv_id, f.p, f.ini, f.fault NOT IN ('blank', 'duplicate') AS free,
+               CASE f.fault WHEN 'truncated' THEN 1 ELSE 0 END AS t, w.b0 AS c0, w.b1 AS c1,
+               list_min([w.b2, ADD(w.b0, 2, 'I'), ADD(w.b1, 2, 'I'), ADD(w.b3, 2, 'I')]) AS c2,
+               list_min([w.b3, ADD(w.b2, 2, 'I'), ADD(w.b0, 4, 'II'), ADD(w.b1, 4, 'II')]) AS c3
+        FROM walk w JOIN faults f ON f.conv_id = w.conv_id AND f.p = w.p + 1)),
+ended AS (
+  SELECT conv_id, best.c AS cost, best.a AS audit
+  FROM (SELECT conv_id, list_min([b0, b3, ADD(b2, 2, 'I'), ADD(b1, 4, 'II')]) AS best, p,
+               max(p) OVER (PARTITION BY conv_id) AS n FROM walk) WHERE p = n),
+letters AS (
+  SELECT conv_id, i, ch, count(*) FILTER (WHERE ch <> 'I') OVER w AS rown, count(*) FILTER (WHERE ch <> 'D') OVER w AS outn
+  FROM (SELECT conv_id, i, audit[i] AS ch
+        FROM (SELECT conv_id, audit, unnest(generate_series(1, length(audit))) AS i FROM ended))
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+lines AS (
+  SELECT l.conv_id, l.outn, l.ch, f.role, f.text,
+         max(CASE WHEN l.outn = 1 AND l.ch = 'K' AND f.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS off
+  FROM letters l LEFT JOIN faults f ON f.conv_id = l.conv_id AND l.ch <> 'I' AND f.p = l.rown
+  WHERE l.ch <> 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN ch = 'K' THEN role WHEN (outn - off) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                             || ':' || CASE ch WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY outn) AS text
+  FROM lines GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM ended e LEFT JOIN counts USING (conv_id) LEFT JOIN repaired r USING (conv_id)"""
+
+
+def _op12() -> str:
+    """The recursion's short forms written out."""
+    out = _OP12
+    while "ADD(" in out or "LEAST2(" in out:
+        at = max(out.rfind("ADD("), out.rfind("LEAST2("))
+        begin, depth, cuts = out.index("(", at) + 1, 0, []
+        for end in range(begin, len(out)):
+            depth += (out[end] in "([") - (out[end] in ")]")
+            if depth < 0:
+                break
+            if out[end] == "," and depth == 0:
+                cuts.append(end)
+        parts = [out[a + 1:b].strip() for a, b in zip([begin - 1, *cuts], [*cuts, end])]
+        full = (f"list_min([{', '.join(parts)}])" if out.startswith("LEAST2", at) else
+                f"CASE WHEN {parts[0]} IS NOT NULL THEN {{'c': ({parts[0]}).c + {parts[1]}, "
+                f"'a': ({parts[0]}).a || {parts[2]}}} END")
+        out = out[:at] + full + out[end + 1:]
+    return out
+
+
 # a text is escaped only where it does not come back as it is: it holds a control
 # string, or a backslash with a character after it
 _OP13 = r"""
@@ -144,4 +232,5 @@ FROM marks GROUP BY conv_id""".replace("\\\\", "\\")
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_line_dedup": _OP2, "op5_decontam": _OP5, "op10_ngram_join": _OP10,
-            "op11_vector_codes": _op11(), "op13_chat_format": _OP13}
+            "op11_vector_codes": _op11(), "op12_conversation_repair": _op12(),
+            "op13_chat_format": _OP13}

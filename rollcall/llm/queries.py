@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import (chat_format, decontam, html_extract, langid, line_dedup, ngram_join, packing, quality,
+from rollcall.llm import (chat_format, conversation_repair, decontam, html_extract, langid, line_dedup, ngram_join, packing, quality,
                           secret_scan, substring_dedup, token_files, vector_codes)
+from rollcall.llm.common import written
 from rollcall.session import scratch_path
 from rollcall.sources.tables import read_table
 
@@ -103,6 +104,28 @@ def op11_vector_codes(spark, d):
         "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults: a row in twenty goes, loses its text, loses its
+    sentence ends, stands twice or becomes a user's, by the hash of its key (nulls:
+    one space)."""
+    def filled(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(filled("conv_id"), F.lit(":"), filled("turn"))) % 20
+    copies = F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(filled("text"), ".!?", "")).otherwise(filled("text"))
+    return conversations.where(fault != 0).select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(filled("role")).alias("role"),
+        text.alias("text"), F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def op12_conversation_repair(spark, d):
+    conversations = read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
+    rows = damaged(conversations)
+    report = written(conversation_repair.repair_report(rows, ids=conversations), "repair-report")
+    return conversation_repair.repaired_digests(rows, report)
+
+
 def op13_chat_format(spark, d):
     conversations = read_table(spark, d, "conversations", ["conv_id", "turn", "role", "text"])
     return chat_format.formatted_digests(chat_format.planted(spark, conversations))
@@ -121,5 +144,6 @@ def queries() -> dict[str, Query]:
         "op9_quality": op9_quality,
         "op10_ngram_join": op10_ngram_join,
         "op11_vector_codes": op11_vector_codes,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_chat_format": op13_chat_format,
     }
