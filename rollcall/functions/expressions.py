@@ -27,6 +27,17 @@ DNS_ENTRY_INFIX, DNS_SEPARATOR = "-node", ","
 HOSTS_ENTRY_INFIX, HOSTS_SEPARATOR = " node", "\n"
 # ---------------------------------------------------------------------------
 
+# The same three patterns as one-pass chains: each group is atomic and takes the
+# earliest place, so a text is read once whatever it holds. A match of the fixed
+# pattern exists if and only if one exists with every part at its earliest place,
+# as what follows a part may lie anywhere after it on the line.
+PROBE_UP_CHAIN = r"(?m)^(?>.*? \d++\.\d++\.\d++\.\d)(?>.*?=\d)(?>.*?\dms TTL=\d)"
+REQUEST_LINE_CHAIN = r"(?m)^(?>.*?GET /\?MAC=)(.*?) HTTP/1\.1"
+# This one holds for the last line alone, where the fixed pattern must end.
+CONNECT_LINE_CHAIN = r"\A(?>.*?connect to \[)(?>.*?\] from \(\w++\) \[)(.*)\] \d++\z"
+# What "." does not match and "$" may stand before.
+LINE_ENDS = "\n\r\u0085\u2028\u2029"
+
 # Our labels for how a node is powered on, in order of priority: wake-on-LAN,
 # a remote control host, a local hypervisor.
 POWER_WOL, POWER_REMOTE, POWER_LOCAL = "wol", "remote", "local"
@@ -55,7 +66,7 @@ def mac_key(c: str | Column) -> Column:
 
 def probe_up(output: str | Column) -> Column:
     """True when a ping output shows a reply; null output is down."""
-    return F.coalesce(_col(output).rlike("(?i)" + PROBE_UP_PATTERN), F.lit(False))
+    return F.coalesce(_col(output).rlike("(?i)" + PROBE_UP_CHAIN), F.lit(False))
 
 
 def _extract_or_null(c: Column, pattern: str) -> Column:
@@ -63,12 +74,18 @@ def _extract_or_null(c: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
 
 
+def _last_line(c: Column) -> Column:
+    """The last line, without the line end that may close it."""
+    closed = F.regexp_replace(c, r"(?:\r\n|[" + LINE_ENDS + r"])\z", "")
+    return F.substring_index(F.translate(closed, LINE_ENDS, "\n" * len(LINE_ENDS)), "\n", -1)
+
+
 def checkin_ip(connect_line: str | Column) -> Column:
-    return _extract_or_null(_col(connect_line), "(?i)" + CONNECT_LINE_PATTERN)
+    return _extract_or_null(_last_line(_col(connect_line)), "(?i)" + CONNECT_LINE_CHAIN)
 
 
 def checkin_mac(request_line: str | Column) -> Column:
-    return _extract_or_null(_col(request_line), REQUEST_LINE_PATTERN)
+    return _extract_or_null(_col(request_line), REQUEST_LINE_CHAIN)
 
 
 def power_source(is_physical: str | Column, nc: str | Column,

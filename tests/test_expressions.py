@@ -1,5 +1,8 @@
 """Scalar expressions on the sample texts of FIXTURES.md section 1."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,39 @@ def test_mac_key_case_fold(spark):
     df = spark.createDataFrame([("e0cb4e",), (None,)], "m string")
     assert [r.k for r in df.select(X.mac_key("m").alias("k")).collect()] == ["E0CB4E", None]
     assert df.where(F.col("m").isNull()).count() == 1
+
+
+def _random_texts(pieces, count, longest, seed):
+    rng = random.Random(seed)
+    return [("".join(rng.choice(pieces) for _ in range(rng.randrange(longest))),) for _ in range(count)]
+
+
+def test_one_pass_chains_equal_the_fixed_patterns(spark):
+    probe = [" ", "1", "12.3.4.5", " 1.2.3.4", ".", "=", "=32", "3ms TTL=6", "ms ttl=1", "\n", "\r\n", " ", "x", "大"]
+    line = ["connect to [", "CONNECT TO [", "10.0.0.1", "] from (", "ab_1", ") [", "] 12", "]", " ", "7", "\n", "\r", "\r\n",
+            "] from (A) [", "GET /?MAC=", "aB", " HTTP/1.1", "\u0085", "x"]
+    df = spark.createDataFrame(_random_texts(probe, 6000, 14, 1), "t string")
+    old = F.col("t").rlike("(?i)" + X.PROBE_UP_PATTERN)
+    both = df.select("t", old.alias("old"), X.probe_up("t").alias("new"))
+    assert both.where("old <> new").collect() == []
+    assert both.where("old").count() > 100
+    df = spark.createDataFrame(_random_texts(line, 20000, 12, 2), "t string")
+
+    def part(pattern):
+        return F.nullif(F.regexp_extract("t", pattern, 1), F.lit(""))
+
+    both = df.select("t", part("(?i)" + X.CONNECT_LINE_PATTERN).alias("ip"), X.checkin_ip("t").alias("ip2"),
+                     part(X.REQUEST_LINE_PATTERN).alias("mac"), X.checkin_mac("t").alias("mac2"))
+    assert both.where("NOT (ip <=> ip2) OR NOT (mac <=> mac2)").collect() == []
+    assert both.where("ip IS NOT NULL").count() > 20 and both.where("mac IS NOT NULL").count() > 20
+
+
+@pytest.mark.parametrize("text", [
+    " 1.1.1.1=1", "1", " ", "=1", " 1.1.1.1", "1ms TTL=", "connect to [", "] from (a) [", "] 1", "(" + "a" * 50,
+    "GET /?MAC=", "connect to [] from (a) [] 1x", "\n", " 1.1.1.1=1\n", "=11ms TTL=\r"])
+def test_a_hostile_megabyte_is_read_once(spark, text):
+    df = spark.createDataFrame([(text,)], "t string").select(
+        F.repeat("t", (1 << 20) // len(text)).alias("t"))
+    start = time.monotonic()
+    df.select(X.probe_up("t"), X.checkin_ip("t"), X.checkin_mac("t")).collect()
+    assert time.monotonic() - start < 3
