@@ -50,7 +50,8 @@ from rollcall.session import cut_lineage
 
 # -- Q11 ------------------------------------------------------------------------
 
-def _probes_of_fleet(fleet: DataFrame, parsed_probes: DataFrame) -> DataFrame:
+def probes_of_fleet(fleet: DataFrame, parsed_probes: DataFrame) -> DataFrame:
+    """The probes of each inventory row: (cluster, idx, ts, seq, u)."""
     return (parsed_probes.join(fleet.select("node", "cluster", "idx"), on="node", how="inner")
             .select("cluster", "idx", "ts", "seq", F.col("up").cast("int").alias("u")))
 
@@ -59,7 +60,7 @@ def state_changes(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> Data
     """Probes of inventory rows where the row's state changed:
     (cluster, idx, ts, seq, delta) with delta +1 (came up) or -1 (went
     down). A row starts down."""
-    return _changes(_probes_of_fleet(fleet, parsed_probes), **scan_kw)
+    return _changes(probes_of_fleet(fleet, parsed_probes), **scan_kw)
 
 
 def _changes(probes: DataFrame, **scan_kw) -> DataFrame:
@@ -85,7 +86,7 @@ def all_up_at(fleet: DataFrame, parsed_probes: DataFrame, **scan_kw) -> DataFram
     """Per cluster: n, and the ts and seq of the first probe after which all
     n rows are up (null when that never happens).
     Output: cluster, n, all_up_at, all_up_seq."""
-    probes = _probes_of_fleet(fleet, parsed_probes)
+    probes = probes_of_fleet(fleet, parsed_probes)
     row_kw, cluster_kw = dict(scan_kw), dict(scan_kw)
     if scan_kw.get("split") is None:
         st = _probe_counts(fleet, parsed_probes)

@@ -83,11 +83,17 @@ def unknown_checkins(fleet: DataFrame, parsed_checkins: DataFrame) -> DataFrame:
     """Check-ins set aside: no MAC, a MAC no inventory row has, or a known
     MAC without an address. One row per check-in, first reason wins.
     Output: seq, ts, ip, mac, reason."""
+    return unknown_by_key(parsed_checkins, split_side(first_row_per_mac(fleet).select("mac_key")))
+
+
+def unknown_by_key(parsed_checkins: DataFrame, keys: DataFrame) -> DataFrame:
+    """``unknown_checkins`` with the known MACs given as a written table
+    (mac_key)."""
     cols = ["seq", "ts", "ip", "mac"]
     # a null MAC matches nothing: those check-ins never enter the join
     no_mac = parsed_checkins.where(F.col("mac").isNull()).select(
         *cols, F.lit("no_mac").alias("reason"))
-    known = split_side(first_row_per_mac(fleet).select("mac_key")).withColumn("_known", F.lit(True))
+    known = keys.select("mac_key", F.lit(True).alias("_known"))
     reason = (F.when(F.col("_known").isNull(), F.lit("unknown_mac"))
               .when(F.col("ip").isNull(), F.lit("no_ip")))
     return no_mac.unionByName(

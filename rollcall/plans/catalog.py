@@ -17,6 +17,7 @@ from rollcall.session import scratch_path
 from rollcall.sources import sinks, views
 from rollcall.sources.inventory import read_inventory
 from rollcall.sources.streams import table_stream
+from rollcall.streaming import all_up as all_up_stream
 from rollcall.streaming import coverage as coverage_stream
 from rollcall.streaming import latch as latch_stream
 
@@ -209,6 +210,16 @@ def report_coverage_stream(spark, d):
     return coverage_stream.coverage_from_state(spark, fleet, base + "/state")
 
 
+def unknown_checkins_stream(spark, d):
+    """The second output of the check-in stream: what matches no row."""
+    fleet = views.fleet(spark, d)
+    base = scratch_path(spark, "unknown-stream")
+    q = coverage_stream.start_coverage_stream(
+        fleet, views.checkins_from(table_stream(spark, d, "events")), base + "/state", base + "/checkpoint")
+    q.awaitTermination()
+    return coverage_stream.unknown_from_state(spark, base + "/state")
+
+
 def _latch_stream(target: bool) -> Query:
     def run(spark, d):
         fleet = views.fleet(spark, d)
@@ -222,6 +233,17 @@ def _latch_stream(target: bool) -> Query:
     return run
 
 
+def _all_up_stream(fleet_of: Callable[[SparkSession, str], DataFrame]) -> Query:
+    def run(spark, d):
+        fleet = fleet_of(spark, d)
+        base = scratch_path(spark, "all-up-stream")
+        q = all_up_stream.start_all_up_stream(
+            fleet, views.probes_from(table_stream(spark, d, "events")), base + "/state", base + "/checkpoint")
+        q.awaitTermination()
+        return all_up_stream.all_up_from_state(spark, fleet, base + "/state")
+    return run
+
+
 def queries() -> dict[str, Query]:
     return {
         "fleet_scan": fleet_scan,
@@ -259,6 +281,9 @@ def queries() -> dict[str, Query]:
         "export_hosts": export_hosts,
         "export_dns": export_dns,
         "report_coverage_stream": report_coverage_stream,
+        "unknown_checkins_stream": unknown_checkins_stream,
+        "all_up_at_stream": _all_up_stream(views.fleet),
+        "all_up_at_wide_stream": _all_up_stream(views.fleet_wide),
         "latch_on_stream": _latch_stream(True),
         "latch_off_stream": _latch_stream(False),
     }

@@ -287,6 +287,9 @@ def oracle_sql() -> dict[str, str]:
             "idx AS position FROM fleet"),
         # the streams must end where the batch jobs do
         "report_coverage_stream": _with(_COVERAGE),
+        "unknown_checkins_stream": _with(_UNKNOWN),
+        "all_up_at_stream": _with(_ALL_UP_BODY, extra=_ALL_UP),
+        "all_up_at_wide_stream": _with(_ALL_UP_BODY, fleet_table="customer", extra=_ALL_UP),
         "latch_on_stream": _latch(True),
         "latch_off_stream": _latch(False),
     }

@@ -120,3 +120,10 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(hpath):
         return []
     return [s.getPath().getName() for s in fs.listStatus(hpath)]
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())

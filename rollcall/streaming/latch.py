@@ -1,21 +1,25 @@
 """Q12s: the ordered wait over a stream of probes.
 
-State is the latches so far, at most one per inventory row, kept as snapshots
-(``rollcall.streaming.snapshots``); where a cluster's wait resumes (the next
-row, and the seq of the last latch) follows from them. Each micro-batch runs
-the batch job (``rollcall.operators.convergence``), resumed there: only probes
+State is the latches so far, at most one per inventory row, kept as a log
+(``rollcall.streaming.statelog``: a batch writes its new latches); where a cluster's
+wait resumes (the next row, and the seq of the last latch) follows from them.
+Each micro-batch runs the batch job (``rollcall.operators.convergence``), resumed there: only probes
 of rows not yet latched, later than the last latch, enter it, and clusters
 that are done none at all. A hot cluster is split over tasks inside the batch
 as in the batch job, rather than walked by one task. A replayed batch reads the
-snapshot it read the first time, so it gives the same output.
+state it read the first time, so it gives the same output.
 
 The answer depends on the order of delivery: probes must arrive in seq order
 across micro-batches (an event not later than the last latch of its cluster is
-ignored). If that cannot be promised, run the batch job on the whole log.
+ignored). Where files or partitions come out of order, give a ``delay``: a reorder
+buffer (``rollcall.streaming.reorder``) holds that much event time back, releases
+it in order and puts what comes later still aside (``reorder_buffer(...).late()``).
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,7 +28,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from rollcall.operators.convergence import ordered_latch
 from rollcall.operators.parse import parse_probes
 from rollcall.session import cut_lineage
-from rollcall.streaming.snapshots import read_snapshot, write_snapshot
+from rollcall.streaming.reorder import ReorderBuffer
+from rollcall.streaming.statelog import StateLog
 
 
 def state_schema(fleet: DataFrame) -> StructType:
@@ -43,26 +48,41 @@ def resume_points(fleet: DataFrame, latches: DataFrame) -> DataFrame:
             .select("cluster", "start_idx", F.col("after_seq").cast("long").alias("after_seq")))
 
 
+def _log(spark: SparkSession, fleet: DataFrame, state_path: str) -> StateLog:
+    return StateLog(spark, os.path.join(state_path, "latches"), state_schema(fleet), ["cluster", "idx"])
+
+
+def reorder_buffer(spark: SparkSession, state_path: str) -> ReorderBuffer:
+    """The reorder buffer of a stream with ``delay``: its held and late probes."""
+    return ReorderBuffer(spark, os.path.join(state_path, "reorder"))
+
+
+def _advance(fleet: DataFrame, before: DataFrame, probes: DataFrame, target: bool, **scan_kw) -> DataFrame | None:
+    """The latches that ``probes`` add; None where no cluster waits."""
+    starts = cut_lineage(resume_points(fleet, before))
+    if starts.isEmpty():
+        return None
+    return cut_lineage(ordered_latch(fleet, probes, target, starts=starts, **scan_kw))
+
+
 def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
                        state_path: str, checkpoint_location: str,
                        trigger: dict | None = None, query_name: str | None = None,
-                       **scan_kw) -> StreamingQuery:
+                       delay: str | None = None, **scan_kw) -> StreamingQuery:
     """Start Q12s on a stream of raw probes (seq, ts, node, output)."""
     parsed = parse_probes(probes_stream)
     # the inventory is read by every micro-batch: written once, here
     fleet = cut_lineage(fleet.select("cluster", "idx", "node"))
-    schema = state_schema(fleet)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch is read once: the latch job writes its target events first
         spark = batch.sparkSession
-        before = read_snapshot(spark, state_path, schema, before=batch_id)
-        starts = cut_lineage(resume_points(fleet, before))
-        if starts.isEmpty():
-            return
-        latches = cut_lineage(ordered_latch(fleet, batch, target, starts=starts, **scan_kw))
-        if not latches.isEmpty():
-            write_snapshot(before.unionByName(latches), state_path, batch_id)
+        if delay is not None:
+            batch = reorder_buffer(spark, state_path).release(batch, batch_id, delay)
+        log = _log(spark, fleet, state_path)
+        latches = _advance(fleet, log.read(batch_id), batch, target, **scan_kw)
+        if latches is not None and not latches.isEmpty():
+            log.write(latches, batch_id)
 
     writer = (parsed.writeStream.outputMode("append")
               .option("checkpointLocation", checkpoint_location)
@@ -73,7 +93,12 @@ def start_latch_stream(fleet: DataFrame, probes_stream: DataFrame, target: bool,
     return writer.start()
 
 
-def latches_from_state(spark: SparkSession, fleet: DataFrame, state_path: str) -> DataFrame:
-    """All latches written so far: (cluster, idx, node, seq)."""
-    return read_snapshot(spark, state_path, state_schema(fleet)).select(
-        "cluster", "idx", "node", "seq")
+def latches_from_state(spark: SparkSession, fleet: DataFrame, state_path: str,
+                       held: DataFrame | None = None, target: bool = True, **scan_kw) -> DataFrame:
+    """All latches written so far: (cluster, idx, node, seq); with ``held`` (the
+    reorder buffer's rows) as if these had been released too."""
+    latches = _log(spark, fleet, state_path).read()
+    if held is not None:
+        more = _advance(fleet, latches, held, target, **scan_kw)
+        latches = latches if more is None else latches.unionByName(more)
+    return latches.select("cluster", "idx", "node", "seq")

@@ -19,10 +19,10 @@ _PREFIX = "batch_id="
 def batch_ids(spark: SparkSession, path: str) -> list[int]:
     """Batches with a complete snapshot, ascending."""
     ids = sorted(int(n[len(_PREFIX):]) for n in child_names(spark, path) if n.startswith(_PREFIX))
-    return [i for i in ids if "_SUCCESS" in child_names(spark, _folder(path, i))]
+    return [i for i in ids if "_SUCCESS" in child_names(spark, snapshot_folder(path, i))]
 
 
-def _folder(path: str, batch_id: int) -> str:
+def snapshot_folder(path: str, batch_id: int) -> str:
     return os.path.join(path, f"{_PREFIX}{batch_id}")
 
 
@@ -32,12 +32,12 @@ def read_snapshot(spark: SparkSession, path: str, schema: StructType,
     ids = [i for i in batch_ids(spark, path) if before is None or i < before]
     if not ids:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_folder(path, ids[-1]))
+    return spark.read.schema(schema).parquet(snapshot_folder(path, ids[-1]))
 
 
 def write_snapshot(state: DataFrame, path: str, batch_id: int) -> None:
     """Write the state after ``batch_id`` and drop what no replay can need."""
     spark = state.sparkSession
-    state.write.mode("overwrite").parquet(_folder(path, batch_id))
+    state.write.mode("overwrite").parquet(snapshot_folder(path, batch_id))
     for i in [i for i in batch_ids(spark, path) if i < batch_id][:-1]:
-        drop_path(spark, _folder(path, i))
+        drop_path(spark, snapshot_folder(path, i))
