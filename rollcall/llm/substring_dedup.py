@@ -13,14 +13,19 @@ the words near by only, so an insertion moves no later boundary. A stretch of
 2. Documents with such a run are read again. Every window of ``min_words``
    words that can be repeated there is digested (128 bits): each that starts in
    a chunk whose run is repeated, or near by, unless a run inside it is not.
-3. Windows are counted exactly over documents, with a map-side combine. Those
-   in two documents or more are merged to passages.
+3. Windows are counted exactly over documents, with a map-side combine. The owner
+   of a window in two documents or more is the least id that has it. A passage
+   is a stretch of overlapping windows with one owner: it ends where the next
+   repeated window has another, or only touches it.
 
 Each result row is one passage: the document, its code point range there, its
-words, the least id of a document that has its first window, and whether this
-document is that one (``keep``). A document without a repeated passage has no
-row. A passage that repeats only within one document is not reported. Null and
-empty texts have no words. Rows equal in id and text count as one document. An
+words, the owner (``first_id``), and whether this document is the owner
+(``keep``). So a repeated window lies in passages to keep in its owner alone.
+Passages of different owners can overlap; ``drop_start`` and ``drop_end`` are the
+part of a passage not to keep that no passage to keep reaches into (null where
+there is none): dropping these ranges leaves every repeated window whole in its
+owner. A document without a repeated passage has no row. A passage that repeats
+only within one document is not reported. Null and empty texts have no words. Rows equal in id and text count as one document. An
 empty table gives an empty table.
 """
 
@@ -182,24 +187,48 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("start", T.LongType()),
                         T.StructField("end", T.LongType()), T.StructField("n_words", T.LongType()),
-                        T.StructField("first_id", id_type)])
+                        T.StructField("first_id", id_type), T.StructField("keep", T.BooleanType()),
+                        T.StructField("drop_start", T.LongType()), T.StructField("drop_end", T.LongType())])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, held in enumerate(b.column(1).to_pylist()):
-                now = None
-                for w in held:
-                    if now is not None and w["_word"] <= now[2]:
-                        now[1], now[2] = max(now[1], w["_end"]), max(now[2], w["_word"] + min_words)
-                        continue
-                    now = [w["_start"], w["_end"], w["_word"] + min_words, w["_word"], w["_first"], i]
-                    rows.append(now)
+            for i, (own, held) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                stretches = owned_stretches(
+                    [(w["_word"], w["_start"], w["_end"], w["_first"]) for w in held], own, min_words)
+                rows += [(i, *r) for r in stretches]
+            at, start, end, n_words, first, keep, cut, cut_end = zip(*rows) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array([r[5] for r in rows], pa.int64())),
-                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] - r[3] for r in rows], pa.int64()),
-                 pa.array([r[4] for r in rows], b.schema.field(0).type)], names=out.names)
-
-    passages = hit.select("_id", "_w").mapInArrow(merge, out)
-    return passages.withColumn("keep", F.col(id_col).eqNullSafe(F.col("first_id")))
+                [b.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64()),
+                 pa.array(n_words, pa.int64()), pa.array(first, b.schema.field(0).type),
+                 pa.array(keep, pa.bool_()), pa.array(cut, pa.int64()), pa.array(cut_end, pa.int64())],
+                names=out.names)
+
+    return hit.select("_id", "_w").mapInArrow(merge, out)
+
+
+def owned_stretches(windows: list[tuple], own, size: int) -> list[tuple]:
+    """(start, end, words, owner, keep, drop start, drop end) of the passages of
+    one document, from its repeated windows (first word, start, end, owner) in
+    order."""
+    runs: list[list] = []
+    for word, start, end, owner in windows:
+        if runs and runs[-1][4] == owner and word < runs[-1][3]:
+            runs[-1][1], runs[-1][3] = max(runs[-1][1], end), max(runs[-1][3], word + size)
+        else:
+            runs.append([start, end, word, word + size, owner])
+    out: list[list] = []
+    kept_to = 0
+    for start, end, word, stop, owner in runs:
+        keep = owner == own
+        out.append([start, end, stop - word, owner, keep, None if keep else max(start, kept_to), None])
+        kept_to = max(kept_to, end) if keep else kept_to
+    kept_from = None
+    for r in reversed(out):
+        if r[4]:
+            kept_from = r[0]
+            continue
+        r[6] = r[1] if kept_from is None else min(r[1], kept_from)
+        if r[6] <= r[5]:
+            r[5] = r[6] = None
+    return [tuple(r) for r in out]

@@ -70,7 +70,7 @@ def brute_passages(rows, size=50):
             docs = seen[tuple(w[i:i + size])]
             if len(docs) < 2:
                 continue
-            if now and i <= now[1]:
+            if now and i < now[1] and now[2] == min(docs):
                 now[1] = i + size
                 continue
             if now:
@@ -111,6 +111,45 @@ def test_quotes_from_the_middle_of_copied_text(spark):
     assert got == brute_passages(rows)
 
 
+def test_neighbours_of_other_owners_stay(spark):
+    """Documents X, X then Y, and Y: the second keeps Y, so Y is not lost."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    df = spark.createDataFrame([(1, x), (2, x + " " + y), (3, y)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.start, r.n_words, r.first_id, r.keep)
+                 for r in substring_dedup.repeated_passages(df).collect())
+    assert got == [(1, 0, 60, 1, True), (2, 0, 60, 1, False), (2, len(x) + 1, 60, 2, True), (3, 0, 60, 2, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_dropping_leaves_every_repeated_window_whole_in_its_owner(spark, seed):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(40):                     # overlapping quotes of one text, in any order
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            a = rng.randrange(0, 320)
+            parts += base[a:a + rng.randrange(51, 80)] + [f"u{i}"] * rng.randrange(0, 2)
+        rows.append((i, " ".join(parts)))
+    found = substring_dedup.repeated_passages(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    text = dict(rows)
+    left = {}
+    for d, t in rows:
+        cut = [(r.drop_start, r.drop_end) for r in found if r.doc_id == d and r.drop_start is not None]
+        left[d] = " ".join(words("".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in cut))))
+    reported = {tuple(w) for r in found for w in
+                [words(text[r.doc_id][r.start:r.end])[k:k + 50] for k in range(r.n_words - 49)]}
+    for window, docs in repeated_docs(rows).items():
+        if len(docs) < 2 or window not in reported:
+            continue
+        keeping = {r.doc_id for r in found if r.keep and f" {' '.join(window)} " in
+                   f" {' '.join(words(text[r.doc_id][r.start:r.end]))} "}
+        assert keeping == {min(docs)}
+        assert f" {' '.join(window)} " in f" {left[min(docs)]} "
+    assert sum(map(len, left.values())) < sum(map(len, text.values())) / 2
+
+
 def test_batches_of_several_slices(spark):
     """Texts that fill many slices of one Arrow batch keep their own hashes."""
     rng = random.Random(8)
