@@ -5,7 +5,9 @@ two block-level tags, character references decoded, white space folded. A
 block knows its words, its link density (share of its words inside links),
 those of the blocks before and after it, and what it stands in: a main or
 article element, an element that is by tag, role, class or id a menu, header,
-footer, sidebar, notice, advert, form or comment section. A decision tree
+footer, sidebar, notice, advert, form or comment section. Names count as whole
+class, id or role tokens; an element that holds most of the page's words and
+its first heading is no boilerplate by its name. A decision tree
 (Gini splits) learned from a small labelled table of such blocks says which
 blocks are main text; they are joined in page order. The table, ``LABELLED``,
 is part of this module and the tree is learned from it once a task.
@@ -13,13 +15,16 @@ is part of this module and the tree is learned from it once a task.
 Scripts, styles, templates, titles, comments of the markup and hidden elements
 give no blocks. Broken markup is read on: an end tag closes what it can, a tag
 without its end bracket is text. Null and empty pages give the empty text.
-Work and memory are linear in a page; pages never meet each other.
+Work and memory are linear in a page; pages never meet each other. Repeated rows
+are extracted each, an empty table gives an empty table, other columns pass
+through (a column named as a result gives way to it).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,10 +37,10 @@ from pyspark.sql import types as T
 from rollcall.llm.common import bounded_batches, schema_with
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+    r"<!--.*?-->|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
-                        re.I)
+#: a name and its value: names and values of other attributes are passed over whole
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 #: elements whose content is no text of the page
@@ -59,6 +64,13 @@ _HARD = set("""nav navbar navigation menu menus sidebar aside rail ad ads advert
     recommendations breadcrumb breadcrumbs pagination pager comment comments commentlist respond
     reply replies disqus discussion form search searchbox widget widgets toolbar footer copyright
     legal disclaimer masthead topbar skip contentinfo complementary dialog""".split())
+#: parts of a class or id that say nothing of what the element is; a name made of
+#: one of the words above and such parts names boilerplate ("site-footer"), one with
+#: any other part does not ("has-sidebar", "menu-open", "related-work")
+_NEUTRAL = set("""area bar block body bottom box btn button buttons center col column container content
+    el element fixed global group head heading icon icons id inner inline item items js label left link
+    links list main module outer page panel post posts primary region right row secondary section site
+    slot sticky sub text title top ui unit wrap wrapper""".split())
 _SOFT = {"header", "byline", "meta", "dateline", "author"}
 _KEEP_OPEN = {"html", "body", "main", "article"}
 
@@ -167,6 +179,9 @@ LABELLED = """
 9 0.1 4 1 3 1 0 0 0 0 0 1 0 0
 200 0 0 0 0 0 0 0 0 0 0 0 0 1
 12 0 0 0 0 0 0 0 0 0 0 0 0 1
+32 0 32 0 0 0 0 0 0 0 0 1 0 1
+20 0 40 0 0 0 0 0 0 0 0 1 0 1
+60 0 2 0 0 0 0 0 0 0 0 0 0 1
 3 0 0 0 0 0 0 0 0 0 0 1 0 1
 150 0.02 10 1 10 1 0 0 0 0 0 1 0 1
 65 0 4 1 4 1 0 0 0 0 0 0 0 1
@@ -183,9 +198,10 @@ class Block:
     words: int
     link_words: int
     tag: str
-    hard: bool
+    mark: int
     soft: bool
     in_main: bool
+    hard: bool = False
 
     @property
     def density(self) -> float:
@@ -195,23 +211,84 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    hard: bool = False
+    mark: int = -1
     soft: bool = False
     main: bool = False
 
 
+@dataclass
+class _Mark:
+    """An element marked as boilerplate: ``sure`` by its tag or because it is
+    hidden, not by a name; what it holds."""
+
+    outer: int
+    sure: bool
+    words: int = 0
+    leads: bool = False
+
+
+def _names(value: str) -> set[str]:
+    """The words that the class, id or role tokens of an attribute name."""
+    out = set()
+    for token in value.split():
+        parts = {p.lower() for p in _PART.findall(token)}
+        named = parts - _NEUTRAL - {p for p in parts if p.isdigit()}
+        out.add(token.lower())
+        if named <= _HARD | _SOFT:
+            out |= named
+    return out
+
+
 @dataclass
 class _Reader:
     """Blocks of one page, in page order."""
 
     blocks: list[Block] = field(default_factory=list)
     open: list[_Open] = field(default_factory=lambda: [_Open("")])
+    marks: list[_Mark] = field(default_factory=list)
     runs: list[tuple[str, bool]] = field(default_factory=list)
-    link: bool = False
+    #: how many elements of a tag are open
+    count: Counter = field(default_factory=Counter)
+    #: open elements around the link, if one is open
+    link: int | None = None
 
     def text(self, s: str) -> None:
         if s:
-            self.runs.append((s, self.link))
+            self.runs.append((s, self.link is not None))
+
+    def anchor(self, ends: bool) -> None:
+        self.link = None if ends else len(self.open)
+
+    def mark(self, sure: bool) -> int:
+        self.marks.append(_Mark(self.open[-1].mark, sure))
+        return len(self.marks) - 1
+
+    def push(self, o: _Open) -> None:
+        self.open.append(o)
+        self.count[o.tag] += 1
+
+    def done(self) -> list[Block]:
+        """The blocks, with the marks that hold: one given by a name does not if
+        its element holds most of the page's words and its first heading."""
+        self.flush()
+        total = sum(b.words for b in self.blocks)
+        lead = next((b for t in ("h1", "h2") for b in self.blocks if b.tag == t), None)
+        for b in self.blocks:
+            if b.mark >= 0:
+                m = self.marks[b.mark]
+                m.words += b.words
+                m.leads |= b is lead
+        for m in reversed(self.marks):
+            if m.outer >= 0:
+                self.marks[m.outer].words += m.words
+                self.marks[m.outer].leads |= m.leads
+        hard = []
+        for m in self.marks:
+            wraps = 2 * m.words > total and (m.leads if lead is not None else 10 * m.words >= 9 * total)
+            hard.append(m.sure or not wraps or (m.outer >= 0 and hard[m.outer]))
+        for b in self.blocks:
+            b.hard = b.mark >= 0 and hard[b.mark]
+        return self.blocks
 
     def flush(self) -> None:
         if not self.runs:
@@ -223,11 +300,10 @@ class _Reader:
             top = self.open[-1]
             words = text.count(" ") + 1
             linked = min(words, sum(len(s.split()) for s, link in decoded if link))
-            self.blocks.append(Block(text, words, linked, top.tag, top.hard, top.soft, top.main))
+            self.blocks.append(Block(text, words, linked, top.tag, top.mark, top.soft, top.main))
 
     def start(self, tag: str, attributes: str) -> None:
         self.flush()
-        self.link = False
         if tag == "p":
             self.close("p", {"article", "main", "section", "div", "body", "li", "td", "aside"})
         elif tag == "li":
@@ -235,38 +311,40 @@ class _Reader:
         if tag == "hr":
             return
         up = self.open[-1]
-        hard, soft = tag in _BOILERPLATE, False
-        named = set()
+        sure, named = tag in _BOILERPLATE and tag != "form", set()
         for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
             value, name = a or b or c, name.lower()
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (
                     name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                hard = True
+                sure = True
             elif name in ("class", "id", "role"):
-                named.update(x.lower() for x in _PART.findall(value))
-                named.update(re.split(r"[\s_-]+", value.lower()))
+                named |= _names(value)
         if tag in _KEEP_OPEN:
             comment = bool(named & {"comment", "comments", "reply", "ad", "advert", "promo"})
             # an article is not inside what was left open before it
-            inside = up.hard and (up.main or comment)
-            self.open.append(_Open(tag, hard or comment or inside, False,
-                                   up.main or tag in ("main", "article")))
+            inside = up.mark >= 0 and (up.main or comment)
+            mark = self.mark(True) if sure or comment else up.mark if inside else -1
+            self.push(_Open(tag, mark, False, up.main or tag in ("main", "article")))
             return
-        hard = hard or bool(named & _HARD)
+        marked = sure or tag == "form" or bool(named & _HARD)
         soft = tag == "header" or bool(named & _SOFT)
-        if tag == "header" and not up.main:
-            hard = hard or any(o.tag in ("nav", "form") for o in self.open)
-        self.open.append(_Open(tag, up.hard or hard, up.soft or soft, up.main))
+        if tag == "header" and not up.main and self.count["nav"] + self.count["form"]:
+            marked = True
+        self.push(_Open(tag, self.mark(sure) if marked else up.mark, up.soft or soft, up.main))
 
     def end(self, tag: str) -> None:
         self.flush()
-        self.link = False
         self.close(tag, set())
 
     def close(self, tag: str, stop: set[str]) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
+                self.count.subtract(o.tag for o in self.open[i:])
                 del self.open[i:]
+                if self.link is not None and len(self.open) < self.link:
+                    self.link = None          # the element around it has ended
                 return
             if self.open[i].tag in stop:
                 return
@@ -276,8 +354,13 @@ def page_blocks(page: str | None) -> list[Block]:
     """The flat text blocks of a page."""
     page = page or ""
     reader, at = _Reader(), 0
-    folded = None
-    for m in iter(lambda: _MARKUP.search(page, at), None):
+    folded, unclosed = None, set()
+    comment = len(page)
+    if "<!--" in page:                    # one that nothing closes runs to the end
+        comment = page.find("<!--", max(page.rfind("-->"), 0))
+        comment = len(page) if comment < 0 else comment
+    last = page.rfind(">", 0, comment) + 1
+    for m in iter(lambda: _MARKUP.search(page, at, last), None):
         reader.text(page[at:m.start()])
         at = m.end()
         tag = m.group(2)
@@ -285,7 +368,7 @@ def page_blocks(page: str | None) -> list[Block]:
             continue
         tag, ends = tag.lower(), bool(m.group(1))
         if tag in _RAW:
-            if not ends and not m.group(3).endswith("/"):
+            if not ends and not m.group(3).endswith("/") and tag not in unclosed:
                 if folded is None:
                     folded = _ascii_lower(page)
                 stop = folded.find(f"</{tag}", at)
@@ -294,8 +377,10 @@ def page_blocks(page: str | None) -> list[Block]:
                     at = close + 1 if close >= 0 else len(page)
                 elif tag in ("script", "style", "template", "xmp"):
                     at = len(page)
+                else:
+                    unclosed.add(tag)
         elif tag == "a":
-            reader.link = not ends
+            reader.anchor(ends)
         elif tag == "br":
             reader.text(" ")
         elif tag in _BLOCK:
@@ -303,9 +388,8 @@ def page_blocks(page: str | None) -> list[Block]:
                 reader.end(tag)
             else:
                 reader.start(tag, m.group(3))
-    reader.text(page[at:])
-    reader.flush()
-    return reader.blocks
+    reader.text(page[at:comment])
+    return reader.done()
 
 
 def _ascii_lower(s: str) -> str:
