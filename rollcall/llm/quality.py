@@ -3,7 +3,8 @@
 Every rule looks at counts of a text and votes good, bad, or abstains. How far
 each rule can be trusted is estimated by expectation-maximisation over the
 votes of all documents: per rule and class, how often it votes good, bad, or
-abstains (from a stated prior on), and the share of good documents. A document's verdict is its
+abstains (with a prior worth a fixed, small number of documents), and the share
+of good documents. A document's verdict is its
 posterior probability of being good under those estimates.
 
 The documents meet the fit only as a histogram of vote patterns (one group
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, schema_with
+from rollcall.llm.common import bounded_batches, fresh, schema_with, written
 from rollcall.llm.words import Words, code_points, mix, string_slices
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -111,11 +112,12 @@ def _repeated(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``COUNTS`` (replacing columns of the same
-    name)."""
+def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs``, without its text if that is not wanted, with the columns of
+    ``COUNTS`` (replacing columns of the same name)."""
     bounded_batches(docs.sparkSession)
-    schema = schema_with(docs, *[T.StructField(c, T.LongType()) for c in COUNTS])
+    schema = schema_with(docs if keep_text else docs.drop(text_col),
+                         *[T.StructField(c, T.LongType()) for c in COUNTS])
     kept = [f.name for f in schema.fields if f.name not in COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 b.columns[:len(kept)] + [pa.array(counts[c]) for c in COUNTS], names=kept + COUNTS)
 
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 # -- rules ----------------------------------------------------------------------
@@ -156,12 +158,11 @@ def votes() -> dict[str, Column]:
     }
 
 
-#: prior of a rule's votes (abstain, good, bad) in bad and in good documents,
-#: and its weight against the documents of the class: a rule seldom votes bad
-#: on a good document, which names the classes and keeps the fit from settling
-#: on some other split of the corpus, such as short against long
+#: prior of a rule's votes (abstain, good, bad) in bad and in good documents, worth
+#: PRIOR_DOCUMENTS documents of each class at any size of the corpus: a rule seldom
+#: votes bad on a good document, which names the classes; the data outweigh it soon
 PRIOR = np.array([[0.2, 0.4, 0.4], [0.2, 0.79, 0.01]])
-PRIOR_WEIGHT = 3.0
+PRIOR_DOCUMENTS = 20.0
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
@@ -179,7 +180,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS
         weight = np.stack([(1 - post) * counts, post * counts])   # class, pattern
         share = (weight[1].sum() + 1) / (counts.sum() + 2)
         probs = np.einsum("cp,prv->crv", weight, onehot)
-        probs += PRIOR[:, None, :] * (PRIOR_WEIGHT * weight.sum(1)[:, None, None] + 1)
+        probs += PRIOR[:, None, :] * PRIOR_DOCUMENTS
         probs /= probs.sum(2, keepdims=True)
         new = posterior(patterns, share, probs)
         if np.abs(new - post).max() < 1e-9:
@@ -196,15 +197,15 @@ def posterior(patterns: np.ndarray, share: float, probs: np.ndarray) -> np.ndarr
 
 
 def score_quality(docs: DataFrame, text_col: str = "text",
-                  rules: dict[str, Column] | None = None) -> DataFrame:
-    """``docs`` with the counts, ``p_good`` (posterior quality probability),
+                  rules: dict[str, Column] | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without its text if that is not wanted) with the counts, ``p_good`` (posterior quality probability),
     ``base_failed`` (under 50 words, or more than half of the words in
     repeated 3-word windows) and ``kept`` (not base_failed, and p_good of at
     least MIN_POSTERIOR). An empty table gives an empty table."""
     rules = rules or votes()
-    counted = with_counts(docs, text_col)
-    keyed = with_counts(docs.select(text_col), text_col).select(
-        *[v.alias(f"v{i}") for i, v in enumerate(rules.values())])
+    # one pass over the texts: the fit and the verdicts read what it wrote
+    counted = written(with_counts(docs, text_col, keep_text), "quality-counts")
+    keyed = counted.select(*[v.alias(f"v{i}") for i, v in enumerate(rules.values())])
     names = keyed.columns
     hist = keyed.groupBy(*names).count().collect()   # at most 3^rules rows
     patterns = np.array([[r[c] for c in names] for r in hist], dtype=np.int64).reshape(-1, len(names))

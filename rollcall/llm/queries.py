@@ -87,7 +87,7 @@ def op8_substring_dedup(spark, d):
 
 
 def op9_quality(spark, d):
-    return quality.score_quality(_documents(spark, d)).select(
+    return quality.score_quality(_documents(spark, d), keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "p_good")
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from rollcall.llm import quality
 
@@ -56,6 +57,80 @@ def test_em_finds_the_bad_class():
     assert abs(share - 0.8) < 0.1
 
 
+def planted(n, seed):
+    """Votes of rules with known accuracies, as a histogram; and the probabilities
+    (vote bad in a good document, vote bad in a bad one)."""
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < 0.75
+    known = [(0.40, 0.45), (0.02, 0.90), (0.05, 0.70), (0.10, 0.60)]     # the first knows nothing
+    bad = np.stack([np.where(good, rng.random(n) < a, rng.random(n) < b) for a, b in known], 1)
+    sure = rng.random(bad.shape) < 0.5                                  # else it abstains
+    votes = np.where(bad, 2, np.where(sure, 1, 0))
+    pat, inv, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    return good, pat, inv.ravel(), count, known
+
+
+def test_planted_accuracies_are_estimated_at_any_size():
+    for n in (10_000, 1_000_000):
+        good, pat, inv, count, known = planted(n, n)
+        share, probs = quality.fit_votes(pat, count.astype(float), rounds=2000)
+        assert abs(share - 0.75) < 0.05
+        for rule, (in_good, in_bad) in enumerate(known):
+            assert abs(probs[1, rule, 2] - in_good) < 0.05
+            assert abs(probs[0, rule, 2] - in_bad) < 0.05
+        kept = (quality.posterior(pat, share, probs) >= 0.5)[inv]
+        must_pass = ~(pat == 2).any(1)[inv]
+        assert (kept == good).mean() > 0.9 > (must_pass == good).mean() + 0.2
+
+
+def plain_em(votes, rounds):
+    """The model by documents instead of patterns, with plain sums."""
+    post = [0.1 if 2 in v else 0.95 for v in votes]
+    prior = [[0.2, 0.4, 0.4], [0.2, 0.79, 0.01]]
+    for _ in range(rounds):
+        weight = [[1 - p for p in post], post]
+        share = (sum(post) + 1) / (len(votes) + 2)
+        probs = []
+        for c in (0, 1):
+            rules = []
+            for r in range(len(votes[0])):
+                n = [20 * prior[c][x] + sum(w for w, v in zip(weight[c], votes) if v[r] == x) for x in range(3)]
+                rules.append([x / sum(n) for x in n])
+            probs.append(rules)
+        post = []
+        for v in votes:
+            like = [1 - share, share]
+            for c in (0, 1):
+                for r, x in enumerate(v):
+                    like[c] *= probs[c][r][x]
+            post.append(like[1] / sum(like))
+    return post
+
+
+def test_kept_matches_plain_em(spark):
+    """Over whole documents: the verdict is the posterior's, not all-must-pass."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(240):
+        words = [rng.choice(vocab) for _ in range(rng.randrange(55, 160))]
+        if i % 6 == 0:
+            words = [w + " %%%" for w in words]
+        ends = rng.choice([".", ".", ".", ""])
+        rows.append((i, (ends + "\n").join(" ".join(words[k:k + 9]) for k in range(0, len(words), 9)) + ends))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in quality.score_quality(docs, keep_text=False).collect()}
+    rules = quality.votes()
+    voted = quality.with_counts(docs).select("doc_id", *[v.alias(n) for n, v in rules.items()]).collect()
+    votes = [[r[n] for n in rules] for r in voted]
+    for r, p in zip(voted, plain_em(votes, quality.EM_ROUNDS)):
+        assert abs(got[r.doc_id].p_good - p) < 1e-6
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and p >= 0.5)
+    differs = [r.doc_id for r, v in zip(voted, votes) if got[r.doc_id].kept and 2 in v]
+    assert len(differs) > 20                   # kept in spite of a bad vote
+    assert not any(got[i].kept for i in range(0, 240, 6))
+
+
 def test_scores_labels_and_edges(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
@@ -73,3 +148,7 @@ def test_scores_labels_and_edges(spark):
     got = quality.score_quality(odd).collect()
     assert len(got) == 3 and not any(r.kept for r in got)
     assert quality.score_quality(odd.limit(0)).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("n_words", "p_good", "base_failed", "v0", "_text")})
+    assert len(quality.score_quality(clash).collect()) == 3
+    long = spark.createDataFrame([(1, "some words here. " * 300_000)], "doc_id long, text string")
+    assert quality.score_quality(long).first().n_words == 900_000
