@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, schema_with
+from rollcall.llm.common import bounded_batches, fresh, schema_with
 from rollcall.llm.words import code_points
 
 WINDOW = 13
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                    pa.array((hit > 0) & (share * hit >= n_words))],
                 names=order + [f.name for f in fields])
 
-    return docs.select(*order, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*order, F.col(text_col).alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 def _covered(words: list[bytes], hits: list[tuple]) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, schema_with
+from rollcall.llm.common import bounded_batches, fresh, schema_with
 
 _MARKUP = re.compile(
     r"<!--.*?-->|<[!?][^>]*>"
@@ -470,4 +470,4 @@ def extract_text(pages: DataFrame, html_col: str = "html", out_col: str = "text"
                 + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=order + [out_col, "n_chars"])
 
-    return pages.select(*order, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*order, F.col(html_col).alias(fresh(pages, "_html"))).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, schema_with
+from rollcall.llm.common import bounded_batches, fresh, schema_with
 from rollcall.llm.words import Words, code_points, string_slices
 
 UNKNOWN = "und"
@@ -281,7 +281,7 @@ def identify(docs: DataFrame, model: Crf | None, text_col: str = "text", *,
                     [("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(cols, names=order + [x.name for x in fields])
 
-    return docs.select(*order, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*order, F.col(text_col).alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 def _spans(f: Features, post: np.ndarray, langs: list[str], n: int) -> list[list[dict]]:

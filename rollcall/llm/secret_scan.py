@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, schema_with, written
+from rollcall.llm.common import bounded_batches, fresh, schema_with, written
 from rollcall.llm.words import Words, string_slices
 
 # The base patterns and the least length of what they match.
@@ -326,7 +326,7 @@ def find_secrets(docs: DataFrame, formats: Formats | None, text_col: str = "text
                 b.columns[:len(order)] + [pa.array(out, kind_type)],
                 names=order + ["spans"])
 
-    return docs.select(*order, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*order, F.col(text_col).alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
 def _learned(learned: Formats, text: str, data: np.ndarray, offsets: np.ndarray, w: Words,

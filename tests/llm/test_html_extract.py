@@ -2,6 +2,7 @@ import html
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import html_extract as H
 
@@ -108,7 +109,7 @@ def test_the_tree_fits_its_table():
 
 def test_query_frame(spark):
     rows = [(1, "u", PAGE, "x"), (2, "v", None, "y"), (2, "v", "", "y")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("_html", F.lit(1))
     got = sorted(H.extract_text(df).collect(), key=lambda r: -r.n_chars)
     assert [(r.page_id, r.n_chars, len(r.text)) for r in got] == [
         (1, got[0].n_chars, got[0].n_chars), (2, 0, 0), (2, 0, 0)]
