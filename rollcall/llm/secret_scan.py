@@ -6,20 +6,25 @@ credentials: per kind, strings over character classes go into a prefix tree,
 and states whose outgoing frequencies do not differ more than chance allows
 (Hoeffding bound) are merged, deterministically and from the root on. What
 remains is a probabilistic automaton of the format. One more is learned from
-long ordinary tokens. Every token of ``MIN_TOKEN`` characters or more with a
-digit, outside the base spans, is then scored by its log-likelihood per
-character under each format against that of ordinary tokens; a token that
-scores above 99 of 100 ordinary ones and no worse than nearly all credentials
-is reported as kind ``format``. Tokens that score like a labelled format are
+ordinary tokens. Every token of ``MIN_TOKEN`` characters or more outside the
+base spans is then scored by its log-likelihood per character under each format
+against that of ordinary tokens, and reported as kind ``format`` if it passes
+the bar of its length band: of 16 characters or more, above 99 of 100 ordinary
+tokens and no worse than nearly all credentials; shorter ones, which
+say less, above all ordinary tokens of their band and by a likelihood ratio of
+at least e to the ``SHORT_RATIO``. Tokens that score like a labelled format are
 not counted as ordinary, so bare credentials in the sample do not hide others.
 
 The automata are fitted on a bounded sample: at most ``TRAIN_EACH`` distinct
-strings a kind, chosen by hash from all matches of all documents. The scan is
-a pass over all whole texts; a task holds one slice. Texts without a long
-token or a key word are passed over by array operations.
+strings a kind, and as many ordinary tokens a length band, chosen by hash from
+all matches of all documents. The scan is a pass over all whole texts; a task
+holds one slice. The automata see characters as classes, so a task scores each
+string of classes once and knows its other tokens by array operations.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans. In
 a table without matches nothing is learned and only the base patterns apply.
+Repeated rows are scanned each, an empty table gives an empty table, other columns
+pass through (one named ``spans`` gives way to the result).
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.llm.common import bounded_batches, fresh, schema_with, written
-from rollcall.llm.words import Words, string_slices
+from rollcall.llm.words import Words, code_points, string_slices
 
 # The base patterns and the least length of what they match.
 BASE = {
@@ -47,7 +52,12 @@ BASE = {
 }
 KINDS = [*BASE, "format"]
 
-MIN_TOKEN = 16
+MIN_TOKEN = 6
+#: least lengths of the bands that have a bar each; the last is that of long tokens
+BANDS = (6, 8, 12, 16)
+LONG = 16
+#: natural logarithm of the likelihood ratio a shorter token must reach
+SHORT_RATIO = 14.0
 #: distinct strings a kind is learned from, at most
 TRAIN_EACH = 300
 #: confidence of the merge test
@@ -56,13 +66,18 @@ _WORDS = (b"passw", b"secret", b"token", b"api")
 
 _TOKEN = np.ones(256, dtype=bool)           # separators of tokens
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = False
-_DIGIT = np.zeros(256, dtype=np.int64)
-_DIGIT[0x30:0x3A] = 1
+_TAIL = np.zeros(256, dtype=bool)            # what a sentence or a key leaves at the end
+_TAIL[list(b".=")] = True
 _CLASS = str.maketrans({**{c: "d" for c in "0123456789"}, **{c: "x" for c in "abcdef"},
                         **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEF"},
                         **{c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"}, **{c: "/" for c in "+/"},
                         **{c: "-" for c in "_-."}})
 SYMBOLS = 8
+_CLASS_BYTE = np.array([ord(chr(c).translate(_CLASS)) if c < 128 else 1 for c in range(256)], dtype=np.uint8)
+
+
+def band(length: int) -> int:
+    return sum(length >= b for b in BANDS) - 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -170,20 +185,26 @@ class Automaton:
 
 
 class Formats:
-    """The automata and the two bounds a token must pass."""
+    """The automata and the bar a token of each length band must pass."""
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         held = [v for v in labelled.values() if v]
         self.kinds = [Automaton(v) for v in held]
         ordinary = self._without_formats(held, ordinary)
         self.usual = Automaton(ordinary)
-        gains = sorted(self.gain(s) for s in ordinary)
-        # above 99 of 100 ordinary tokens, so no single one sets the bound
-        self.least = max([0.5, *(g + 0.1 for g in gains[(len(gains) - 1) * 99 // 100:][:1])])
-        own = [sorted(self.gain(s) for s in v if len(s) >= MIN_TOKEN) for v in held]
-        own = [g[len(g) // 50] for g in own if g]
-        if own:        # and nearer to what 98 of 100 credentials of a kind reach
-            self.least = max(self.least, (self.least + min(own)) / 2)
+        self.bars = []
+        for b, low in enumerate(BANDS):
+            gains = sorted(self.gain(s) for s in ordinary if band(len(s)) == b)
+            if low < LONG:
+                self.bars.append(max([0.5, *(g + 0.1 for g in gains[-1:])]))
+                continue
+            # above 99 of 100 ordinary tokens, so no single one sets the bar
+            gains = sorted(self.gain(s) for s in ordinary if len(s) >= LONG - 4)
+            bar = max([0.5, *(g + 0.1 for g in gains[(len(gains) - 1) * 99 // 100:][:1])])
+            own = [sorted(self.gain(s) for s in v if len(s) >= LONG) for v in held]
+            own = [g[len(g) // 50] for g in own if g]
+            # and nearer to what 98 of 100 credentials of a kind reach
+            self.bars.append(max(bar, (bar + min(own)) / 2) if own else bar)
 
     def _without_formats(self, held: list[list[str]], ordinary: list[str]) -> list[str]:
         """``ordinary`` without the tokens that are of a labelled format: their
@@ -212,19 +233,31 @@ class Formats:
         return max(a.score(s) for a in self.kinds) - self.usual.score(s)
 
     def accepts(self, s: str) -> bool:
-        return self.gain(s) > self.least
+        if len(s) < MIN_TOKEN:
+            return False
+        gain = self.gain(s)
+        return gain > self.bars[band(len(s))] and (len(s) >= LONG or gain * (len(s) + 1) >= SHORT_RATIO)
 
 
 # -- Spark ------------------------------------------------------------------------
 
-def _rows_to_scan(data: np.ndarray, offsets: np.ndarray) -> tuple[set[int], Words, np.ndarray]:
-    """Rows with a key word or a long token with a digit, and those tokens."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The tokens of a slice, without full stops and equal signs at the end."""
     w = Words(data, offsets, separators=_TOKEN)
-    digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    long = np.flatnonzero((w.end - w.start >= MIN_TOKEN))
-    tokens = long[digits[w.end[long]] > digits[w.start[long]]]
-    rows = set(w.row[tokens].tolist())
-    rows.update(w.row[np.flatnonzero(w.end - w.start >= 20)].tolist())   # access, hex
+    if len(w):
+        here = np.where(w.inside & ~_TAIL[data], np.arange(len(data)), -1)
+        end = np.maximum(np.maximum.accumulate(here)[w.end - 1] + 1, w.start)
+        cut = np.zeros(len(data) + 1, dtype=np.int64)
+        np.add.at(cut, end, 1)
+        np.add.at(cut, w.end, -1)
+        w.inside = w.inside & (np.cumsum(cut)[:-1] == 0)
+        w.full, w.end = w.end, end
+    return w
+
+
+def _rows_with_base(data: np.ndarray, offsets: np.ndarray, w: Words) -> set[int]:
+    """Rows that may have a base span: with a key word or a long token."""
+    rows = set(w.row[np.flatnonzero(w.full - w.start >= 20)].tolist()) if len(w) else set()
     folded = data.tobytes().lower()
     for word in _WORDS:
         at = folded.find(word)
@@ -232,7 +265,36 @@ def _rows_to_scan(data: np.ndarray, offsets: np.ndarray) -> tuple[set[int], Word
             row = int(np.searchsorted(offsets, at, side="right")) - 1
             rows.add(row)
             at = folded.find(word, int(offsets[row + 1]))
-    return rows, w, tokens
+    return rows
+
+
+class _Judge:
+    """Which tokens of a task's slices the formats accept."""
+
+    #: class strings remembered
+    MEMORY = 500_000
+
+    def __init__(self, learned: Formats):
+        self.learned = learned
+        self.known: dict[int, bool] = {}
+
+    def accepted(self, data: np.ndarray, w: Words) -> np.ndarray:
+        """Numbers of the accepted tokens, in order."""
+        at = np.flatnonzero(w.end - w.start >= MIN_TOKEN) if len(w) else np.zeros(0, np.int64)
+        if not len(at):
+            return at
+        plain, w.data = w.data, _CLASS_BYTE[data]
+        hashes = w.hashes()[at]
+        w.data = plain
+        values, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        told = np.zeros(len(values), dtype=bool)
+        for k, (h, i) in enumerate(zip(values.tolist(), at[first].tolist())):
+            if h not in self.known:
+                if len(self.known) >= self.MEMORY:
+                    self.known.clear()
+                self.known[h] = self.learned.accepts(data[w.start[i]:w.end[i]].tobytes().decode("ascii"))
+            told[k] = self.known[h]
+        return at[told[which]]
 
 
 def _hash(s: str) -> int:
@@ -249,41 +311,52 @@ def labelled_strings(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary: dict[str, int] = {}             # the task's least hashes
-        most = 1 << 56
+        ordinary: list[dict[str, int]] = [{} for _ in BANDS]      # the task's least hashes
+        most = np.full(len(BANDS), 1 << 62)
+
+        def least(held: dict[str, int]) -> dict[str, int]:
+            return dict(sorted(held.items(), key=_by_hash)[:TRAIN_EACH])
+
         for b in batches:
             rows: set[tuple[str, str]] = set()
             for row, data, offsets in string_slices(b.column(0)):
-                scan, w, _ = _rows_to_scan(data, offsets)
+                w = _tokens(data, offsets)
                 taken = {}
-                for r in scan:
+                for r in _rows_with_base(data, offsets, w):
                     spans = base_spans(b.column(0)[row + r].as_py() or "")
                     taken[r] = {s for *_, s in spans}
                     rows.update((kind, s) for _, _, kind, s in spans if len(s) <= 128)
-                for i in np.flatnonzero(w.end - w.start >= MIN_TOKEN - 4).tolist():
+                if not len(w):
+                    continue
+                size = w.end - w.start
+                of = np.searchsorted(BANDS, size, side="right") - 1
+                hashes = (w.hashes() >> np.uint64(2)).astype(np.int64)
+                for i in np.flatnonzero((of >= 0) & (size <= 128) & (hashes < most[of])).tolist():
+                    k, h = int(of[i]), int(hashes[i])
+                    if h >= most[k]:
+                        continue
                     s = data[w.start[i]:w.end[i]].tobytes().decode("ascii")
-                    if len(s) <= 128 and (h := _hash(s)) < most and not any(
-                            x in s or s in x for x in taken.get(int(w.row[i]), ())):
-                        ordinary[s] = h
-                        if len(ordinary) >= 2 * TRAIN_EACH:
-                            ordinary = dict(sorted(ordinary.items(), key=_by_hash)[:TRAIN_EACH])
-                            most = max(ordinary.values())
+                    if not any(x in s or s in x for x in taken.get(int(w.row[i]), ())):
+                        ordinary[k][s] = h
+                        if len(ordinary[k]) >= 2 * TRAIN_EACH:
+                            ordinary[k] = least(ordinary[k])
+                            most[k] = max(ordinary[k].values())
             if rows:
-                yield batch(rows)
-        yield batch({("", s) for s, _ in sorted(ordinary.items(), key=_by_hash)[:TRAIN_EACH]})
+                yield batch({(kind, s, _hash(s)) for kind, s in rows})
+        yield batch({(f"band {k}", s, h) for k, held in enumerate(ordinary) for s, h in least(held).items()})
 
-    def batch(rows: set[tuple[str, str]]) -> pa.RecordBatch:
+    def batch(rows: set[tuple[str, str, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in rows], pa.string()), pa.array([s for _, s in rows], pa.string()),
-             pa.array([_hash(s) for _, s in rows], pa.int64())], names=["kind", "s", "h"])
+            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))],
+            names=["kind", "s", "h"])
 
     seen = written(docs.select(text_col).mapInArrow(run, "kind string, s string, h long")
                    .groupBy("kind", "s").agg(F.first("h").alias("h")), "secret-strings")
     out: dict[str, list[str]] = {}
-    for kind in ["", *BASE]:                      # ordered by hash: a fixed, even sample
+    for kind in [*BASE, *(f"band {k}" for k in range(len(BANDS)))]:   # ordered by hash: a fixed, even sample
         rows = seen.where(F.col("kind") == kind).orderBy("h", "s").limit(TRAIN_EACH).collect()
         out[kind] = [r["s"] for r in rows]
-    return {k: v for k, v in out.items() if k}, out[""]
+    return {k: v for k, v in out.items() if k in BASE}, [s for k, v in out.items() if k not in BASE for s in v]
 
 
 def learn_formats(docs: DataFrame, text_col: str = "text") -> Formats | None:
@@ -306,20 +379,21 @@ def find_secrets(docs: DataFrame, formats: Formats | None, text_col: str = "text
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = held.value
+        judge = _Judge(held.value) if held.value is not None else None
         for b in batches:
             texts = b.column(b.num_columns - 1)
             out: list[list[dict]] = [[] for _ in range(b.num_rows)]
             for row, data, offsets in string_slices(texts):
-                scan, w, tokens = _rows_to_scan(data, offsets)
-                tried = {}
-                for i in tokens.tolist():
+                w = _tokens(data, offsets)
+                tried: dict[int, list[int]] = {}
+                for i in judge.accepted(data, w).tolist() if judge is not None else ():
                     tried.setdefault(int(w.row[i]), []).append(i)
-                for r in scan:
+                base = _rows_with_base(data, offsets, w)
+                for r in sorted(base | set(tried)):
                     text = texts[row + r].as_py() or ""
-                    spans = [s[:3] for s in base_spans(text)]
-                    if learned is not None and r in tried:
-                        spans += _learned(learned, text, data, offsets, w, tried[r], r, spans)
+                    spans = [s[:3] for s in base_spans(text)] if r in base else []
+                    if r in tried:
+                        spans += _learned(text, data, offsets, w, tried[r], r, spans)
                     spans.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                     out[row + r] = [{"kind": k, "start": s, "end": e} for s, e, k in spans]
             yield pa.RecordBatch.from_arrays(
@@ -329,19 +403,25 @@ def find_secrets(docs: DataFrame, formats: Formats | None, text_col: str = "text
     return docs.select(*order, F.col(text_col).alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
-def _learned(learned: Formats, text: str, data: np.ndarray, offsets: np.ndarray, w: Words,
-             tokens: list[int], row: int, base: list[tuple]) -> list[tuple[int, int, str]]:
-    """Spans of the tokens that a learned format accepts."""
-    found = []
-    raw = data[offsets[row]:offsets[row + 1]].tobytes()
-    ascii_only = len(raw) == len(text)
+def _learned(text: str, data: np.ndarray, offsets: np.ndarray, w: Words, tokens: list[int], row: int,
+             base: list[tuple]) -> list[tuple[int, int, str]]:
+    """Spans of accepted tokens, in order, that no base span covers."""
+    raw = data[offsets[row]:offsets[row + 1]]
+    point = None if len(raw) == len(text) else np.concatenate(([0], np.cumsum(code_points(raw))))
+    # base spans that overlap, as one list of disjoint ones in order
+    taken: list[list[int]] = []
+    for a, e, _ in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([a, e])
+    found, k = [], 0
     for i in tokens:
         a, e = int(w.start[i] - offsets[row]), int(w.end[i] - offsets[row])
-        token = raw[a:e].decode("ascii").rstrip(".=")
-        start = a if ascii_only else len(raw[:a].decode("utf-8"))
-        end = start + len(token)
-        if len(token) < MIN_TOKEN or any(s < end and start < x for s, x, _ in base):
-            continue
-        if learned.accepts(token):
-            found.append((start, end, "format"))
+        if point is not None:
+            a, e = int(point[a]), int(point[e])
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= e:
+            found.append((a, e, "format"))
     return found

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from rollcall.llm import secret_scan as S
 
 
@@ -112,3 +114,44 @@ def test_added_spans_leave_base_spans(spark):
     assert [text[5000][s.start:s.end] for s in by[5000].spans] == [hidden]
     assert not any(r.spans for r in got if r.doc_id is not None and 1000 <= r.doc_id < 5000)
     assert S.find_secrets(df.limit(0), S.learn_formats(df.limit(0))).count() == 0
+
+
+def test_short_and_letter_only_keys():
+    """Bare keys of 8 to 15 characters, and such without a digit, by band."""
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+    def key(alphabet, n):
+        return "".join(rng.choice(alphabet) for _ in range(n))
+    parts = "the ing tion er ou ness ab com con pre".split()
+
+    def ordinary(n):
+        return ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 6))).capitalize()[:rng.randrange(6, 20)]
+                for _ in range(n)]
+    labelled = {"assign": [key(letters, rng.randrange(8, 25)) for _ in range(200)],
+                "hex": [key("0123456789abcdef", 32) for _ in range(200)]}
+    learned = S.Formats(labelled, ordinary(900))
+    for alphabet, n, least in ((letters, 8, 0.6), (letters, 12, 0.9), (letters, 15, 0.9),
+                               ("0123456789abcdef", 8, 0.6), ("0123456789abcdef", 15, 0.9)):
+        found = sum(learned.accepts(key(alphabet, n)) for _ in range(300)) / 300
+        assert found >= least, (n, found)
+    assert sum(learned.accepts(s) for s in ordinary(3000)) <= 15
+
+
+def test_short_keys_in_texts(spark):
+    rng = random.Random(22)
+    rows = [(i, f"some words token = {h} here") for i, h in enumerate(credentials(6, 150)["hex"])]
+    rows += [(1000 + i, " ".join(words(i, 8)) + ".") for i in range(100)]
+    bare = "4f9a1c7e03b2"
+    rows += [(5000, f"é see {bare}. And token: 4f9a1c7e03b29 too, {bare}={bare}"),
+             (5001, "x " * 100_000 + bare + "=" * 1000 + "."), (5002, "=" * 50_000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows + rows[:3], "doc_id long, text string").withColumn("_text", F.lit(1))
+    got = S.find_secrets(df, S.learn_formats(df)).collect()
+    assert len(got) == len(rows) + 3 and got[0].asDict().keys() == {"doc_id", "text", "_text", "spans"}
+    text = dict(rows)
+    by = {r.doc_id: r for r in got}
+    assert [(text[5000][s.start:s.end], s.kind) for s in by[5000].spans] == [
+        (bare, "format"), ("token: 4f9a1c7e03b29", "assign")]
+    assert [(text[5001][s.start:s.end], s.kind) for s in by[5001].spans] == [(bare, "format")]
+    assert not by[5002].spans and not any(by[1000 + i].spans for i in range(100))
