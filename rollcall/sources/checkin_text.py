@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.sources.landed import read_records
+from rollcall.sources.record_stream import record_stream
 
 # The shape of the two lines a listener run prints.
 CONNECT_LINE = r"(?m)^(connect to .*?)\r?$"
@@ -45,8 +46,13 @@ def read_checkin_texts(spark: SparkSession, path: str, separator: str | None = N
 
 
 def checkin_text_stream(spark: SparkSession, path: str,
-                        max_files_per_trigger: int | None = None) -> DataFrame:
-    """Landed listener files -> check-in rows, as they land (stream)."""
+                        max_files_per_trigger: int | None = None, separator: str | None = None,
+                        max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Landed listener files -> check-in rows, as they land (stream): one run
+    per file, or with ``separator`` many (``sources.record_stream``)."""
+    if separator is not None:
+        records = record_stream(spark, path, separator, max_bytes_per_trigger=max_bytes_per_trigger)
+        return records.select("seq", "ts", *_lines())
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.sources.landed import read_records
+from rollcall.sources.record_stream import record_stream
 
 
 def _shape(raw: DataFrame) -> DataFrame:
@@ -33,9 +34,13 @@ def read_probe_texts(spark: SparkSession, path: str, separator: str | None = Non
 
 
 def probe_text_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
-                      ) -> DataFrame:
-    """Landed ping outputs -> probe rows, as they land (stream). A stream
+                      separator: str | None = None, max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Landed ping outputs -> probe rows, as they land (stream): one ping per
+    file, or with ``separator`` many (``sources.record_stream``). A stream
     needs its schema up front: ``value`` and the ``node`` folder column."""
+    if separator is not None:
+        records = record_stream(spark, path, separator, ["node"], max_bytes_per_trigger)
+        return records.select("seq", "ts", F.col("node").cast("long").alias("node"), F.col("value").alias("output"))
     reader = spark.readStream.schema("value string, node long")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
