@@ -46,7 +46,7 @@ _SUMMARY = "_rc_summary"
 _CARRY = "_rc_carry"
 _FIRST = "_rc_first"
 
-_KINDS = ("running_sum", "previous", "min_following")
+_KINDS = ("running_sum", "previous", "last", "min_following")
 
 
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
@@ -87,6 +87,9 @@ def _window_value(kind: str, value: str, w) -> Column:
         return F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if kind == "previous":
         return F.lag(value, 1).over(w)
+    if kind == "last":
+        return F.last(value, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return F.min(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
@@ -101,6 +104,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     kind:
       * ``running_sum``   sum of value over this and all earlier rows
       * ``previous``      value of the row just before (null for the first)
+      * ``last``          latest value that is not null, of this row or an earlier one
       * ``min_following`` least value over all later rows (null if none)
 
     split: True forces the chunked path, False the plain window, None decides
@@ -134,6 +138,8 @@ def _chunked_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
         summary = F.sum(value)
     elif kind == "previous":
         summary = F.max_by(F.col(value), F.struct(*order))
+    elif kind == "last":
+        summary = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order)))
     else:
         summary = F.min(value)
     summaries = tagged.groupBy(_CHUNK, *keys).agg(summary.alias(_SUMMARY))
@@ -143,6 +149,8 @@ def _chunked_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
         carry = F.sum(_SUMMARY).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
     elif kind == "previous":
         carry = F.lag(_SUMMARY, 1).over(w_chunks)
+    elif kind == "last":
+        carry = F.last(_SUMMARY, ignorenulls=True).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
     else:  # chunks in reverse order: the min over the chunks after this one
         carry = F.min(_SUMMARY).over(w_chunks.rowsBetween(Window.unboundedPreceding, -1))
     carries = summaries.select(_CHUNK, *keys, carry.alias(_CARRY))
@@ -153,6 +161,8 @@ def _chunked_scan(df: DataFrame, keys: list[str], order: list[str], value: str,
         result = F.coalesce(F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0)), F.col(_CARRY))
     elif kind == "previous":
         result = F.when(F.col(_FIRST), F.col(_CARRY)).otherwise(F.col(_LOCAL))
+    elif kind == "last":
+        result = F.coalesce(_LOCAL, _CARRY)
     else:
         result = F.least(F.col(_LOCAL), F.col(_CARRY))
     dropped = [_CHUNK, _LOCAL, _CARRY] + ([_FIRST] if kind == "previous" else [])

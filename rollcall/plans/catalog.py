@@ -130,6 +130,17 @@ def report_coverage_wide(spark, d):
     return coverage.report_coverage(views.fleet_wide(spark, d), _pc(spark, d))
 
 
+def report_coverage_runs(spark, d):
+    """Several waits over one log: each run of a cluster starts empty."""
+    return coverage.coverage_by_run(views.fleet(spark, d), _pc(spark, d), views.runs(spark, d))
+
+
+def report_coverage_runs_split(spark, d):
+    """The same by the chunked scan, as for a cluster that no task can hold."""
+    return coverage.coverage_by_run(views.fleet(spark, d), _pc(spark, d), views.runs(spark, d),
+                                    split=True, num_chunks=8)
+
+
 def not_reported(spark, d):
     return coverage.not_reported(views.fleet(spark, d), _pc(spark, d))
 
@@ -267,6 +278,8 @@ def queries() -> dict[str, Query]:
         "running_context": running_context,
         "report_coverage": report_coverage,
         "report_coverage_wide": report_coverage_wide,
+        "report_coverage_runs": report_coverage_runs,
+        "report_coverage_runs_split": report_coverage_runs_split,
         "not_reported": not_reported,
         "not_reported_wide": not_reported_wide,
         "all_up_at": all_up_at,

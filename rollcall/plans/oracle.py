@@ -191,6 +191,23 @@ FROM fleet f LEFT JOIN heads h USING (cluster)"""
 
 _COVERAGE = "SELECT cluster, n, reported, pending, cutoff_seq FROM cov"
 
+_RUNS = [
+    ("runs", """
+  SELECT event_id AS run_id, CAST(event_id // 250 % 25 AS INTEGER) AS cluster, event_id AS start_seq
+  FROM events WHERE event_id % 250 = 0"""),
+    ("runs_seen", """
+  SELECT cluster, run_id, count(*) AS reported, max(first_seq) AS last_seq FROM (
+    SELECT m.cluster, r.run_id, m.idx, min(m.seq) AS first_seq
+    FROM (SELECT c.cluster, c.idx, p.seq FROM pc p JOIN canon c ON upper(p.mac) = c.mac_key) m
+    ASOF JOIN runs r ON m.cluster = r.cluster AND m.seq >= r.start_seq
+    GROUP BY m.cluster, r.run_id, m.idx) GROUP BY cluster, run_id"""),
+]
+_RUN_COVERAGE = """
+SELECT r.cluster, r.run_id, r.start_seq, s.n, coalesce(x.reported, 0) AS reported,
+       s.n - coalesce(x.reported, 0) AS pending,
+       CASE WHEN s.n = coalesce(x.reported, 0) THEN x.last_seq END AS cutoff_seq
+FROM runs r JOIN sizes s USING (cluster) LEFT JOIN runs_seen x USING (cluster, run_id)"""
+
 _NOT_REPORTED = "SELECT cluster, idx, node, mac FROM nodes WHERE first_seq IS NULL"
 
 _ALL_UP = [
@@ -268,6 +285,8 @@ def oracle_sql() -> dict[str, str]:
                                  "WHERE s.up"),
         "report_coverage": _with(_COVERAGE),
         "report_coverage_wide": _with(_COVERAGE, fleet_table="customer"),
+        "report_coverage_runs": _with(_RUN_COVERAGE, extra=_RUNS),
+        "report_coverage_runs_split": _with(_RUN_COVERAGE, extra=_RUNS),
         "not_reported": _with(_NOT_REPORTED),
         "not_reported_wide": _with(_NOT_REPORTED, fleet_table="customer"),
         "all_up_at": _with(_ALL_UP_BODY, extra=_ALL_UP),

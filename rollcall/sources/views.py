@@ -91,6 +91,15 @@ def write_inventory_json(fleet: DataFrame, path: str) -> None:
      .write.partitionBy("cluster").option("lineSep", "\n").text(path))
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of waits: every 250th event starts a run, of the clusters (25
+    nations) in turn."""
+    eid = F.col("event_id")
+    return (read_table(spark, sf_dir, "events", ["event_id"]).where(eid % 250 == 0)
+            .select(eid.alias("run_id"), F.expr("cast((event_id div 250) % 25 as int)").alias("cluster"),
+                    eid.alias("start_seq")))
+
+
 def coarse_seq(probes: DataFrame) -> DataFrame:
     """Probes in a coarse order: seven events share a seq (and the least ts of
     their seven is no longer told apart)."""

@@ -103,3 +103,31 @@ def test_split_decision_sizing(spark):
         with pytest.raises(ValueError):
             split_decision(df, largest=500, total=20, max_group_rows=100)
         spark.conf.unset("rollcall.scan.chunkRows")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_last_non_null_plain_equals_chunked(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(3), i, rng.choice([None, None, None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, o long, v long").repartition(4)
+    got = [sorted((r.k, r.o, r.out) for r in ordered_scan(
+        df, ["k"], ["o"], "v", "out", "last", split=split, num_chunks=7).collect()) for split in (False, True)]
+    now, want = {}, []
+    for k, o, v in rows:
+        now[k] = v if v is not None else now.get(k)
+        want.append((k, o, now[k]))
+    assert got[0] == got[1] == sorted(want)
+
+
+def test_runs_start_empty_and_take_what_follows(spark):
+    from rollcall.operators import coverage
+    fleet = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "cluster long, idx long, mac string")
+    log = [(1, "A"), (2, "b"), (5, "a"), (6, "a"), (7, "b"), (9, "B"), (9, "x"), (12, "c"), (13, None)]
+    checkins = spark.createDataFrame([(s, m, "i") for s, m in log], "seq long, mac string, ip string")
+    runs = spark.createDataFrame([(10, 1, 2), (20, 1, 6), (30, 1, 11), (40, 2, 0), (50, 3, 0)],
+                                 "run_id long, cluster long, start_seq long")
+    want = [(1, 10, 2, 2, 2, 0, 5),        # b at the start itself, then a
+            (1, 20, 6, 2, 2, 0, 7),        # a again: nothing is remembered
+            (1, 30, 11, 2, 0, 2, None), (2, 40, 0, 1, 1, 0, 12)]
+    for kw in ({}, {"split": True, "num_chunks": 3}):
+        assert sorted(tuple(r) for r in coverage.coverage_by_run(fleet, checkins, runs, **kw).collect()) == want
