@@ -183,11 +183,12 @@ def latch_off(spark, d):
 
 
 def export_state(spark, d):
-    """Q9: the state report written as JSON per cluster and read back."""
+    """Q9: the state report written as JSON per cluster and read back, with each
+    row's place in its cluster's files."""
     report = fleet_state(spark, d)
     path = scratch_path(spark, "export-state")
     sinks.export_table(report, path, fmt="json")
-    return sinks.read_export(spark, path, report.schema, fmt="json")
+    return sinks.read_export(spark, path, report.schema, fmt="json", position=True)
 
 
 def export_hosts(spark, d):

@@ -297,7 +297,7 @@ def oracle_sql() -> dict[str, str]:
         "latch_on_ties": _latch(True, seq=_COARSE),
         "latch_off_ties": _latch(False, seq=_COARSE),
         "latch_off": _latch(False),
-        "export_state": _with(_FLEET_STATE),
+        "export_state": _with(f"SELECT *, idx AS position FROM ({_FLEET_STATE})"),
         "export_hosts": _with(
             "SELECT cluster, coalesce(ip, '') || ' node' || CAST(idx AS VARCHAR) AS line, "
             "idx AS position FROM fleet"),
