@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -51,3 +52,12 @@ def bounded_batches(spark: SparkSession) -> None:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def shared_files(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path under the shared folder, and the path in it."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        return pafs.LocalFileSystem(), uri[len("file:"):]
+    return pafs.FileSystem.from_uri(uri)

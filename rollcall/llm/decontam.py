@@ -8,14 +8,18 @@ one window), and one automaton holds all of them, so each text is scanned once
 whatever the number of items. Normalisation keeps every byte's place, so a hit
 maps back to the original text directly.
 
-The patterns come from the benchmark, which is small by nature: they go to the
-tasks as broadcast blocks of at most ``block_bytes``. Usually that is one block
-and one automaton. A benchmark beyond that is scanned block after block, with
-one automaton in memory at a time, and the same result.
+The distinct patterns, each with the items that have it, are a Spark job over the
+benchmark; measured, they are written to the shared folder in blocks of about
+``block_bytes``. The driver holds the blocks' paths, nothing is broadcast. A worker
+opens a block and builds its automaton where it scans, one at a time; usually
+there is one block, which the worker keeps. A larger benchmark is scanned block
+after block, a group of texts at a time, with the same result.
 
 Null and empty texts have no words and are not contaminated. Null, empty or
 wordless items have no window. Items with equal text are all named. An item
-whose id is null counts for hits but has no name.
+whose id is null counts for hits but has no name. Repeated rows are judged each, an
+empty table gives an empty table, other columns pass through (one named as a
+result gives way to it).
 """
 
 from __future__ import annotations
@@ -25,17 +29,22 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.llm.common import bounded_batches, fresh, schema_with
+from rollcall.llm.common import bounded_batches, fresh, schema_with, shared_files, written
 from rollcall.llm.words import code_points
+from rollcall.session import child_names, scratch_path
 
 WINDOW = 13
 #: a text is contaminated when hit words * 20 reach its words
 SHARE = 20
 BLOCK_BYTES = 32 << 20
+#: bytes of texts scanned together where there are several blocks
+GROUP_BYTES = 32 << 20
 
 _NORM = bytes(
     c + 0x20 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80
@@ -55,57 +64,65 @@ def windows(text: str | None, window: int) -> set[bytes]:
     return {b" ".join(words[i:i + window]) for i in range(last)}
 
 
-class Matcher:
-    """The automata over blocks of (pattern, item numbers)."""
-
-    def __init__(self, blocks: list):
-        self.blocks = blocks
-        self.built: tuple[int, object] | None = None
-
-    def automaton(self, i: int):
-        if self.built is None or self.built[0] != i:
-            self.built = None
-            a = ahocorasick.Automaton()
-            for pattern, items in self.blocks[i].value:
-                p = " " + pattern.decode("latin-1") + " "
-                a.add_word(p, (len(p), items))
-            a.make_automaton()
-            self.built = (i, a)
-        return self.built[1]
-
-    def scan(self, texts: list[str]) -> list[list[tuple[int, int, tuple]]]:
-        """Per text (words joined by single spaces, a space at both ends) the
-        matches (first byte of the first word, one past the last, items)."""
-        found: list[list] = [[] for _ in texts]
-        for i in range(len(self.blocks)):
-            a = self.automaton(i)
-            for hits, text in zip(found, texts):
-                for end, (length, items) in a.iter(text):
-                    hits.append((end - length + 2, end, items))
-        return found
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
-    """The patterns as broadcast blocks, read item by item."""
+#: the automaton this worker built last, by its block
+_BUILT: dict[str, object] = {}
+
+
+def _automaton(block: str):
+    if block not in _BUILT:
+        _BUILT.clear()
+        fs, root = shared_files(block)
+        a = ahocorasick.Automaton()
+        for f in sorted(i.path for i in fs.get_file_info(pafs.FileSelector(root)) if i.path.endswith(".parquet")):
+            for batch in pq.ParquetFile(fs.open_input_file(f)).iter_batches(1 << 14):
+                for pattern, items in zip(batch.column("pattern").to_pylist(), batch.column("items").to_pylist()):
+                    p = " " + pattern.decode("latin-1") + " "
+                    a.add_word(p, (len(p), tuple(items)))
+        a.make_automaton()
+        _BUILT[block] = a
+    return _BUILT[block]
+
+
+def scan(blocks: list[str], texts: list[str]) -> list[list[tuple[int, int, tuple]]]:
+    """Per text (words joined by single spaces, a space at both ends) the
+    matches (first byte of the first word, one past the last, items)."""
+    found: list[list] = [[] for _ in texts]
+    for block in blocks:
+        a = _automaton(block)
+        for hits, text in zip(found, texts):
+            for end, (length, items) in a.iter(text):
+                hits.append((end - length + 2, end, items))
+    return found
+
+
+def patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(pattern, items) of the distinct windows; items sorted as strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                found = sorted(windows(b.column(1)[row].as_py(), window))
+                for k in range(0, len(found), 1 << 14):
+                    some = found[k:k + (1 << 14)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some, pa.binary()), pa.array([b.column(0)[row].as_py()] * len(some), pa.string())],
+                        names=["pattern", "item"])
+
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col))
+    return (rows.mapInArrow(run, "pattern binary, item string")
+            .groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items")))
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int) -> list[str]:
+    """The folders of the written blocks."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator()
-    blocks, now, size = [], {}, 0
-
-    def flush():
-        blocks.append(spark.sparkContext.broadcast(
-            [(p, tuple(sorted(i for i in items if i is not None))) for p, items in now.items()]))
-
-    for item, text in rows:
-        for p in windows(text, window):
-            if p not in now:
-                size += len(p)
-            now.setdefault(p, set()).add(item)
-        if size > block_bytes:
-            flush()
-            now, size = {}, 0
-    if now:
-        flush()
-    return blocks
+    table = written(patterns(benchmark, item_col, text_col, window), "decontam-patterns")
+    total = table.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    path = scratch_path(spark, "decontam-blocks")
+    (table.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(n)).cast("int"))
+     .repartition(n, "block").write.partitionBy("block").parquet(path))
+    return [f"{path}/{name}" for name in child_names(spark, path) if name.startswith("block=")]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *,
@@ -126,12 +143,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(blocks)
-        for b in batches:
+        for b in batches if len(blocks) == 1 else _groups(batches):
             normed = [norm_words(t.as_py()) for t in b.column(b.num_columns - 1)]
             joined = [(b" " + b" ".join(w) + b" ").decode("latin-1") for _, w in normed]
             n_hit, items, spans = [], [], []
-            for (norm, words), text, hits in zip(normed, joined, matcher.scan(joined)):
+            for (norm, words), text, hits in zip(normed, joined, scan(blocks, joined)):
                 if not hits:
                     n_hit.append(0), items.append([]), spans.append([])
                     continue
@@ -151,6 +167,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return docs.select(*order, F.col(text_col).alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about GROUP_BYTES: each block is opened once for each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= GROUP_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _covered(words: list[bytes], hits: list[tuple]) -> np.ndarray:
     """Which words lie inside a match."""
     at = np.cumsum([1] + [len(w) + 1 for w in words[:-1]])   # places in the joined text

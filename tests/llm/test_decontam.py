@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.llm import decontam
 
@@ -63,3 +64,18 @@ def test_edges(spark):
     assert got == [(0, ()), (2, ("7",)), (2, ("7",))]
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
     assert not any(r.contaminated for r in decontam.decontaminate(df, bench.limit(0)).collect())
+    clash = df.withColumns({c: F.lit("x") for c in ("_text", "spans", "items", "pattern", "block")})
+    assert decontam.decontaminate(clash, bench).where("contaminated").count() == 2
+
+
+def test_patterns_are_a_spark_job_in_measured_blocks(spark):
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(50)] + [(99, "w3x1 w3x2 w3x3 w3x4")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(5)
+    table = decontam.patterns(bench, "item_id", "text", 4).collect()
+    assert len(table) == 50 * 37
+    assert {tuple(r["items"]) for r in table if bytes(r["pattern"]) == b"w3x1 w3x2 w3x3 w3x4"} == {("3", "99")}
+    total = sum(len(r["pattern"]) for r in table)
+    blocks = decontam._blocks(bench, "item_id", "text", 4, total // 6)
+    assert len(blocks) in (6, 7)
+    sizes = [sum(len(r["pattern"]) for r in spark.read.parquet(b).collect()) for b in blocks]
+    assert sum(sizes) == total and max(sizes) < total // 4
