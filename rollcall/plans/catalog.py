@@ -36,19 +36,24 @@ def fleet_scan_shared(spark, d):
     return inventory.flag_duplicate_macs(views.shared_macs(views.fleet(spark, d)))
 
 
-def fleet_scan_json(spark, d):
+def fleet_scan_json(spark, d, split=None):
     """The fleet written as one commented JSON array per cluster, read back by
     the inventory reader, with the duplicate flag."""
     path = scratch_path(spark, "inventory-json")
     fleet = views.fleet(spark, d)
     views.write_inventory_json(fleet, path)
-    back = read_inventory(spark, path).withColumn("cluster", F.col("cluster").cast(
+    back = read_inventory(spark, path, split=split).withColumn("cluster", F.col("cluster").cast(
         fleet.schema["cluster"].dataType))
     ids = fleet.select("cluster", "idx", F.col("node").alias("_node"))
     named = back.join(ids, ["cluster", "idx"]).withColumn("node", F.col("_node"))
     return inventory.flag_duplicate_macs(named.select(*fleet.columns))
 
 
+def fleet_scan_json_split(spark, d):
+    """The same with files split within the array."""
+    return fleet_scan_json(spark, d, split=True)
+
+
 def fleet_scan(spark, d):
     return inventory.flag_duplicate_macs(views.fleet(spark, d))
 
@@ -261,6 +266,7 @@ def queries() -> dict[str, Query]:
         "fleet_scan": fleet_scan,
         "fleet_scan_shared": fleet_scan_shared,
         "fleet_scan_json": fleet_scan_json,
+        "fleet_scan_json_split": fleet_scan_json_split,
         "parse_checkins": parse_checkins,
         "parse_probes": parse_probes,
         "apply_checkins": apply_checkins,

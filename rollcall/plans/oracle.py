@@ -265,6 +265,7 @@ def oracle_sql() -> dict[str, str]:
         "fleet_scan": _with(_FLEET_SCAN),
         "fleet_scan_shared": _with(_FLEET_SCAN, mac=_SHARED_MAC),
         "fleet_scan_json": _with(_FLEET_SCAN),
+        "fleet_scan_json_split": _with(_FLEET_SCAN),
         "parse_checkins": _with(
             "SELECT seq, ts, ip, mac, (ip IS NULL OR mac IS NULL) AS malformed FROM pc"),
         "parse_probes": _with("SELECT seq, ts, node, up FROM pp"),

@@ -95,6 +95,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: computed once, and
+    a reader takes only the columns it needs."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def split_side(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, to be joined with a table that has
     hot keys. Over an aggregate the join would reuse the aggregate's
