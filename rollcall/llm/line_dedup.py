@@ -4,11 +4,11 @@ A line's key is the line without white space ``[\\x20\\x09-\\x0D]`` at both ends
 and with A-Z in lower case. Keys of at least ``min_chars`` code points that
 stand in at least ``min_docs`` documents are repeated lines.
 
-1. Every task hashes its lines' keys (once per document) and sends 8 bytes
-   per distinct key to the part of the filter that owns the hash, with a mark
-   when two of its documents have it: a key in a third of all documents is one
-   entry per task. Each part sets the bits of every hash in a "seen once"
-   filter and, where all bits were set before, in a "seen twice" filter.
+1. Every task builds both filters over its own lines, block by block: a "seen once" and a
+   "seen twice" filter (keys of two of its documents). No line and no hash is
+   shuffled, only the parts of these filters that have bits (two bytes a bit, or
+   the bitmap where that is shorter). Merged part by part, a bit is seen twice if it
+   is so in one of them or seen once in two of them.
 2. The twice filter, at most ``max_filter_bits`` bits whatever the input, is
    broadcast. Lines it rules out are certainly unique and never shuffle.
    Suspected keys are counted exactly over all documents (128-bit digest,
@@ -80,10 +80,34 @@ def _slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
             base + ((hashes >> np.uint64(20)) & np.uint64(part_bits - 1))]
 
 
+def _parts(slots: np.ndarray, size: int) -> dict[int, bytes]:
+    """Sorted bit places as parts of ``size`` bits: two bytes a place, or the
+    bitmap where that is no longer."""
+    part = (slots // np.uint64(size)).astype(np.int64)
+    place = (slots % np.uint64(size)).astype(np.uint16)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(part) else [0]
+    out = {}
+    for a, b in zip(cuts, cuts[1:]):
+        held = place[a:b]
+        if len(held) >= size // 16:
+            bitmap = np.zeros(size, bool)
+            bitmap[held] = True
+            held = np.packbits(bitmap)
+        out[int(part[a])] = held.tobytes()
+    return out
+
+
+def _places(part: bytes, size: int) -> np.ndarray:
+    """The bit places of one of ``_parts``."""
+    if len(part) == size // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(part, np.uint8)))
+    return np.frombuffer(part, np.uint16).astype(np.int64)
+
+
 def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> np.ndarray:
     """The seen-twice filter over the line keys of all documents, as bytes
     packed eight bits each (``bits`` is a power of two)."""
-    n_parts = max(1, bits // PART_BITS)
+    size = min(PART_BITS, bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[int] = []
@@ -92,24 +116,21 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> n
                 keys = set(line_keys(text.as_py())[1])
                 held += [_hash(k) for k in keys if _long_enough(k, min_chars)]
                 if len(held) >= HELD:
-                    yield from packed(held)
+                    yield filters(held)
                     held = []
         if held:
-            yield from packed(held)
+            yield filters(held)
 
-    def packed(held: list[int]) -> Iterator[pa.RecordBatch]:
+    def filters(held: list[int]) -> pa.RecordBatch:
+        """The parts of both filters over these lines that have bits."""
         vals, n = np.unique(np.array(held, dtype=np.uint64), return_counts=True)
-        part = ((vals >> np.uint64(40)) % np.uint64(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        vals, n, part = vals[order], n[order], part[order]
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        yield pa.RecordBatch.from_arrays([
-            pa.array([int(p[0]) for p in np.split(part, cuts)], pa.int32()),
-            pa.array([v.tobytes() for v in np.split(vals, cuts)], pa.binary()),
-            pa.array([np.packbits(m > 1).tobytes() for m in np.split(n, cuts)], pa.binary()),
-        ], names=["part", "hashes", "many"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = (_parts(np.unique(np.concatenate(_slots(v, bits))), size)
+                       for v in (vals, vals[n > 1]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(once), pa.int32()), pa.array(list(once.values()), pa.binary()),
+             pa.array([twice.get(p, b"") for p in once], pa.binary())], names=["part", "once", "twice"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, once, twice = None, None, None
 
         def bitmap() -> pa.RecordBatch:
@@ -117,31 +138,25 @@ def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bits: int) -> n
                 [pa.array([now], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())],
                 names=["part", "bits"])
 
-        size = min(PART_BITS, bits)
         for b in batches:
-            for part, hashes, many in zip(*(c.to_pylist() for c in b.columns)):
+            for part, o, t in zip(*(c.to_pylist() for c in b.columns)):
                 if part != now:
                     if now is not None:
                         yield bitmap()
                     now, once, twice = part, np.zeros(size, bool), np.zeros(size, bool)
-                h = np.frombuffer(hashes, np.uint64)
-                again = np.unpackbits(np.frombuffer(many, np.uint8), count=len(h)).astype(bool)
-                a, c = ((s % np.uint64(size)).astype(np.int64) for s in _slots(h, bits))
-                again = again | (once[a] & once[c])
-                twice[a[again]] = True
-                twice[c[again]] = True
-                once[a] = True
-                once[c] = True
+                o = _places(o, size)
+                twice[o[once[o]]] = True        # in both once filters
+                twice[_places(t, size)] = True
+                once[o] = True
         if now is not None:
             yield bitmap()
 
-    sent = docs.select(text_col).mapInArrow(send, "part int, hashes binary, many binary")
+    sent = docs.select(text_col).mapInArrow(send, "part int, once binary, twice binary")
     parts = (sent.repartition("part").sortWithinPartitions("part")
-             .mapInArrow(fill, "part int, bits binary"))
-    size = min(PART_BITS, bits) // 8
+             .mapInArrow(merge, "part int, bits binary"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in parts.toLocalIterator():      # bits / 8 bytes in all
-        out[row["part"] * size:(row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+        out[row["part"] * size // 8:(row["part"] + 1) * size // 8] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 

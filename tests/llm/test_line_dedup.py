@@ -78,3 +78,29 @@ def test_clashing_columns_null_ids_and_empty(spark, monkeypatch, broadcast):
     assert sorted((r.text, r.n_lines, r.n_dropped, r._key) for r in got.collect()
                   if r.doc_id is None) == [("b", 2, 1, "k")] * 2
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_twice_filter_misses_no_repeated_key_and_few_others_pass(spark, monkeypatch, held):
+    """Filters of blocks of ``held`` lines, sparse and dense parts, merged."""
+    monkeypatch.setattr(line_dedup, "HELD", held)
+    rng = random.Random(held)
+    keys = [f"line {i}" for i in range(9000)]
+    rows = [(i, "\n".join(rng.sample(keys[:500], 6) + keys[500 + 20 * i:520 + 20 * i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    packed = line_dedup.twice_filter(df, "text", 1, line_dedup.MIN_FILTER_BITS)
+    n = Counter(k for _, t in rows for k in set(t.split("\n")))
+    passed = {k.decode() for k in line_dedup._suspected([k.encode() for k in n], packed, 1)}
+    repeated = {k for k, c in n.items() if c > 1}
+    assert repeated <= passed
+    assert len(passed - repeated) <= 0.02 * len(n)
+
+
+@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 60000])
+def test_filter_parts_round_trip(n):
+    import numpy as np
+    slots = np.sort(np.random.default_rng(n).choice(3 << 16, n, replace=False)).astype(np.uint64)
+    parts = line_dedup._parts(slots, 1 << 16)
+    back = [p * (1 << 16) + x for p, b in parts.items() for x in line_dedup._places(b, 1 << 16).tolist()]
+    assert back == slots.tolist()
+    assert all(len(b) <= 8192 for b in parts.values())
