@@ -13,7 +13,12 @@ the words near by only, so an insertion moves no later boundary. A stretch of
 2. Documents with such a run are read again. Every window of ``min_words``
    words that can be repeated there is digested (128 bits): each that starts in
    a chunk whose run is repeated, or near by, unless a run inside it is not.
-3. Windows are counted exactly over documents, with a map-side combine. The owner
+3. Windows are counted exactly over documents. They travel in stretches: windows
+   that follow each other and have the same least hash of ``GRAM`` words inside.
+   That hash depends on a window's words alone and says which part counts it. Of
+   the windows a task holds, equal stretches are sent once, with a small row for
+   each place they stand at, so a passage in very many documents is few digests
+   in its part. The owner
    of a window in two documents or more is the least id that has it. A passage
    is a stretch of overlapping windows with one owner: it ends where the next
    repeated window has another, or only touches it.
@@ -35,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +53,10 @@ MIN_WORDS = 50
 RUN_WORDS = 20
 MAX_CHUNK = 32
 PART_BYTES = 16 << 20
+GRAM = 12
+#: windows in a stretch at most, and windows a task holds before it sends them
+MAX_STRETCH = 1 << 12
+HELD = 1 << 18
 
 
 class Chunks:
@@ -96,6 +106,18 @@ class Chunks:
             out.append(mix((total[stop] - total[start]) * back[start]))
         return out
 
+    def least_grams(self, at: np.ndarray, size: int) -> np.ndarray:
+        """The least hash of ``GRAM`` words in the windows of ``size`` words from ``at``."""
+        gram = min(GRAM, size)
+        start = np.arange(len(self.hash) - gram + 1)
+        least, = self.digests(start, start + gram, seeds=(79,))
+        have, want = 1, size - gram + 1
+        while have < want:
+            step = min(have, want - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        return least[at]
+
     def runs_of_rows(self) -> list[np.ndarray]:
         """The distinct run digests of every row."""
         row = self.words.row[self.start] if len(self.start) else np.zeros(0, np.int64)
@@ -131,6 +153,81 @@ class Chunks:
         return out[missed[np.maximum(a, b)] == missed[a]]
 
 
+def stretch_cuts(at: np.ndarray, rows: np.ndarray, least: np.ndarray, longest: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``longest`` windows of one row that follow each other
+    with the same ``least``."""
+    cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(rows) != 0) | (least[1:] != least[:-1])) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+        for i in range(a, b, longest):
+            yield i, min(i + longest, b)
+
+
+def _steps(start: np.ndarray, end: np.ndarray) -> bytes:
+    """How far ``start`` and ``end`` move from each window to the next, a byte
+    each if that is enough."""
+    steps = np.concatenate((np.diff(start), np.diff(end)))
+    return steps.astype(np.uint8 if not len(steps) or steps.max() < 256 else np.int32).tobytes()
+
+
+def _sums(steps: bytes, n: int, i: int, j: int) -> tuple[int, int]:
+    """How far the start moved up to window i and the end up to window j of n."""
+    if n == 1:
+        return 0, 0
+    both = np.frombuffer(steps, np.uint8 if len(steps) == 2 * (n - 1) else np.int32)
+    return int(both[:i].sum()), int(both[n - 1:n - 1 + j].sum())
+
+
+def _id_order(x) -> tuple:
+    """Ids in Spark's order, null last: ``min`` takes it only if there is no other."""
+    return x is None, x != x, x
+
+
+def _record_batch(rows: list[tuple], schema: T.StructType, id_fields, id_arrow: pa.DataType) -> pa.RecordBatch:
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.BooleanType(): pa.bool_(),
+             T.BinaryType(): pa.binary()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, id_arrow if f.name in id_fields else kinds[f.dataType])
+         for f, values in zip(schema.fields, zip(*rows))], names=schema.names)
+
+
+def owned_windows(stretches: list[tuple]) -> dict[tuple, list[tuple]]:
+    """From all stretches of a part (reference, key, least id, whether several
+    keys have it, digests): by reference, the windows that several keys have, as
+    (first, last, owner) of windows that follow each other with one owner."""
+    if not stretches:
+        return {}
+    refs, keys, ids, several, bodies = zip(*stretches)
+    order = sorted(range(len(ids)), key=lambda i: _id_order(ids[i]))
+    rank, names = np.zeros(len(ids), np.int64), []
+    for i in order:
+        if not names or names[-1] != ids[i]:
+            names.append(ids[i])
+        rank[i] = len(names) - 1
+    digests = np.frombuffer(b"".join(bodies), np.uint64).reshape(-1, 2)
+    size = np.array([len(b) // 16 for b in bodies])
+    first = np.concatenate(([0], np.cumsum(size)))
+    stretch = np.repeat(np.arange(len(bodies)), size)
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    d, s = digests[order], stretch[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1)))
+    at = np.flatnonzero(new)
+    key = np.array(keys, np.int64)[s]
+    many = np.logical_or.reduceat(np.array(several, bool)[s], at)
+    many |= np.minimum.reduceat(key, at) != np.maximum.reduceat(key, at)
+    least = np.where(many, np.minimum.reduceat(rank[s], at), -1)
+    owner = np.empty(len(d), np.int64)
+    owner[order] = least[np.cumsum(new) - 1]
+    cut = np.concatenate(([True], (owner[1:] != owner[:-1]) | (stretch[1:] != stretch[:-1])))
+    begin = np.flatnonzero(cut)
+    stop = np.append(begin[1:], len(owner)) - 1
+    out: dict[tuple, list[tuple]] = {}
+    for i, j in zip(begin.tolist(), stop.tolist()):
+        if owner[i] >= 0:
+            k = stretch[i]
+            out.setdefault(refs[k], []).append((i - int(first[k]), j - int(first[k]), names[owner[i]]))
+    return out
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                       min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """One row per repeated passage of a document: id, ``start``, ``end`` (code
@@ -151,14 +248,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     suspects = written(found.groupBy(F.col("key").alias("_key"))
                        .agg(F.collect_list("hashes").alias("_hits")), "substring-suspects")
 
-    fields = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_id", id_type)]
-                          + [T.StructField(c, T.LongType())
-                             for c in ("_a", "_b", "_word", "_start", "_end")])
+    # kind 0: the digests of a stretch and who has it; kind 1: a place it stands at
+    sent = T.StructType(
+        [T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType()),
+         T.StructField("sender", T.LongType()), T.StructField("number", T.LongType()),
+         T.StructField("key", T.LongType()), T.StructField("id", id_type),
+         T.StructField("several", T.BooleanType()), T.StructField("n", T.LongType())]
+        + [T.StructField(c, T.LongType()) for c in ("word", "start", "end")]
+        + [T.StructField("payload", T.BinaryType())])
+    n_parts = max(64, total // PART_BYTES)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender, held = TaskContext.get().partitionId() << 32, 0
+        stretches: dict[bytes, list] = {}      # digests: number, part, key, id, several
+        places: list[tuple] = []
+
+        def flush(id_arrow: pa.DataType) -> pa.RecordBatch:
+            rows = places + [(part, 0, sender, number, key, own, several, len(body) // 16, 0, 0, 0, body)
+                             for body, (number, part, key, own, several) in stretches.items()]
+            return _record_batch(rows, sent, ("id",), id_arrow)
+
         for b in batches:
             hits = [np.concatenate([np.frombuffer(x, np.uint64) for x in h])
                     for h in b.column(3).to_pylist()]
+            keys, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
             for row, data, offsets in string_slices(b.column(2)):
                 c = Chunks(data, offsets, run_words)
                 starts = [c.window_starts(r, hits[row + r], min_words) for r in range(c.words.rows)]
@@ -166,24 +279,57 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if not len(at):
                     continue
                 rows = np.repeat(np.arange(c.words.rows), [len(s) for s in starts])
-                one, two = c.digests(at, at + min_words)
+                digests = np.stack(c.digests(at, at + min_words), axis=1)
+                least = c.least_grams(at, min_words)
                 point = np.concatenate(([0], np.cumsum(code_points(data), dtype=np.int64)))
                 base = point[offsets[rows]]
-                source = pa.array(row + rows)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(source), b.column(1).take(source),
-                     pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                     pa.array(at - c.first[rows]), pa.array(point[c.words.start[at]] - base),
-                     pa.array(point[c.words.end[at + min_words - 1]] - base)],
-                    names=fields.names)
-
-    near = written(keyed.join(suspects, "_key").mapInArrow(windows, fields), "substring-windows")
-    owners = near.groupBy("_a", "_b").agg(F.min("_key").alias("_k1"), F.max("_key").alias("_k2"),
-                                          F.min("_id").alias("_first"))
-    shared = written(owners.where("_k1 <> _k2").select("_a", "_b", "_first"), "substring-shared")
-    hit = (near.join(shared, ["_a", "_b"]).groupBy("_key")
+                start = point[c.words.start[at]] - base
+                end = point[c.words.end[at + min_words - 1]] - base
+                word = at - c.first[rows]
+                for i, j in stretch_cuts(at, rows, least, MAX_STRETCH):
+                    body = digests[i:j].tobytes()
+                    key, own = keys[row + rows[i]], ids[row + rows[i]]
+                    part = int(least[i] % np.uint64(n_parts))
+                    known = stretches.setdefault(body, [len(stretches), part, key, own, False])
+                    if known[2] != key:
+                        known[3:] = [min(known[3], own, key=_id_order), True]
+                    places.append((part, 1, sender, known[0], key, own, None, j - i, int(word[i]),
+                                   int(start[i]), int(end[i]), _steps(start[i:j], end[i:j])))
+                held += len(at)
+                if held >= HELD:
+                    yield flush(b.column(1).type)
+                    stretches, places, held, sender = {}, [], 0, sender + 1
+        if places:
+            yield flush(b.column(1).type)
+
+    shared = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_id", id_type)]
+                          + [T.StructField(c, T.LongType()) for c in ("_word", "_last", "_start", "_end")]
+                          + [T.StructField("_first", id_type)])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stretches, owned = None, [], None
+        for b in batches:
+            rows = []
+            for part, kind, sender, number, key, own, several, n, word, start, end, payload in zip(
+                    *(c.to_pylist() for c in b.columns)):
+                if part != now:
+                    now, stretches, owned = part, [], None
+                if kind == 0:
+                    stretches.append(((sender, number), key, own, several, payload))
+                    continue
+                if owned is None:           # sorted: all stretches of the part came before
+                    owned, stretches = owned_windows(stretches), []
+                for i, j, owner in owned.get((sender, number), ()):
+                    to_start, to_end = _sums(payload, n, i, j)
+                    rows.append((key, own, word + i, word + j, start + to_start, end + to_end, owner))
+            if rows:
+                yield _record_batch(rows, shared, ("_id", "_first"), b.schema.field(5).type)
+
+    placed = (keyed.join(suspects, "_key").mapInArrow(windows, sent)
+              .repartition("part").sortWithinPartitions("part", "kind").mapInArrow(settle, shared))
+    hit = (written(placed, "substring-shared").groupBy("_key")
            .agg(F.min("_id").alias("_id"),
-                F.array_sort(F.collect_set(F.struct("_word", "_start", "_end", "_first"))).alias("_w")))
+                F.array_sort(F.collect_set(F.struct("_word", "_last", "_start", "_end", "_first"))).alias("_w")))
 
     out = T.StructType([T.StructField(id_col, id_type), T.StructField("start", T.LongType()),
                         T.StructField("end", T.LongType()), T.StructField("n_words", T.LongType()),
@@ -195,7 +341,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows = []
             for i, (own, held) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 stretches = owned_stretches(
-                    [(w["_word"], w["_start"], w["_end"], w["_first"]) for w in held], own, min_words)
+                    [(w["_word"], w["_last"], w["_start"], w["_end"], w["_first"]) for w in held], own, min_words)
                 rows += [(i, *r) for r in stretches]
             at, start, end, n_words, first, keep, cut, cut_end = zip(*rows) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
@@ -209,14 +355,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def owned_stretches(windows: list[tuple], own, size: int) -> list[tuple]:
     """(start, end, words, owner, keep, drop start, drop end) of the passages of
-    one document, from its repeated windows (first word, start, end, owner) in
-    order."""
+    one document, from its repeated windows (first words of the first and the
+    last of some that follow each other, start, end, owner) in order."""
     runs: list[list] = []
-    for word, start, end, owner in windows:
+    for word, last, start, end, owner in windows:
         if runs and runs[-1][4] == owner and word < runs[-1][3]:
-            runs[-1][1], runs[-1][3] = max(runs[-1][1], end), max(runs[-1][3], word + size)
+            runs[-1][1], runs[-1][3] = max(runs[-1][1], end), max(runs[-1][3], last + size)
         else:
-            runs.append([start, end, word, word + size, owner])
+            runs.append([start, end, word, last + size, owner])
     out: list[list] = []
     kept_to = 0
     for start, end, word, stop, owner in runs:

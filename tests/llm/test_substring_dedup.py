@@ -210,3 +210,41 @@ def test_repeated_hashes(spark, monkeypatch):
         assert r.n_found == len(found) and r.n_low == sum(h < 1 << 62 for h in found)
         got.setdefault(r.key, set()).update(found)
     assert got == {k: {h for h in hs if count[h] > 1} for k, hs in rows}
+
+
+def test_windows_are_not_written_one_by_one(spark, monkeypatch):
+    """Long copies: tables of a row per window cost several times the input."""
+    rows = [(i, " ".join(f"g{i // 4}w{k}" for k in range(900))) for i in range(40)]
+    n_rows = {}
+    kept = substring_dedup.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        n_rows[name] = out.count()
+        return out
+    monkeypatch.setattr(substring_dedup, "written", counted)
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got == {(i, 0, 900, i // 4 * 4) for i in range(40)}
+    assert n_rows and sum(n_rows.values()) < 40 * 850 / 5
+
+
+def test_stretches_of_many_senders(spark, monkeypatch):
+    """Few windows held, short stretches, one hot passage, very long words, ids
+    that are text or null: as by brute force."""
+    monkeypatch.setattr(substring_dedup, "HELD", 100)
+    monkeypatch.setattr(substring_dedup, "MAX_STRETCH", 7)
+    rng = random.Random(3)
+    shared = [[f"s{k}w{i}" + "x" * (300 if i == 30 else 0) for i in range(90)] for k in range(3)]
+    rows = []
+    for i in range(60):
+        own = [f"u{i}x{k}" for k in range(rng.randrange(0, 60))]
+        a = rng.randrange(0, 30)
+        rows.append((f"é{i * 7 % 61}" if i % 2 else f"d{i}", " ".join(own + shared[0] + own + shared[1 + i % 2][a:a + 55])))
+    rows.append(("a", "again " * 300 + "end"))
+    rows.append(("b", "Again  " * 200 + "end"))
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    assert passages(df) == brute_passages(rows)
+    alone = " ".join(f"n{i}" for i in range(70))
+    nulls = spark.createDataFrame([(None, alone), (None, alone + " more")], "doc_id string, text string")
+    assert [(r.doc_id, r.first_id, r.n_words) for r in substring_dedup.repeated_passages(nulls).collect()] \
+        == [(None, None, 70)] * 2
